@@ -39,11 +39,19 @@ def _pick(values: list[str], index0: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index0 + 1).cast("int"))
 
 
-def animal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Animal health records, one per customer key (dirty on purpose)."""
+def animal(spark: SparkSession, sf_dir: str, input_order: bool = False) -> DataFrame:
+    """Animal health records, one per customer key (dirty on purpose).
+
+    ``input_order=True`` adds ``_input_order`` (file, row index) taken from the
+    Parquet scan metadata, used where "first record in the file wins".
+    """
     k = F.col("c_custkey")
     txt = lambda c: c.cast("string")
-    return read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_mktsegment"]).select(
+    base = read_table(spark, sf_dir, "customer")
+    order = ([F.struct(F.col("_metadata.file_path").alias("f"),
+                       F.col("_metadata.row_index").alias("r")).alias("_input_order")]
+             if input_order else [])
+    return base.select(
         k.alias("animal_id"),
         F.col("c_name").alias("name"),
         _pick(_SPECIES, k % 7).alias("species"),
@@ -61,6 +69,7 @@ def animal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 != 0, _pick(_SYMPTOM_1, (k * 3) % 10)).alias("symptom_1"),
         F.when(k % 9 != 0, _pick(_SYMPTOM_2, (k * 7 + k % 3) % 10)).alias("symptom_2"),
         _pick(_DISEASE, (k * 11) % 8).alias("disease"),
+        *order,
     )
 
 
