@@ -1,3 +1,49 @@
-"""q_reports queries."""
+"""Report queries (RP1-RP3, S6)."""
 
 from __future__ import annotations
+
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from herdlens import fixed_values as FV
+from herdlens.operators import reports
+from herdlens.plans import sql_parts as S
+from herdlens.plans.q_updates import CURRENT_SQL, current_records
+from herdlens.plans.registry import query
+from herdlens.sources import records
+from herdlens.sources.tables import scratch_path
+
+_LINES = [
+    "name", "breed", "age_years", "bp", "heart_rate", "''",
+    "CASE WHEN symptom_2 <> '' THEN symptom_1 || ', ' || symptom_2 ELSE symptom_1 END",
+    "disease", "''", "vaccination_1", "vaccination_2", "doctor_suggestion", "special_care",
+]
+
+_REPORT_SQL = CURRENT_SQL + " UNION ALL ".join(
+    f"SELECT animal_id, {i} AS line_no, {S.q(label)} AS label, {expr} AS text FROM current"
+    for i, (label, expr) in enumerate(zip(FV.REPORT_LABELS, _LINES), start=1))
+
+REPORT_SCHEMA = StructType([
+    StructField("animal_id", LongType()), StructField("line_no", IntegerType()),
+    StructField("label", StringType()), StructField("text", StringType()),
+])
+
+
+@query("animal_report", _REPORT_SQL)
+def animal_report(spark, sf_dir):
+    return reports.animal_report(current_records(spark, sf_dir))
+
+
+@query("report_sink_roundtrip", _REPORT_SQL)
+def report_sink_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "reports")
+    records.write_reports(reports.animal_report(current_records(spark, sf_dir)), path)
+    return records.read_reports(spark, path, REPORT_SCHEMA)
+
+
+@query("record_card", CURRENT_SQL + f"""
+SELECT animal_id, lower(special_care) = 'yes' AS special_star, name, breed, age_years AS age, bp,
+ heart_rate, '' AS oxygen_saturation,
+ CASE WHEN symptom_2 <> '' THEN symptom_1 || ', ' || symptom_2 ELSE symptom_1 END AS symptoms,
+ vaccination_1, vaccination_2 FROM current""")
+def record_card(spark, sf_dir):
+    return reports.record_card(current_records(spark, sf_dir))

@@ -1,3 +1,64 @@
-"""q_sources queries."""
+"""Source / sink queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from herdlens import fixed_values as FV
+from herdlens.operators import clean
+from herdlens.plans import sql_parts as S
+from herdlens.plans.q_updates import _MERGE_SQL, merged_records
+from herdlens.plans.registry import query
+from herdlens.sources import records, views
+from herdlens.sources.tables import scratch_path
+
+_COLS = views.RECORD_COLUMNS
+_NA = S.in_list(FV.PANDAS_NA_TOKENS + [""])
+
+
+@query("csv_record_scan", S.with_(S.ANIMAL) + "SELECT " + ", ".join(
+    f"CASE WHEN CAST({c} AS VARCHAR) IN {_NA} THEN NULL ELSE CAST({c} AS VARCHAR) END AS {c}"
+    for c in _COLS) + " FROM animal")
+def csv_record_scan(spark, sf_dir):
+    """Records written as header CSV into the shared folder, then scanned back."""
+    path = scratch_path(spark, "records-csv")
+    records.write_records_csv(views.animal(spark, sf_dir).select(*_COLS), path)
+    missing = scratch_path(spark, "not-there")
+    return records.read_records_csv(spark, [missing, path], _COLS)
+
+
+_REQUIRED = ["bp", "heart_rate", "age_years", "health_status", "disease", "symptom_1", "symptom_2",
+             "oxygen_saturation_pct", "special_care"]
+
+
+@query("required_columns_report", S.with_(S.ANIMAL) + " UNION ALL ".join(
+    f"SELECT {i} AS ord, '{c}' AS column_name, "
+    + (f"true AS present, count({c}) AS non_null FROM animal" if c in _COLS
+       else "false AS present, CAST(0 AS BIGINT) AS non_null")
+    for i, c in enumerate(_REQUIRED, start=1)))
+def required_columns_report(spark, sf_dir):
+    return records.required_columns_report(views.animal(spark, sf_dir), _REQUIRED).withColumn(
+        "ord", F.col("ord").cast("int"))
+
+
+_BACKFILL = {"doctor_suggestion": "", "vaccination_1": "", "vaccination_2": "", "special_care": "",
+             "disease": "Unknown", "symptom_1": "None", "symptom_2": "None"}
+
+
+@query("optional_column_backfill", S.with_(S.ANIMAL) + """
+SELECT animal_id, '' AS doctor_suggestion, '' AS vaccination_1, '' AS vaccination_2, '' AS special_care,
+ disease, symptom_1, symptom_2 FROM animal""")
+def optional_column_backfill(spark, sf_dir):
+    a = views.animal(spark, sf_dir).select("animal_id", "disease", "symptom_1", "symptom_2")
+    return records.backfill_columns(a, _BACKFILL)
+
+
+@query("table_save_roundtrip", _MERGE_SQL + "SELECT * FROM merged")
+def table_save_roundtrip(spark, sf_dir):
+    """Merged records saved as a new table version, then read from the pointer."""
+    table = records.VersionedTable(spark, scratch_path(spark, "records-table"))
+    table.save(merged_records(spark, sf_dir))
+    return table.read()
+
+
+__all__ = ["clean"]
