@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.functions.text import col_, contains_text, symptom_text
+from herdlens.functions.text import col_, symptom_text
 
 
 @dataclass(frozen=True)
@@ -73,33 +73,64 @@ def _texts(text_cols: Sequence[str | Column], lowercase: bool = True,
     return [F.coalesce(col_(c).cast("string"), F.lit("")) for c in text_cols]
 
 
-def score_expressions(table: KeywordTable, texts: Sequence[Column],
-                      mode: str = "each") -> list[Column]:
-    """One integer score column per rule entry.
+def sql_str(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Rule expressions are generated as SQL text and parsed once by Spark: building
+# hundreds of predicates through the Column API costs one JVM round trip per
+# node, the SQL text costs one parse. Either way the result is the same
+# Catalyst expression tree.
+
+def _hit(text: str, kw: str) -> str:
+    return f"(instr({text}, {sql_str(kw)}) > 0)"
+
+
+def score_sql(table: KeywordTable, texts: Sequence[str], mode: str = "each") -> list[str]:
+    """One integer score expression per rule entry, over text column names.
 
     ``mode="each"``: +1 for every (keyword, text) pair that matches, so a keyword
     present in two texts counts twice. ``mode="any"``: +1 per keyword found in
     at least one text.
     """
-    scores = []
+    out = []
     for _, kws in table.entries:
         terms = []
         for kw in kws:
-            hits = [contains_text(t, kw) for t in texts]
+            hits = [_hit(t, kw) for t in texts]
             if mode == "each":
-                terms.extend(h.cast("int") for h in hits)
+                terms.extend(f"CAST({h} AS INT)" for h in hits)
             elif mode == "any":
-                any_hit = hits[0]
-                for h in hits[1:]:
-                    any_hit = any_hit | h
-                terms.append(any_hit.cast("int"))
+                terms.append(f"CAST(({' OR '.join(hits)}) AS INT)")
             else:
                 raise ValueError(f"unknown scoring mode {mode!r}")
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        scores.append(total)
-    return scores
+        out.append("(" + " + ".join(terms) + ")")
+    return out
+
+
+def top1_sql(table: KeywordTable, texts: Sequence[str], mode: str = "each",
+             fallback: str | None = None) -> str:
+    """Best label: highest score, ties to the earliest rule; all zero -> fallback."""
+    items = ", ".join(
+        f"named_struct('score', {sc}, 'neg_ord', {-(i + 1)}, 'label', {sql_str(label)})"
+        for i, ((label, _), sc) in enumerate(zip(table.entries, score_sql(table, texts, mode))))
+    fb = table.fallback if fallback is None else fallback
+    best = f"array_max(array({items}))"
+    return f"CASE WHEN {best}.score > 0 THEN {best}.label ELSE {sql_str(fb)} END"
+
+
+def first_match_sql(rules: Sequence[tuple[str, str]], texts: Sequence[str]) -> str:
+    """Label of the first rule whose keyword is in any text; none -> null."""
+    whens = " ".join(
+        f"WHEN {' OR '.join(_hit(t, kw) for t in texts)} THEN {sql_str(label)}" for kw, label in rules)
+    return f"CASE {whens} ELSE CAST(NULL AS STRING) END"
+
+
+def _with_texts(df: DataFrame, text_cols, lowercase=True, text_transform=None):
+    texts = _texts(text_cols, lowercase, text_transform)
+    names = [f"__text{i}" for i in range(len(texts))]
+    return df.withColumns(dict(zip(names, texts))), names
 
 
 def keyword_scores(df: DataFrame, id_cols: Sequence[str], text_cols: Sequence[str | Column],
@@ -109,26 +140,11 @@ def keyword_scores(df: DataFrame, id_cols: Sequence[str], text_cols: Sequence[st
 
     Generated by ``inline`` of a literal array per row: a narrow operator.
     """
-    texts = _texts(text_cols, lowercase, text_transform)
-    scores = score_expressions(table, texts, mode)
-    rows = F.array(*[
-        F.struct(F.lit(i + 1).cast("int").alias("ord"), F.lit(label).alias("disease"),
-                 s.alias("score"))
-        for i, ((label, _), s) in enumerate(zip(table.entries, scores))
-    ])
-    return df.select(*id_cols, F.inline(rows))
-
-
-def top1_expression(table: KeywordTable, texts: Sequence[Column], mode: str = "each",
-                    fallback: str | None = None) -> Column:
-    """Best label: highest score, ties to the earliest rule; all zero -> fallback."""
-    scores = score_expressions(table, texts, mode)
-    best = F.array_max(F.array(*[
-        F.struct(s.alias("score"), F.lit(-(i + 1)).alias("neg_ord"), F.lit(label).alias("label"))
-        for i, ((label, _), s) in enumerate(zip(table.entries, scores))
-    ]))
-    fb = table.fallback if fallback is None else fallback
-    return F.when(best["score"] > 0, best["label"]).otherwise(F.lit(fb))
+    df2, names = _with_texts(df, text_cols, lowercase, text_transform)
+    items = ", ".join(
+        f"named_struct('ord', {i + 1}, 'disease', {sql_str(label)}, 'score', {sc})"
+        for i, ((label, _), sc) in enumerate(zip(table.entries, score_sql(table, names, mode))))
+    return df2.select(*id_cols, F.inline(F.expr(f"array({items})")))
 
 
 def keyword_top1(df: DataFrame, text_cols: Sequence[str | Column],
@@ -141,25 +157,15 @@ def keyword_top1(df: DataFrame, text_cols: Sequence[str | Column],
     lower); long texts only need ``F.lower`` since stripping cannot change a
     substring hit.
     """
-    texts = _texts(text_cols, lowercase, text_transform)
-    return df.withColumn(out_col, top1_expression(table, texts, mode, fallback))
-
-
-def first_match_expression(rules: Sequence[tuple[str, str]], texts: Sequence[Column]) -> Column:
-    """Label of the first rule whose keyword is in any text; none -> null."""
-    out = F.lit(None).cast("string")
-    for kw, label in reversed(list(rules)):
-        hit = contains_text(texts[0], kw)
-        for t in texts[1:]:
-            hit = hit | contains_text(t, kw)
-        out = F.when(hit, F.lit(label)).otherwise(out)
-    return out
+    df2, names = _with_texts(df, text_cols, lowercase, text_transform)
+    return df2.withColumn(out_col, F.expr(top1_sql(table, names, mode, fallback))).drop(*names)
 
 
 def first_match_label(df: DataFrame, text_cols: Sequence[str | Column],
                       rules: Sequence[tuple[str, str]] = FV.SYMPTOM_LABEL_RULES,
                       out_col: str = "label") -> DataFrame:
-    return df.withColumn(out_col, first_match_expression(rules, _texts(text_cols)))
+    df2, names = _with_texts(df, text_cols)
+    return df2.withColumn(out_col, F.expr(first_match_sql(rules, names))).drop(*names)
 
 
 def combined_diagnosis_rule_part(df: DataFrame, bp: str = "bp", heart_rate: str = "heart_rate",
@@ -182,8 +188,9 @@ def combined_diagnosis_rule_part(df: DataFrame, bp: str = "bp", heart_rate: str
 
     parse_ok = (to_double(bp_part(F.coalesce(F.col(bp), F.lit("")), 1)).isNotNull()
                 & or_zero_ok(heart_rate) & or_zero_ok(age))
-    label = first_match_expression(rules, _texts(list(symptoms)))
-    return (df.withColumn("parse_ok", parse_ok).withColumn("_quick", label)
+    df2, names = _with_texts(df, list(symptoms))
+    return (df2.withColumn("parse_ok", parse_ok)
+            .withColumn("_quick", F.expr(first_match_sql(rules, names))).drop(*names)
             .withColumn("prediction",
                         F.when(~F.col("parse_ok"), F.lit(FV.PARSE_ERROR_LABEL))
                         .when(F.col("_quick").isNotNull(),
