@@ -1,3 +1,247 @@
-"""q_ml queries."""
+"""Model queries (M1-M12, R5 complete).
+
+Split, scaling, encodings and accuracy have SQL oracles. Model outputs
+(forests, SVM) have none: seeds and tree construction differ between
+libraries, so those keys are checked by row count and value sanity in tests.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from herdlens import fixed_values as FV
+from herdlens.functions.bp import bp_part
+from herdlens.functions.numbers import to_double
+from herdlens.operators import clean, filters, ml, rules
+from herdlens.plans import sql_parts as S
+from herdlens.plans.q_clean import _TRAIN, _bp, comparison_frame
+from herdlens.plans.registry import query
+from herdlens.sources import views
+
+_HASH = "CAST(('0x' || substr(md5(CAST(animal_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
+_SPLIT = f"CASE WHEN {_HASH} = 0 THEN 'test' ELSE 'train' END"
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    return clean.model_features(views.animal(spark, sf_dir))
+
+
+@query("hash_split", S.with_(S.ANIMAL) + f"SELECT animal_id, {_SPLIT} AS split FROM animal")
+def hash_split(spark, sf_dir):
+    return ml.hash_split(views.animal(spark, sf_dir).select("animal_id"), "animal_id")
+
+
+@query("standard_scale", S.with_(S.ANIMAL, _TRAIN) + """
+SELECT animal_id,
+ round((heart_rate - (SELECT avg(heart_rate) FROM train_f)) / (SELECT CASE WHEN stddev_pop(heart_rate) = 0 THEN 1.0 ELSE stddev_pop(heart_rate) END FROM train_f), 6) AS heart_rate,
+ round((bp_systolic - (SELECT avg(bp_systolic) FROM train_f)) / (SELECT CASE WHEN stddev_pop(bp_systolic) = 0 THEN 1.0 ELSE stddev_pop(bp_systolic) END FROM train_f), 6) AS bp_systolic,
+ round((bp_diastolic - (SELECT avg(bp_diastolic) FROM train_f)) / (SELECT CASE WHEN stddev_pop(bp_diastolic) = 0 THEN 1.0 ELSE stddev_pop(bp_diastolic) END FROM train_f), 6) AS bp_diastolic
+FROM train_f""")
+def standard_scale(spark, sf_dir):
+    f = _features(spark, sf_dir).select("animal_id", *clean.NUMERIC_FEATURES)
+    s = ml.standard_scale(f, clean.NUMERIC_FEATURES)
+    return s.select("animal_id", *[F.round(c, 6).alias(c) for c in clean.NUMERIC_FEATURES])
+
+
+_CATS = clean.CATEGORICAL_FEATURES
+
+
+def _stack_sql(src: str, cols, id_col: str | None = "animal_id") -> str:
+    idc = f"{id_col}, " if id_col else ""
+    return " UNION ALL ".join(f"SELECT {idc}'{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {src}"
+                              for c in cols)
+
+
+@query("one_hot_long", S.with_(S.ANIMAL, _TRAIN, f"""long AS ({_stack_sql('train_f', _CATS)}),
+vocab AS (SELECT DISTINCT column_name, value FROM long
+          WHERE value IS NOT NULL AND {_SPLIT.replace('animal_id', 'long.animal_id')} = 'train')""") + """
+SELECT l.animal_id, l.column_name, l.value AS category FROM long l
+WHERE l.value IS NOT NULL AND (l.column_name, l.value) IN (SELECT (column_name, value) FROM vocab)""")
+def one_hot_long(spark, sf_dir):
+    f = ml.hash_split(_features(spark, sf_dir), "animal_id")
+    return ml.one_hot_long(f, ["animal_id"], _CATS, f.where(F.col("split") == "train"))
+
+
+_ENC_COLS = ["sex", "age_years", "heart_rate", "health_status", "disease"]
+_CMP_ID = f"""cmp AS (
+ SELECT animal_id, sex, age_years, heart_rate, health_status, disease,
+  {_bp(1)} AS bp_systolic, {_bp(2)} AS bp_diastolic FROM animal),
+codes AS (SELECT column_name, value, CAST(dense_rank() OVER (PARTITION BY column_name ORDER BY value) - 1 AS BIGINT) AS code
+  FROM (SELECT DISTINCT column_name, coalesce(value, 'nan') AS value FROM ({_stack_sql('cmp', _ENC_COLS, None)})))"""
+_ENCODED = "SELECT c.animal_id, " + ", ".join(
+    f"(SELECT code FROM codes k WHERE k.column_name = '{col}' AND k.value = coalesce(c.{col}, 'nan')) AS {col}"
+    for col in _ENC_COLS) + ", c.bp_systolic, c.bp_diastolic FROM cmp c"
+
+
+def encoded_comparison_frame(spark, sf_dir) -> DataFrame:
+    a = clean.bp_split(views.animal(spark, sf_dir)).drop("bp")
+    f = filters.drop_if_present(a, ["name", "species", "breed", "symptom_1", "symptom_2", "others"])
+    return ml.label_encode(f, _ENC_COLS)
+
+
+@query("label_encode", S.with_(S.ANIMAL, _CMP_ID) + _ENCODED)
+def label_encode(spark, sf_dir):
+    return encoded_comparison_frame(spark, sf_dir).select("animal_id", *_ENC_COLS, "bp_systolic",
+                                                           "bp_diastolic")
+
+
+@query("drop_null_rows", S.with_(S.ANIMAL, _CMP_ID, f"enc AS ({_ENCODED})")
+       + "SELECT * FROM enc WHERE bp_systolic IS NOT NULL AND bp_diastolic IS NOT NULL")
+def drop_null_rows(spark, sf_dir):
+    f = encoded_comparison_frame(spark, sf_dir).select("animal_id", *_ENC_COLS, "bp_systolic",
+                                                        "bp_diastolic")
+    return filters.drop_null_rows(f)
+
+
+_FATAL_PREFIXES = ["rabies", "anthrax", "ppr"]
+
+
+def _keyword_outcomes(spark, sf_dir) -> DataFrame:
+    a = clean.outcome_label(views.animal(spark, sf_dir), out="label_outcome")
+    a = rules.keyword_top1(a, ["symptom_1", "symptom_2"], rules.DISEASES_26, out_col="kw_disease")
+    fatal = None
+    for p in _FATAL_PREFIXES:
+        c = F.col("kw_disease").startswith(p)
+        fatal = c if fatal is None else fatal | c
+    a = a.withColumn("predicted_outcome", F.when(fatal, F.lit(FV.OUTCOME_FATAL))
+                     .otherwise(F.lit(FV.OUTCOME_LIVE)))
+    return ml.hash_split(a, "animal_id")
+
+
+_RULES26 = f"rules(ord, disease, kw) AS ({S.keyword_values(FV.DISEASE_KEYWORDS)})"
+
+
+@query("accuracy_metric", S.with_(S.ANIMAL, _RULES26, f"""req AS (
+ SELECT animal_id, {S.sym('symptom_1')} AS s1, {S.sym('symptom_2')} AS s2 FROM animal)""", """sc AS (
+ SELECT q.animal_id, r.ord, r.disease,
+  sum(CAST(contains(q.s1, r.kw) AS INT) + CAST(contains(q.s2, r.kw) AS INT)) AS score
+ FROM req q CROSS JOIN rules r GROUP BY q.animal_id, r.ord, r.disease)""", f"""top AS (
+ SELECT animal_id, CASE WHEN max(score) > 0 THEN arg_max(disease, score * 100000 - ord) ELSE '' END AS kw_disease
+ FROM sc GROUP BY animal_id)""", f"""j AS (
+ SELECT a.animal_id, {_SPLIT.replace('animal_id', 'a.animal_id')} AS split,
+  CASE WHEN a.disease IN {S.in_list(FV.FATAL_DISEASES)} THEN {S.q(FV.OUTCOME_FATAL)} ELSE {S.q(FV.OUTCOME_LIVE)} END AS label_outcome,
+  CASE WHEN {' OR '.join(f"starts_with(t.kw_disease, '{p}')" for p in _FATAL_PREFIXES)}
+       THEN {S.q(FV.OUTCOME_FATAL)} ELSE {S.q(FV.OUTCOME_LIVE)} END AS predicted_outcome
+ FROM animal a JOIN top t ON a.animal_id = t.animal_id)""") + """
+SELECT split, count(*) AS n, CAST(sum(CASE WHEN predicted_outcome = label_outcome THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+ round(sum(CASE WHEN predicted_outcome = label_outcome THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS accuracy_pct
+FROM j GROUP BY split""")
+def accuracy_metric(spark, sf_dir):
+    return ml.accuracy(_keyword_outcomes(spark, sf_dir), "predicted_outcome", "label_outcome", ["split"])
+
+
+# --- models (rows-only checks) ---
+
+def health_frame(spark, sf_dir) -> DataFrame:
+    h = clean.health_features(views.animal(spark, sf_dir))
+    # MLlib trees take no missing values: a missing systolic is fed as 0.0.
+    h = h.withColumn("bp_num", F.coalesce(F.col("bp_num"), F.lit(0.0)))
+    return ml.hash_split(h, "animal_id")
+
+
+HEALTH_NUMERIC = ["bp_num", "heart_rate_num", "age_num"]
+
+
+def fit_health_model(spark, sf_dir, num_trees: int = 100, max_depth: int = 10):
+    train = health_frame(spark, sf_dir).where(F.col("split") == "train")
+    return ml.fit_classifier(train, HEALTH_NUMERIC, [], "label_text",
+                             ml.forest("label_idx", num_trees=num_trees, max_depth=max_depth), scale=False)
+
+
+@query("health_status_forest")
+def health_status_forest(spark, sf_dir):
+    model = fit_health_model(spark, sf_dir)
+    test = health_frame(spark, sf_dir).where(F.col("split") == "test")
+    return model.predict(test, ["animal_id", "label_text"]).select(
+        "animal_id", F.col("label_text").alias("health_status"), "predicted_label")
+
+
+def fit_feature_model(spark, sf_dir, target: str, num_trees: int = 100, max_depth: int = 10):
+    f = _features(spark, sf_dir)
+    return ml.fit_classifier(f, clean.NUMERIC_FEATURES, _CATS, target,
+                             ml.forest("label_idx", num_trees=num_trees, max_depth=max_depth))
+
+
+@query("survival_forest")
+def survival_forest(spark, sf_dir):
+    model = fit_feature_model(spark, sf_dir, "outcome")
+    out = model.predict(_features(spark, sf_dir), ["animal_id", "outcome"])
+    return out.select("animal_id", "outcome", "predicted_label",
+                      model.class_probability_pct(FV.OUTCOME_LIVE).alias("chance_of_living"))
+
+
+@query("disease_forest")
+def disease_forest(spark, sf_dir):
+    model = fit_feature_model(spark, sf_dir, "disease")
+    return model.predict(_features(spark, sf_dir), ["animal_id", "disease"]).select(
+        "animal_id", "disease", "predicted_label")
+
+
+@query("chance_of_living")
+def chance_of_living(spark, sf_dir):
+    """Every record scored as an intake form: integer vitals with median fallbacks."""
+    a = views.animal(spark, sf_dir)
+    train = clean.model_features(a)
+    model = fit_feature_model(spark, sf_dir, "outcome")
+    intake = clean.intake_impute(a, train)
+    intake = clean.constant_fill(intake, text=["symptom_1", "symptom_2"]).select(
+        "animal_id", *_CATS,
+        F.col("heart_rate_in").cast("double").alias("heart_rate"),
+        F.col("bp_systolic_in").cast("double").alias("bp_systolic"),
+        F.col("bp_diastolic_in").cast("double").alias("bp_diastolic"))
+    out = model.predict(intake, ["animal_id"])
+    return out.select("animal_id", F.col("predicted_label").alias("predicted_outcome"),
+                      model.class_probability_pct(FV.OUTCOME_LIVE).alias("chance_of_living"))
+
+
+_SVM_FEATURES = ["sex", "age_years", "heart_rate", "disease", "bp_systolic", "bp_diastolic"]
+
+
+def _comparison_split(spark, sf_dir) -> DataFrame:
+    f = filters.drop_null_rows(encoded_comparison_frame(spark, sf_dir))
+    f = f.withColumn("target", F.col("health_status").cast("string"))
+    f = f.withColumns({c: F.col(c).cast("double") for c in _SVM_FEATURES})
+    return ml.hash_split(f, "animal_id")
+
+
+def _fit_compare(spark, sf_dir, clf):
+    f = _comparison_split(spark, sf_dir)
+    model = ml.fit_classifier(f.where(F.col("split") == "train"), _SVM_FEATURES, [], "target", clf,
+                              scale=True)
+    return model.predict(f.where(F.col("split") == "test"), ["animal_id", "target"])
+
+
+@query("svm_linear")
+def svm_linear(spark, sf_dir):
+    return _fit_compare(spark, sf_dir, ml.linear_svm()).select(
+        "animal_id", F.col("target").alias("health_status"), "predicted_label")
+
+
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    rf = ml.accuracy(_fit_compare(spark, sf_dir, ml.forest("label_idx")), "predicted_label", "target")
+    svm = ml.accuracy(_fit_compare(spark, sf_dir, ml.linear_svm()), "predicted_label", "target")
+    return (rf.select(F.lit("Random Forest").alias("model"), "accuracy_pct")
+            .unionByName(svm.select(F.lit("SVM").alias("model"), "accuracy_pct")))
+
+
+@query("combined_diagnosis")
+def combined_diagnosis(spark, sf_dir):
+    """Rule part first; rows that need it get the health model's label + model mark."""
+    a = views.animal(spark, sf_dir)
+    a = clean.blank_normalise(a, [c for c in a.columns if c != "animal_id"])
+    d = rules.combined_diagnosis_rule_part(a).withColumnRenamed("prediction", "rule_prediction")
+    d = d.withColumns({
+        "bp_num": F.coalesce(to_double(bp_part("bp", 1)), F.lit(0.0)),
+        "heart_rate_num": F.coalesce(to_double(filters.alias_value(d, ["heart_rate"], "0")), F.lit(0.0)),
+        "age_num": F.coalesce(to_double(filters.alias_value(d, ["age_years"], "0")), F.lit(0.0)),
+    })
+    model = fit_health_model(spark, sf_dir)
+    scored = model.predict(d, ["animal_id", "rule_prediction", "needs_model"])
+    return scored.select("animal_id", F.when(F.col("needs_model"),
+                                             F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)))
+                         .otherwise(F.col("rule_prediction")).alias("prediction"))
+
+
+__all__ = ["comparison_frame"]
