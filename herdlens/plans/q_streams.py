@@ -1,3 +1,53 @@
-"""q_streams queries."""
+"""Streaming queries (ST1, ST2): their final output equals the batch answer."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from herdlens.plans.q_rules import _LABEL_RULES, _REQ, _RULES26
+from herdlens.plans.q_updates import _VAX
+from herdlens.plans import sql_parts as S
+from herdlens.plans.registry import query
+from herdlens.sources import views
+from herdlens.sources.tables import scratch_path
+from herdlens.streaming import intake, vaccination_state
+from herdlens import fixed_values as FV
+
+
+def _as_files(df, path: str, files: int, by) -> None:
+    """Stage rows as several Parquet files (the stream's input)."""
+    df.repartition(files, by).write.mode("errorifexists").parquet(path)
+
+
+@query("stream_intake_scoring", S.with_(S.ANIMAL, _RULES26, _LABEL_RULES, _REQ, """sc AS (
+ SELECT q.animal_id, r.ord, r.disease,
+  sum(CAST(contains(q.s1, r.kw) AS INT) + CAST(contains(q.s2, r.kw) AS INT)) AS score
+ FROM req q CROSS JOIN rules r GROUP BY q.animal_id, r.ord, r.disease)""", f"""top AS (
+ SELECT animal_id, CASE WHEN max(score) > 0 THEN arg_max(disease, score * 100000 - ord)
+  ELSE {S.q(FV.NO_MATCH_LABEL)} END AS disease FROM sc GROUP BY animal_id)""", """hit AS (
+ SELECT q.animal_id, min(r.ord) AS ord FROM req q JOIN lrules r
+   ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""") + """
+SELECT a.animal_id, r.label, t.disease FROM animal a JOIN top t ON a.animal_id = t.animal_id
+LEFT JOIN hit h ON a.animal_id = h.animal_id LEFT JOIN lrules r ON r.ord = h.ord""")
+def stream_intake_scoring(spark, sf_dir):
+    forms = views.animal(spark, sf_dir)
+    src, sink, ckpt = (scratch_path(spark, p) for p in ("intake-src", "intake-out", "intake-ckpt"))
+    _as_files(forms, src, 8, F.col("animal_id"))
+    intake.run_intake_stream(spark, src, forms.schema, sink, ckpt)
+    return spark.read.parquet(sink).select("animal_id", "label", "disease")
+
+
+@query("stream_vaccination_state", _VAX + """
+SELECT a.animal_id, coalesce(max(CASE WHEN r.slot = 1 THEN r.text END), '') AS vaccination_1,
+ coalesce(max(CASE WHEN r.slot = 2 THEN r.text END), '') AS vaccination_2
+FROM animal a LEFT JOIN ranked r ON r.animal_id = a.animal_id AND r.slot <= 2 GROUP BY a.animal_id""")
+def stream_vaccination_state(spark, sf_dir):
+    entries = views.vaccinations(spark, sf_dir)
+    records = views.animal(spark, sf_dir).select("animal_id")
+    src, state, ckpt = (scratch_path(spark, p) for p in ("vax-src", "vax-state", "vax-ckpt"))
+    # Files are cut by a hash of the sequence, so arrival order is not event order.
+    _as_files(entries, src, 6, F.xxhash64("seq"))
+    table = vaccination_state.run_vaccination_stream(spark, src, entries.schema, records, state, ckpt)
+    cur = table.current_version()
+    st = table.read(cur) if cur is not None else None
+    return vaccination_state.state_as_slots(records, st)

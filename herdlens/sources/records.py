@@ -153,6 +153,22 @@ class VersionedTable:
             write_text_file(self.spark, self._pointer(), str(v))
         return v
 
+    def versions(self) -> list[int]:
+        """Completed versions (those with a ``_SUCCESS`` marker), ascending."""
+        fs, p = _fs_path(self.spark, self.root)
+        if not fs.exists(p):
+            return []
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
+                out.append(int(name[2:]))
+        return sorted(out)
+
+    def latest_before(self, version: int) -> int | None:
+        older = [v for v in self.versions() if v < version]
+        return older[-1] if older else None
+
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current_version() if version is None else version
         if v is None:
