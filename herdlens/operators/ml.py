@@ -123,9 +123,12 @@ def accuracy(df: DataFrame, prediction: str, label: str, by: Sequence[str] = ())
 
 def forest(label_col: str, features_col: str = "features", num_trees: int = 100,
            max_depth: int = 10, seed: int = SEED) -> RandomForestClassifier:
+    # Larger node batches per pass and cached node ids cut the number of
+    # passes over the training rows per tree level.
     return RandomForestClassifier(labelCol=label_col, featuresCol=features_col, numTrees=num_trees,
                                   maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                  subsamplingRate=1.0, bootstrap=True)
+                                  subsamplingRate=1.0, bootstrap=True, maxMemoryInMB=1024,
+                                  cacheNodeIds=True)
 
 
 class FittedClassifier:

@@ -84,40 +84,62 @@ def sql_str(s: str) -> str:
 # Catalyst expression tree.
 
 def _hit(text: str, kw: str) -> str:
-    return f"(instr({text}, {sql_str(kw)}) > 0)"
+    # contains() tests the first byte before comparing; instr() compares at every position.
+    return f"contains({text}, {sql_str(kw)})"
 
 
-def score_sql(table: KeywordTable, texts: Sequence[str], mode: str = "each") -> list[str]:
-    """One integer score expression per rule entry, over text column names.
-
-    ``mode="each"``: +1 for every (keyword, text) pair that matches, so a keyword
-    present in two texts counts twice. ``mode="any"``: +1 per keyword found in
-    at least one text.
-    """
-    out = []
+def _distinct_keywords(table: KeywordTable) -> list[str]:
+    seen: dict[str, None] = {}
     for _, kws in table.entries:
-        terms = []
         for kw in kws:
-            hits = [_hit(t, kw) for t in texts]
-            if mode == "each":
-                terms.extend(f"CAST({h} AS INT)" for h in hits)
-            elif mode == "any":
-                terms.append(f"CAST(({' OR '.join(hits)}) AS INT)")
-            else:
-                raise ValueError(f"unknown scoring mode {mode!r}")
-        out.append("(" + " + ".join(terms) + ")")
-    return out
-
-
-def top1_sql(table: KeywordTable, texts: Sequence[str], mode: str = "each",
-             fallback: str | None = None) -> str:
-    """Best label: highest score, ties to the earliest rule; all zero -> fallback."""
-    items = ", ".join(
-        f"named_struct('score', {sc}, 'neg_ord', {-(i + 1)}, 'label', {sql_str(label)})"
-        for i, ((label, _), sc) in enumerate(zip(table.entries, score_sql(table, texts, mode))))
+            seen.setdefault(kw, None)
+    return list(seen)
+
+
+def hit_sql(kw: str, texts: Sequence[str], mode: str) -> str:
+    """Integer hit count of one keyword: per text (``each``) or once (``any``)."""
+    hits = [_hit(t, kw) for t in texts]
+    if mode == "each":
+        return " + ".join(f"CAST({h} AS INT)" for h in hits)
+    if mode == "any":
+        return f"CAST(({' OR '.join(hits)}) AS INT)"
+    raise ValueError(f"unknown scoring mode {mode!r}")
+
+
+def _with_hits(df: DataFrame, table: KeywordTable, texts: Sequence[str], mode: str):
+    """Step 1: one integer hit column per distinct keyword (each text scanned once per keyword)."""
+    kws = _distinct_keywords(table)
+    names = {kw: f"__hit{j}" for j, kw in enumerate(kws)}
+    cols = [F.expr(hit_sql(kw, texts, mode)).alias(n) for kw, n in names.items()]
+    return df.select("*", *cols), names
+
+
+def score_sql(table: KeywordTable, hit_names: dict[str, str]) -> list[str]:
+    """Step 2: one score expression per rule entry = sum of its keyword hit columns."""
+    return ["(" + " + ".join(hit_names[kw] for kw in kws) + ")" for _, kws in table.entries]
+
+
+# Best rule as one integer: score * BASE + (BASE - 1 - rule index); ``greatest``
+# then yields the highest score with ties to the earliest rule.
+_BASE = 1 << 20
+
+
+def best_sql(table: KeywordTable, hit_names: dict[str, str]) -> str:
+    """Packed best (score, earliest rule) over all rule entries."""
+    if len(table.entries) >= _BASE:
+        raise ValueError("too many rules for the packed top-1")
+    enc = ", ".join(f"CAST({sc} AS BIGINT) * {_BASE} + {_BASE - 1 - i}"
+                    for i, sc in enumerate(score_sql(table, hit_names)))
+    return f"greatest({enc})" if len(table.entries) > 1 else enc
+
+
+def label_of_best_sql(table: KeywordTable, best: str, fallback: str | None = None) -> str:
+    """Label of a packed best value; all scores zero -> fallback."""
+    labels = "array(" + ", ".join(sql_str(lbl) for lbl, _ in table.entries) + ")"
     fb = table.fallback if fallback is None else fallback
-    best = f"array_max(array({items}))"
-    return f"CASE WHEN {best}.score > 0 THEN {best}.label ELSE {sql_str(fb)} END"
+    return (f"CASE WHEN {best} >= {_BASE} "
+            f"THEN element_at({labels}, CAST({_BASE - 1} - {best} % {_BASE} + 1 AS INT)) "
+            f"ELSE {sql_str(fb)} END")
 
 
 def first_match_sql(rules: Sequence[tuple[str, str]], texts: Sequence[str]) -> str:
@@ -141,10 +163,11 @@ def keyword_scores(df: DataFrame, id_cols: Sequence[str], text_cols: Sequence[st
     Generated by ``inline`` of a literal array per row: a narrow operator.
     """
     df2, names = _with_texts(df, text_cols, lowercase, text_transform)
+    df3, hits = _with_hits(df2, table, names, mode)
     items = ", ".join(
         f"named_struct('ord', {i + 1}, 'disease', {sql_str(label)}, 'score', {sc})"
-        for i, ((label, _), sc) in enumerate(zip(table.entries, score_sql(table, names, mode))))
-    return df2.select(*id_cols, F.inline(F.expr(f"array({items})")))
+        for i, ((label, _), sc) in enumerate(zip(table.entries, score_sql(table, hits))))
+    return df3.select(*id_cols, F.inline(F.expr(f"array({items})")))
 
 
 def keyword_top1(df: DataFrame, text_cols: Sequence[str | Column],
@@ -158,7 +181,10 @@ def keyword_top1(df: DataFrame, text_cols: Sequence[str | Column],
     substring hit.
     """
     df2, names = _with_texts(df, text_cols, lowercase, text_transform)
-    return df2.withColumn(out_col, F.expr(top1_sql(table, names, mode, fallback))).drop(*names)
+    df3, hits = _with_hits(df2, table, names, mode)
+    return (df3.withColumn("__best", F.expr(best_sql(table, hits)))
+            .withColumn(out_col, F.expr(label_of_best_sql(table, "__best", fallback)))
+            .drop(*names, *hits.values(), "__best"))
 
 
 def first_match_label(df: DataFrame, text_cols: Sequence[str | Column],

@@ -17,6 +17,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rule scoring compiles into wide projections; above HotSpot's huge-method
+    # size the JIT skips a method, so fall back from whole-stage codegen to the
+    # split per-expression code before that point.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -32,7 +32,7 @@ def merge_batch(state: DataFrame | None, batch: DataFrame, keep: int = 2) -> Dat
 
 def run_vaccination_stream(spark: SparkSession, source_dir: str, schema: StructType,
                            known_ids: DataFrame, state_root: str, checkpoint_dir: str,
-                           files_per_trigger: int = 1, keep: int = 2) -> VersionedTable:
+                           files_per_trigger: int = 2, keep: int = 2) -> VersionedTable:
     table = VersionedTable(spark, state_root)
 
     def process(batch: DataFrame, batch_id: int) -> None:
