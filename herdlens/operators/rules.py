@@ -1,11 +1,12 @@
 """Keyword rule scoring (first-match label, per-disease scores, top-1).
 
-The rule tables are small and fixed (tens of keywords), so the fast path
-compiles them into literal column expressions: every record is scored in a
-single narrow projection inside whole-stage codegen, with no join, no
-shuffle and no Python. Rules supplied as a DataFrame are size-checked and
-compiled the same way; beyond that bound ``keyword_top1_automaton`` scores
-them with one Aho-Corasick pass per text inside Arrow batches.
+The rule tables are small and fixed (tens of keywords), so they are
+compiled into literal column expressions: every record is scored in narrow
+projections (one hit column per distinct keyword, then one packed
+``greatest`` for the best rule), with no join, no shuffle and no Python.
+Rule tables given as a DataFrame are configuration: they are collected only
+after a size check and compiled the same way; a table over the bound is
+refused with an error rather than truncated.
 """
 
 from __future__ import annotations
@@ -40,24 +41,24 @@ DISEASES_6 = KeywordTable.of(FV.DISEASE_KEYWORDS_SIX, FV.NO_MATCH_LABEL_SIX)
 DISEASES_8 = KeywordTable.of(FV.DISEASE_KEYWORDS_EIGHT, FV.NO_MATCH_LABEL_EIGHT)
 TEXT_MARKERS = KeywordTable.of(FV.TEXT_RULES, FV.TEXT_NO_MATCH_LABEL)
 
-# Compiling rules into one projection is right while the expression stays
-# small; above this many keywords the join form is used.
+# Upper bound on keywords collected from a rule DataFrame (configuration, not data).
 MAX_COMPILED_KEYWORDS = 5_000
 
 
 def keyword_table_from_df(rules: DataFrame, label_col: str = "disease", keyword_col: str = "kw",
                           order_col: str = "ord", fallback: str = FV.NO_MATCH_LABEL,
-                          max_keywords: int = MAX_COMPILED_KEYWORDS) -> KeywordTable | None:
-    """Collect a rule DataFrame into a ``KeywordTable`` if it is provably small.
+                          max_keywords: int = MAX_COMPILED_KEYWORDS) -> KeywordTable:
+    """Collect a rule DataFrame into a ``KeywordTable`` after a size check.
 
-    Returns None when the table has more than ``max_keywords`` rows; only
-    ``max_keywords + 1`` rows are ever pulled to the driver for the check.
+    At most ``max_keywords + 1`` rows are pulled to the driver; a larger
+    table raises instead of being cut.
     """
     rows = (rules.select(F.col(order_col).alias("o"), F.col(label_col).alias("l"),
                          F.col(keyword_col).alias("k"))
             .limit(max_keywords + 1).collect())
     if len(rows) > max_keywords:
-        return None
+        raise ValueError(f"rule table has more than {max_keywords} keywords; raise max_keywords "
+                         "explicitly if this is intended")
     by_label: dict[tuple, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.o, r.l)):
         by_label.setdefault((r.o, r.l), []).append(r.k)
