@@ -47,10 +47,13 @@ def lookup(requests: DataFrame, request_key: str, records: DataFrame, record_key
            order: str | None = ORDER_COL, how: str = "inner") -> DataFrame:
     """Requests joined to the first record whose key text equals the request text."""
     req = requests.withColumn("_key", F.col(request_key).cast("string"))
+    rec = records.withColumn("_key", F.col(record_key).cast("string"))
     if order is not None:
-        rec = first_per_key(records, F.col(record_key).cast("string")).drop(order)
-    else:
-        rec = records.withColumn("_key", F.col(record_key).cast("string"))
+        # Only keys that are asked for are de-duplicated: the semi-join keeps the
+        # per-key reduction proportional to the requested keys, not the table.
+        wanted = req.select("_key").distinct()
+        rec = first_per_key(rec.join(wanted, "_key", "left_semi").drop("_key"),
+                            F.col(record_key).cast("string")).drop(order)
     rec_cols = [c for c in rec.columns if c != "_key" and c not in req.columns]
     return req.join(rec.select("_key", *rec_cols), "_key", how).drop("_key")
 
