@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.functions.numbers import to_double
 from herdlens.functions.text import join_pair, py_strip
 from herdlens.operators import clean, filters
 from herdlens.plans import sql_parts as S
@@ -268,5 +267,3 @@ def symptom_join_text(spark, sf_dir):
                               ["symptom_1", "symptom_2"])
     return a.select("animal_id", join_pair("symptom_1", "symptom_2").alias("symptoms"))
 
-
-__all__ = ["comparison_frame", "to_double"]

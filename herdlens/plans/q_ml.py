@@ -15,7 +15,7 @@ from herdlens.functions.bp import bp_part
 from herdlens.functions.numbers import to_double
 from herdlens.operators import clean, filters, ml, rules
 from herdlens.plans import sql_parts as S
-from herdlens.plans.q_clean import _TRAIN, _bp, comparison_frame
+from herdlens.plans.q_clean import _TRAIN, _bp
 from herdlens.plans.registry import query
 from herdlens.sources import views
 
@@ -243,5 +243,3 @@ def combined_diagnosis(spark, sf_dir):
                                              F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)))
                          .otherwise(F.col("rule_prediction")).alias("prediction"))
 
-
-__all__ = ["comparison_frame"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.operators import clean
 from herdlens.plans import sql_parts as S
 from herdlens.plans.q_updates import _MERGE_SQL, merged_records
 from herdlens.plans.registry import query
@@ -60,5 +59,3 @@ def table_save_roundtrip(spark, sf_dir):
     table.save(merged_records(spark, sf_dir))
     return table.read()
 
-
-__all__ = ["clean"]
