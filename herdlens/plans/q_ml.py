@@ -17,7 +17,7 @@ from herdlens.operators import clean, filters, ml, rules
 from herdlens.plans import sql_parts as S
 from herdlens.plans.q_clean import _TRAIN, _bp
 from herdlens.plans.registry import query
-from herdlens.sources import views
+from herdlens.sources import records, views
 
 _HASH = "CAST(('0x' || substr(md5(CAST(animal_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
 _SPLIT = f"CASE WHEN {_HASH} = 0 THEN 'test' ELSE 'train' END"
@@ -133,8 +133,12 @@ def accuracy_metric(spark, sf_dir):
 
 # --- models (rows-only checks) ---
 
+HEALTH_REQUIRED = ["bp", "heart_rate", "age_years", "health_status"]
+
+
 def health_frame(spark, sf_dir) -> DataFrame:
-    h = clean.health_features(views.animal(spark, sf_dir))
+    a = records.require_columns(views.animal(spark, sf_dir), HEALTH_REQUIRED)
+    h = clean.health_features(a)
     # MLlib trees take no missing values: a missing systolic is fed as 0.0.
     h = h.withColumn("bp_num", F.coalesce(F.col("bp_num"), F.lit(0.0)))
     return ml.hash_split(h, "animal_id")

@@ -197,3 +197,15 @@ def test_versioned_table_replay_is_idempotent(spark):
     t.save(spark.range(7), version=1)  # replay of batch 1: kept as first written
     assert t.current_version() == 1 and t.read().count() == 5
     assert t.versions() == [0, 1] and t.latest_before(1) == 0
+
+
+def test_required_columns_check(spark):
+    from herdlens.sources.records import MissingColumns, require_columns
+
+    df = spark.createDataFrame([(1, "120/80")], "animal_id bigint, bp string")
+    assert require_columns(df, ["bp"]) is df
+    try:
+        require_columns(df, ["bp", "heart_rate"])
+        raise AssertionError("expected a missing-column error")
+    except MissingColumns as e:
+        assert "heart_rate" in str(e)
