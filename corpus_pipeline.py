@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdlens.llm import line_dedup, mixing, simhash
-from herdlens.llm.common import stored
+from herdlens.llm import line_dedup, mixing, packing, quality, simhash
+from herdlens.llm.common import ship, stored
 from herdlens.sources.tables import read_table
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels")).select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays."""
+    ship(spark)
     return simhash.keep_one(docs).select(*docs.columns)
 
 
@@ -22,10 +29,18 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.emit_copies(mixing.mix(docs)).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece with its place; a document emitted twice by the mix is packed twice."""
+    ship(spark)
+    return packing.pack(packing.token_pieces(docs))
+
+
 STAGES = [
+    ("quality_classifier", keep_good_quality),
     ("line_dedup", drop_repeated_lines),
     ("simhash_dedup", one_of_each_group),
     ("mix_sources", mix_to_weights),
+    ("best_fit_packing", pack_sequences),
 ]
 
 #: The classifier and the packing have no SQL form.

@@ -241,11 +241,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 
         return inner.withColumn("_key", F.col(key).cast("long")).mapInArrow(clean, inner.schema)
 
-    marks = None
-    for g in range(groups):
-        held = index_of(g)
-
-        def mark(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    def marking(held):
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = LineIndex(held.value, shards)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
@@ -253,8 +250,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in
                                                   enumerate((pa.int64(), pa.string(), pa.list_(pa.int32())))], names=["_id", "_print", "_gone"])
 
+        return mark
+
+    marks = None
+    for g in range(groups):
         rows = docs.select(F.col(key).cast("long").alias("_id"), text_of(docs, text).alias("_text"), F.sha2(text_of(docs, text), 256).alias("_print"))
-        part = stored(rows.mapInArrow(mark, "_id long, _print string, _gone array<int>"), "lines-marks")
+        part = stored(rows.mapInArrow(marking(index_of(g)), "_id long, _print string, _gone array<int>"), "lines-marks")
         marks = part if marks is None else marks.unionByName(part)
     # Decisions hang on id and text alone, so repeated rows share one mark.
     marks = stored(marks.distinct().groupBy("_id", "_print").agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone")), "lines-marks")

@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdlens.llm import line_dedup, mixing, sharding, simhash
+from herdlens.llm import line_dedup, mixing, packing, quality, sharding, simhash
+from herdlens.llm.common import ship
 from herdlens.sources.tables import read_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
 def _over(table: str, build: Callable[[DataFrame], DataFrame]) -> Builder:
-    return lambda spark, sf_dir: build(read_table(spark, sf_dir, table))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return build(read_table(spark, sf_dir, table))
+
+    return run
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.op4_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Builder] = {
+    "op1_packing": _over("documents", packing.op1_query),
+    "op4_quality_classifier": _quality,
     "op6_mix_sources": _over("documents", mixing.op6_query),
     "op8_line_dedup": _over("documents", line_dedup.op8_query),
     "op9_hilbert_sharding": _over("documents", sharding.op9_query),
