@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdlens.llm import line_dedup, mixing, packing, quality, sharding, simhash
+from herdlens.llm import ann, chat, html_extract, line_dedup, mixing, packing, quality, sharding, simhash, topk
 from herdlens.llm.common import ship
 from herdlens.sources.tables import read_table
 
@@ -28,6 +28,10 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Builder] = {
     "op1_packing": _over("documents", packing.op1_query),
+    "op2_top_k": _over("embeddings", topk.op2_query),
+    "op5_collision_ann": _over("embeddings", ann.op5_query),
+    "op3_html_main_text": _over("pages", html_extract.op3_query),
+    "op7_quotation_linking": _over("conversations", chat.op7_query),
     "op4_quality_classifier": _quality,
     "op6_mix_sources": _over("documents", mixing.op6_query),
     "op8_line_dedup": _over("documents", line_dedup.op8_query),
@@ -36,6 +40,8 @@ QUERIES: dict[str, Builder] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_top_k": topk.OP2_SQL,
     "op6_mix_sources": mixing.OP6_SQL,
+    "op7_quotation_linking": chat.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
 }
