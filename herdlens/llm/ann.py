@@ -2,11 +2,12 @@
 
 Every task indexes its rows in blocks: for each of m random projections
 (rows of random orthonormal bases) the block's projections are sorted. A query
-opens a window around its own projection in every array; a row collides once
-per window it is in. Virtual rehashing widens all windows step by step, and
-only what a step adds is counted. Rows whose collisions pass the threshold are
-verified by their exact inner product; widening ends when enough rows of the
-block have passed, so the share verified, not their number, is what is set.
+opens a window around its own projection in every array: a range of ranks. A
+row collides once per window its rank is in. Virtual rehashing widens all
+windows by steps until enough rows of the block pass the collision threshold;
+those are verified by their exact inner product. So the share verified, not
+their number, is what is set. Rows that pass grow with the step, so the first
+step that is enough is looked for from the one the last query ended at.
 
 Largest inner product becomes least distance by one extra component that
 brings all rows of a block to one norm; rows far apart in norm are indexed
@@ -41,8 +42,11 @@ class BlockIndex:
         self.norm = norm.max()
         lift = np.sqrt(np.maximum(self.norm ** 2 - norm ** 2, 0))
         p = np.concatenate((x, lift[:, None]), axis=1) @ directions
-        self.order = np.argsort(p, axis=0).T.copy()
-        self.sorted = np.take_along_axis(p.T, self.order, 1)
+        order = np.argsort(p, axis=0).T
+        self.sorted = np.take_along_axis(p.T, order, 1)
+        # Ranks as 16 bits: a block holds fewer than 2**16 rows.
+        self.rank = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.uint16)[None, :], 1)
         self.spread = p.std() or 1.0
         self.directions, self.size = directions, len(x)
 
@@ -53,33 +57,35 @@ class BlockIndex:
             return
         scale = self.norm / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)
         centre = (np.concatenate((q * scale[:, None], np.zeros((len(q), 1))), axis=1) @ self.directions).T
-        m = len(self.order)
+        m = len(self.rank)
         need = int(np.ceil(threshold * m))
         steps: list[tuple[np.ndarray, np.ndarray]] = []
+        shifted, hit = np.empty(self.size, np.uint16), np.empty(self.size, bool)
 
-        def window(step: int):
+        def passed(query: int, step: int) -> np.ndarray:
             while len(steps) <= step:
                 w = first * growth ** len(steps) * self.spread
                 low = np.stack([np.searchsorted(s, c - w, side="left") for s, c in zip(self.sorted, centre)], axis=1)
                 high = np.stack([np.searchsorted(s, c + w, side="right") for s, c in zip(self.sorted, centre)], axis=1)
-                steps.append((low, high))
-            return steps[step]
-
+                steps.append((low.astype(np.uint16), (high - low).astype(np.uint16)))
+            count = np.zeros(self.size, np.uint16)
+            for rank, low, width in zip(self.rank, *(side[query] for side in steps[step])):
+                np.subtract(rank, low, out=shifted)  # below the window wraps to a large number
+                np.less(shifted, width, out=hit)
+                np.add(count, hit, out=count)
+            return np.flatnonzero(count >= need)
+
+        step = 0
         for i in range(len(q)):
-            count, step = np.zeros(self.size, np.int64), 0
-            was_low = was_high = None
-            while True:
-                low, high = (side[i].tolist() for side in window(step))
-                if was_low is None:
-                    added = [o[a:b] for o, a, b in zip(self.order, low, high)]
-                else:
-                    added = [o[a:b] for o, a, b in zip(self.order, low, was_low)] + [o[a:b] for o, a, b in zip(self.order, was_high, high)]
-                count += np.bincount(np.concatenate(added), minlength=self.size)
-                passed = np.flatnonzero(count >= need)
-                if len(passed) >= wanted:
-                    yield i, passed
-                    break
-                was_low, was_high, step = low, high, step + 1
+            rows = passed(i, step)
+            if len(rows) >= wanted:
+                while step and len(fewer := passed(i, step - 1)) >= wanted:
+                    rows, step = fewer, step - 1
+            else:
+                while len(rows) < wanted:
+                    step += 1
+                    rows = passed(i, step)
+            yield i, rows
 
 
 def _search(held, dims: int, k: int, block_rows: int, m: int, threshold: float, share: float, extra: int, first: float, growth: float, seed: int):
@@ -114,8 +120,11 @@ def _search(held, dims: int, k: int, block_rows: int, m: int, threshold: float,
         for b in batches:
             parts.append((b.column(0).to_numpy(), matrix(b.column(1), dims)))
             if sum(len(p[0]) for p in parts) >= block_rows:
-                index(*(np.concatenate(c) for c in zip(*parts)))
-                parts = []
+                ids, x = (np.concatenate(c) for c in zip(*parts))
+                full = len(ids) - len(ids) % block_rows
+                for i in range(0, full, block_rows):
+                    index(ids[i:i + block_rows], x[i:i + block_rows])
+                parts = [(ids[full:], x[full:])]
         if parts and sum(len(p[0]) for p in parts):
             index(*(np.concatenate(c) for c in zip(*parts)))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, [len(s) for s, _ in best])), pa.array(np.concatenate([w for _, w in best])),

@@ -111,8 +111,14 @@ def score_texts(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs: int = 8, rate: float = 0.5,
-          seed: int = 1) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias) from (buckets, counts, label) rows, by SGD over a softmax of averaged vectors."""
+          seed: int = 1, min_steps: int = 12_000) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, bias) from (buckets, counts, label) rows, by SGD over a softmax of averaged vectors.
+
+    Small samples are gone over more often, so that ``min_steps`` are taken.
+    """
+    if not rows:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    epochs = max(epochs, -(-min_steps // len(rows)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out = np.zeros((2, dim + 1), np.float32)
