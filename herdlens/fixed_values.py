@@ -151,8 +151,42 @@ SYMPTOM_2_CHOICES = [
 ]
 
 # Health verdict messages.
-VERDICT_HEALTHY = "The animal appears healthy."
-VERDICT_ATTENTION = "The animal may need medical attention."
+VERDICT_HEALTHY = "🟢 The animal appears healthy."
+VERDICT_ATTENTION = "🔴 The animal may need medical attention."
+
+# Header names of the record file -> column names.
+RECORD_HEADERS: dict[str, str] = {
+    "Animal ID": "animal_id",
+    "Name": "name",
+    "Species": "species",
+    "Breed": "breed",
+    "Sex": "sex",
+    "Age (years)": "age_years",
+    "Age": "age",
+    "BP": "bp",
+    "Heart Rate (bpm)": "heart_rate",
+    "Heart Rate": "heart_rate_bpm",
+    "Oxygen Saturation (%)": "oxygen_saturation_pct",
+    "Oxygen Saturation": "oxygen_saturation",
+    "Health Status": "health_status",
+    "Symptom 1": "symptom_1",
+    "Symptom 2": "symptom_2",
+    "Disease": "disease",
+    "Detected Disease": "detected_disease",
+    "Doctor Suggestion": "doctor_suggestion",
+    "Vaccination 1": "vaccination_1",
+    "Vaccination 2": "vaccination_2",
+    "Special Care": "special_care",
+}
+
+# Columns that hold the same field, in the order they are looked at.
+AGE_NAMES = ["age_years", "age"]
+HEART_RATE_NAMES = ["heart_rate", "heart_rate_bpm"]
+OXYGEN_NAMES = ["oxygen_saturation_pct", "oxygen_saturation"]
+
+# Feature columns of the models.
+NUMERIC_FEATURES = ["heart_rate", "bp_systolic", "bp_diastolic"]
+CATEGORICAL_FEATURES = ["species", "breed", "sex", "health_status", "symptom_1", "symptom_2"]
 
 # Scan text without an id.
 NO_ID_STATUS = "QR scanned but no ID found."

@@ -39,6 +39,3 @@ def trunc_to_long(c: str | Column) -> Column:
     x = col_(c)
     return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("bigint")
 
-
-def round_half_even(c: str | Column, digits: int = 2) -> Column:
-    return F.bround(col_(c), digits)

@@ -41,11 +41,6 @@ def join_pair(first: str | Column, second: str | Column, sep: str = ", ") -> Col
     return F.when(b != F.lit(""), F.concat(a, F.lit(sep), b)).otherwise(a)
 
 
-def contains_text(haystack: Column, needle: str) -> Column:
-    """Plain substring test (no LIKE wildcards, no word boundaries)."""
-    return F.instr(haystack, needle) > F.lit(0)
-
-
 def symptom_text(c: str | Column) -> Column:
     """Request-side symptom: lowercased and stripped; null -> ''."""
     return F.coalesce(F.lower(py_strip(col_(c))), F.lit(""))

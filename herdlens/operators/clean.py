@@ -74,17 +74,27 @@ def bp_split(df: DataFrame, bp: str = "bp", out=("bp_systolic", "bp_diastolic"))
     return df.withColumns({out[0]: bp_value(bp, 1), out[1]: bp_value(bp, 2)})
 
 
-def bp_systolic_num(df: DataFrame, bp: str = "bp", out: str = "bp_num") -> DataFrame:
-    """Training-time systolic (parse error -> 0.0, missing -> null)."""
-    return df.withColumn(out, systolic_for_training(bp))
+def bp_systolic_num(df: DataFrame, bp: str = "bp", out: str = "bp_num", on_error: str = "zero") -> DataFrame:
+    """Training-time systolic (parse error -> 0.0, missing -> null).
+
+    C6b: with ``on_error="fail"`` a value that does not parse stops the query.
+    """
+    if on_error == "zero":
+        return df.withColumn(out, systolic_for_training(bp))
+    if on_error != "fail":
+        raise ValueError(on_error)
+    value = bp_value(bp, 1)
+    wrong = F.concat(F.lit("could not convert to a number: "), F.col(bp).cast("string"))
+    bad = F.col(bp).isNotNull() & value.isNull()
+    return df.withColumn(out, F.when(bad, F.raise_error(wrong).cast("double")).otherwise(value))
 
 
 # ---------------------------------------------------------------------------
 # Feature frames
 # ---------------------------------------------------------------------------
 
-NUMERIC_FEATURES = ["heart_rate", "bp_systolic", "bp_diastolic"]
-CATEGORICAL_FEATURES = ["species", "breed", "sex", "health_status", "symptom_1", "symptom_2"]
+NUMERIC_FEATURES = FV.NUMERIC_FEATURES
+CATEGORICAL_FEATURES = FV.CATEGORICAL_FEATURES
 
 
 def outcome_label(df: DataFrame, disease: str = "disease", out: str = "outcome",

@@ -2,22 +2,21 @@
 
 Lookups are joins of a request batch against the record table on the key
 compared as text. "First match wins" is made explicit: records carry an
-input-order column and duplicates per key are resolved with ``min_by``,
-which aggregates partially before the shuffle, so a key holding a large
-share of the rows never lands whole in one task. Whether a join side is
-broadcast is left to AQE, which decides from measured sizes at run time.
+input-order column and the first row per key is ``row_number() = 1``, which
+Spark limits to one row per key and task before the shuffle. Whether a join
+side is broadcast is left to AQE, which decides from measured sizes at run time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.functions.numbers import is_float_text
-from herdlens.functions.text import first_non_blank, py_strip
+from herdlens.functions.numbers import is_float_text, to_double
+from herdlens.functions.text import first_non_blank, null_or_nan_text_to_empty, py_strip
 
 ORDER_COL = "_input_order"
 
@@ -32,30 +31,27 @@ def with_input_order(df: DataFrame, out: str = ORDER_COL) -> DataFrame:
                                        F.col("_metadata.row_index").alias("r")))
 
 
-def first_per_key(df: DataFrame, key: str | Column, order: str = ORDER_COL,
-                  key_name: str = "_key") -> DataFrame:
-    """One row per key: the earliest by ``order`` (partial aggregation, skew-safe)."""
-    cols = [c for c in df.columns]
-    k = F.col(key) if isinstance(key, str) else key
-    return (df.withColumn(key_name, k)
-            .groupBy(key_name)
-            .agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
-            .select(key_name, "_r.*"))
-
-
 def lookup(requests: DataFrame, request_key: str, records: DataFrame, record_key: str,
-           order: str | None = ORDER_COL, how: str = "inner") -> DataFrame:
-    """Requests joined to the first record whose key text equals the request text."""
-    req = requests.withColumn("_key", F.col(request_key).cast("string"))
+           order: str | None = ORDER_COL, how: str = "inner", spread: int = 16) -> DataFrame:
+    """Requests joined to the first record whose key text equals the request text.
+
+    Only keys that are asked for are looked up. A key that many requests ask
+    for is spread: requests are dealt over ``spread`` parts and the one record
+    found per key is there in each part. A record column that shares its name
+    with a request column comes back as ``record_<name>``.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in requests.columns]), F.lit(spread)).cast("int")
+    req = requests.withColumns({"_key": F.col(request_key).cast("string"), "_part": part})
     rec = records.withColumn("_key", F.col(record_key).cast("string"))
     if order is not None:
-        # Only keys that are asked for are de-duplicated: the semi-join keeps the
-        # per-key reduction proportional to the requested keys, not the table.
         wanted = req.select("_key").distinct()
-        rec = first_per_key(rec.join(wanted, "_key", "left_semi").drop("_key"),
-                            F.col(record_key).cast("string")).drop(order)
-    rec_cols = [c for c in rec.columns if c != "_key" and c not in req.columns]
-    return req.join(rec.select("_key", *rec_cols), "_key", how).drop("_key")
+        first = Window.partitionBy("_key").orderBy(order)
+        rec = (rec.join(wanted, "_key", "left_semi").withColumn("_n", F.row_number().over(first))
+               .where(F.col("_n") == 1).drop("_n", order))
+    rec = rec.select("_key", *[F.col(c).alias(f"record_{c}" if c in requests.columns else c)
+                               for c in rec.columns if c != "_key"])
+    rec = rec.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return req.join(rec, ["_key", "_part"], how).drop("_key", "_part")
 
 
 def lookup_missing(requests: DataFrame, request_key: str, records: DataFrame,
@@ -111,10 +107,20 @@ def drop_null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.na.drop(how="any", subset=list(cols) if cols else None)
 
 
-def alias_value(df: DataFrame, names: Sequence[str], default: str = "") -> Column:
-    """P10: first non-blank value among the present alias columns, else default."""
-    present = [n for n in names if n in df.columns]
-    return first_non_blank(*present, default=default) if present else F.lit(default)
+def alias_value(df: DataFrame, names: Sequence[str], default: str = "",
+                zero_falls_through: bool = False) -> Column:
+    """P10: first value among the present alias columns that counts as given, else default.
+
+    Null, '' and the text 'nan' do not count; with ``zero_falls_through``
+    neither does a number 0 (records as numbers, where 0 is an empty value).
+    """
+    values = []
+    for n in names:
+        if n in df.columns:
+            v = null_or_nan_text_to_empty(n)
+            zero = F.coalesce(to_double(v) == 0.0, F.lit(False))
+            values.append(F.when(~zero, v) if zero_falls_through else v)
+    return first_non_blank(*values, default=default) if values else F.lit(default)
 
 
 def extract_id(text: str | Column, mode: str = "digits") -> Column:

@@ -17,10 +17,11 @@ from pyspark.ml.feature import (IndexToString, OneHotEncoder, StandardScaler, St
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.storagelevel import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
+from herdlens.sources.tables import ranked
 
 SEED = 42
 
@@ -86,24 +87,22 @@ def one_hot_long(df: DataFrame, id_cols: Sequence[str], cols: Sequence[str],
         "value", "category")
 
 
-def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Vocabulary (column_name, value, code): code = rank in sorted value order.
+def label_codes(df: DataFrame, c: str) -> DataFrame:
+    """Vocabulary (value, code) of a column: code = rank in sorted value order.
 
     Nulls are encoded as the text 'nan' (they are stringified first). The
-    window runs over the distinct vocabulary only, partitioned by column.
+    distinct values are ranked by range partitions with offsets, so a large
+    vocabulary is never sorted by one task.
     """
-    vocab = stack_columns(df, [], cols, null_as="nan").distinct()
-    w = Window.partitionBy("column_name").orderBy("value")
-    return vocab.withColumn("code", (F.dense_rank().over(w) - 1).cast("bigint"))
+    vocab = df.select(F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("value")).distinct()
+    return ranked(vocab, [F.col("value")], f"codes-{c}", "code")
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each text column by its code (one small-vocabulary join per column)."""
-    codes = label_codes(df, cols)
+    """Replace each text column by its code (one vocabulary join per column)."""
     out = df
     for c in cols:
-        m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_v_{c}"),
-                                                         F.col("code").alias(f"_c_{c}"))
+        m = label_codes(df, c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
         out = (out.withColumn(f"_v_{c}", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
                .join(m, f"_v_{c}", "left").drop(f"_v_{c}", c).withColumnRenamed(f"_c_{c}", c))
     return out
@@ -122,13 +121,12 @@ def accuracy(df: DataFrame, prediction: str, label: str, by: Sequence[str] = ())
 # --- M5-M9 models ---
 
 def forest(label_col: str, features_col: str = "features", num_trees: int = 100,
-           max_depth: int = 10, seed: int = SEED) -> RandomForestClassifier:
-    # Larger node batches per pass and cached node ids cut the number of
-    # passes over the training rows per tree level.
+           max_depth: int = 30, seed: int = SEED) -> RandomForestClassifier:
+    # Depth 30 is MLlib's own limit (the forests have none). Larger node
+    # batches cut the number of passes over the training rows per tree level.
     return RandomForestClassifier(labelCol=label_col, featuresCol=features_col, numTrees=num_trees,
                                   maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                  subsamplingRate=1.0, bootstrap=True, maxMemoryInMB=1024,
-                                  cacheNodeIds=True)
+                                  subsamplingRate=1.0, bootstrap=True, maxMemoryInMB=1024)
 
 
 class FittedClassifier:
@@ -154,6 +152,16 @@ class FittedClassifier:
         idx = self.labels.index(cls) if cls in self.labels else 0
         return F.bround(F.element_at(F.col(prob_col), idx + 1) * 100.0, 2)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        labels = list(enumerate(self.labels))
+        spark.createDataFrame(labels, "idx int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedClassifier:
+        labels = spark.read.parquet(f"{path}/labels").orderBy("idx").collect()
+        return FittedClassifier([r.label for r in labels], PipelineModel.load(f"{path}/model"))
+
 
 def feature_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bool = True) -> list:
     """Numeric branch (assembled, standardised) + categorical branch (one-hot;
@@ -164,8 +172,9 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bo
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=cat_idx,
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=cat_idx, outputCols=cat_vec, dropLast=True,
-                                    handleInvalid="keep"))
+        # The indexer puts unseen and null values in one last place, which is
+        # the place the encoder drops: such values are all zeros.
+        stages.append(OneHotEncoder(inputCols=cat_idx, outputCols=cat_vec, dropLast=True))
     stages.append(VectorAssembler(inputCols=list(numeric), outputCol="num_raw", handleInvalid="keep"))
     num_col = "num_raw"
     if scale:
@@ -179,11 +188,14 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bo
 def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                    target: str, classifier, scale: bool = True) -> FittedClassifier:
     """Index the target (alphabetical classes), then fit features + classifier."""
+    # A missing class is the class 'nan', as it is in text form; no row is left out.
+    train = train.withColumn(target, F.coalesce(F.col(target).cast("string"), F.lit("nan")))
     # Fitting makes several passes (indexers, scaler, iterations / tree levels):
-    # keep the prepared training rows in executor storage for the duration.
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    # spread the prepared rows over all cores and keep them in executor storage.
+    spark = train.sparkSession
+    train = train.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="skip",
+        indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error",
                                 stringOrderType="alphabetAsc").fit(train)
         classifier.setLabelCol("label_idx").setFeaturesCol("features")
         pipe = Pipeline(stages=[*feature_stages(numeric, categorical, scale), classifier])
@@ -193,7 +205,7 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     return FittedClassifier(list(indexer.labels), model)
 
 
-def linear_svm(max_iter: int = 25, reg: float = 0.0, parallelism: int = 4) -> OneVsRest:
+def linear_svm(max_iter: int = 100, reg: float = 0.0, parallelism: int = 4) -> OneVsRest:
     """Multi-class linear SVM (one-vs-rest, classes trained concurrently);
     MLlib has no RBF-kernel SVM."""
     return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), parallelism=parallelism)

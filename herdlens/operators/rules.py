@@ -1,12 +1,11 @@
 """Keyword rule scoring (first-match label, per-disease scores, top-1).
 
-The rule tables are small and fixed (tens of keywords), so they are
-compiled into literal column expressions: every record is scored in narrow
-projections (one hit column per distinct keyword, then one packed
-``greatest`` for the best rule), with no join, no shuffle and no Python.
-Rule tables given as a DataFrame are configuration: they are collected only
-after a size check and compiled the same way; a table over the bound is
-refused with an error rather than truncated.
+A rule table is an array of (order, label, keywords) structs: a literal for
+the fixed tables, a scalar subquery for a rule table given as a DataFrame. Every
+record is scored in one narrow projection by array functions over it, so the
+expression stays small however many rules there are: no join, no shuffle, no
+Python, and nothing that depends on session settings. The normalised texts are
+bound once per record as a lambda variable.
 """
 
 from __future__ import annotations
@@ -41,28 +40,13 @@ DISEASES_6 = KeywordTable.of(FV.DISEASE_KEYWORDS_SIX, FV.NO_MATCH_LABEL_SIX)
 DISEASES_8 = KeywordTable.of(FV.DISEASE_KEYWORDS_EIGHT, FV.NO_MATCH_LABEL_EIGHT)
 TEXT_MARKERS = KeywordTable.of(FV.TEXT_RULES, FV.TEXT_NO_MATCH_LABEL)
 
-# Upper bound on keywords collected from a rule DataFrame (configuration, not data).
-MAX_COMPILED_KEYWORDS = 5_000
 
-
-def keyword_table_from_df(rules: DataFrame, label_col: str = "disease", keyword_col: str = "kw",
-                          order_col: str = "ord", fallback: str = FV.NO_MATCH_LABEL,
-                          max_keywords: int = MAX_COMPILED_KEYWORDS) -> KeywordTable:
-    """Collect a rule DataFrame into a ``KeywordTable`` after a size check.
-
-    At most ``max_keywords + 1`` rows are pulled to the driver; a larger
-    table raises instead of being cut.
-    """
-    rows = (rules.select(F.col(order_col).alias("o"), F.col(label_col).alias("l"),
-                         F.col(keyword_col).alias("k"))
-            .limit(max_keywords + 1).collect())
-    if len(rows) > max_keywords:
-        raise ValueError(f"rule table has more than {max_keywords} keywords; raise max_keywords "
-                         "explicitly if this is intended")
-    by_label: dict[tuple, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.o, r.l)):
-        by_label.setdefault((r.o, r.l), []).append(r.k)
-    return KeywordTable(tuple((lbl, tuple(kws)) for (_, lbl), kws in by_label.items()), fallback)
+def rules_from_df(rules: DataFrame, label_col: str = "disease", keyword_col: str = "kw",
+                  order_col: str = "ord") -> Column:
+    """A rule DataFrame (one row per keyword) as a rule array; it stays a scalar subquery."""
+    per_rule = (rules.groupBy(F.col(order_col).cast("int").alias("ord"), F.col(label_col).alias("disease"))
+                .agg(F.sort_array(F.collect_list(F.col(keyword_col))).alias("kws")))
+    return per_rule.agg(F.sort_array(F.collect_list(F.struct("ord", "disease", "kws")))).scalar()
 
 
 def _texts(text_cols: Sequence[str | Column], lowercase: bool = True,
@@ -79,68 +63,51 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-# Rule expressions are generated as SQL text and parsed once by Spark: building
-# hundreds of predicates through the Column API costs one JVM round trip per
-# node, the SQL text costs one parse. Either way the result is the same
-# Catalyst expression tree.
-
 def _hit(text: str, kw: str) -> str:
     # contains() tests the first byte before comparing; instr() compares at every position.
     return f"contains({text}, {sql_str(kw)})"
 
 
-def _distinct_keywords(table: KeywordTable) -> list[str]:
-    seen: dict[str, None] = {}
-    for _, kws in table.entries:
-        for kw in kws:
-            seen.setdefault(kw, None)
-    return list(seen)
-
+def rules_literal(table: KeywordTable) -> Column:
+    """The rule array of a fixed table; generated as SQL text, which one parse turns into a literal."""
+    rules = ", ".join(
+        f"named_struct('ord', {i}, 'disease', {sql_str(label)}, 'kws', "
+        f"CAST(array({', '.join(map(sql_str, kws))}) AS ARRAY<STRING>))"
+        for i, (label, kws) in enumerate(table.entries, start=1))
+    return F.expr(f"CAST(array({rules}) AS ARRAY<STRUCT<ord: INT, disease: STRING, kws: ARRAY<STRING>>>)")
 
-def hit_sql(kw: str, texts: Sequence[str], mode: str) -> str:
-    """Integer hit count of one keyword: per text (``each``) or once (``any``)."""
-    hits = [_hit(t, kw) for t in texts]
-    if mode == "each":
-        return " + ".join(f"CAST({h} AS INT)" for h in hits)
-    if mode == "any":
-        return f"CAST(({' OR '.join(hits)}) AS INT)"
-    raise ValueError(f"unknown scoring mode {mode!r}")
 
+def _bound(texts: Sequence[Column], fn) -> Column:
+    """``fn`` of the texts as fields of one lambda variable: they are evaluated once per record."""
+    one = F.array(F.struct(*[t.alias(f"t{i}") for i, t in enumerate(texts)]))
+    return F.element_at(F.transform(one, lambda x: fn([x[f"t{i}"] for i in range(len(texts))])), 1)
 
-def _with_hits(df: DataFrame, table: KeywordTable, texts: Sequence[str], mode: str):
-    """Step 1: one integer hit column per distinct keyword (each text scanned once per keyword)."""
-    kws = _distinct_keywords(table)
-    names = {kw: f"__hit{j}" for j, kw in enumerate(kws)}
-    cols = [F.expr(hit_sql(kw, texts, mode)).alias(n) for kw, n in names.items()]
-    return df.select("*", *cols), names
 
+def _score(rule: Column, texts: Sequence[Column], mode: str) -> Column:
+    """Hits of a rule's keywords: per text (``each``) or once for all texts (``any``)."""
+    if mode not in ("each", "any"):
+        raise ValueError(f"unknown scoring mode {mode!r}")
 
-def score_sql(table: KeywordTable, hit_names: dict[str, str]) -> list[str]:
-    """Step 2: one score expression per rule entry = sum of its keyword hit columns."""
-    return ["(" + " + ".join(hit_names[kw] for kw in kws) + ")" for _, kws in table.entries]
+    def hits(kw: Column) -> Column:
+        found = [F.contains(t, kw) for t in texts]
+        if mode == "any":
+            any_ = found[0]
+            for f in found[1:]:
+                any_ = any_ | f
+            return any_.cast("int")
+        total = found[0].cast("int")
+        for f in found[1:]:
+            total = total + f.cast("int")
+        return total
 
+    return F.aggregate(rule["kws"], F.lit(0), lambda n, kw: n + hits(kw))
 
-# Best rule as one integer: score * BASE + (BASE - 1 - rule index); ``greatest``
-# then yields the highest score with ties to the earliest rule.
-_BASE = 1 << 20
 
-
-def best_sql(table: KeywordTable, hit_names: dict[str, str]) -> str:
-    """Packed best (score, earliest rule) over all rule entries."""
-    if len(table.entries) >= _BASE:
-        raise ValueError("too many rules for the packed top-1")
-    enc = ", ".join(f"CAST({sc} AS BIGINT) * {_BASE} + {_BASE - 1 - i}"
-                    for i, sc in enumerate(score_sql(table, hit_names)))
-    return f"greatest({enc})" if len(table.entries) > 1 else enc
-
-
-def label_of_best_sql(table: KeywordTable, best: str, fallback: str | None = None) -> str:
-    """Label of a packed best value; all scores zero -> fallback."""
-    labels = "array(" + ", ".join(sql_str(lbl) for lbl, _ in table.entries) + ")"
-    fb = table.fallback if fallback is None else fallback
-    return (f"CASE WHEN {best} >= {_BASE} "
-            f"THEN element_at({labels}, CAST({_BASE - 1} - {best} % {_BASE} + 1 AS INT)) "
-            f"ELSE {sql_str(fb)} END")
+def _with_rules(df: DataFrame, table: KeywordTable | Column) -> tuple[DataFrame, Column]:
+    """The rule array as an expression; a subquery becomes a column first (array functions take none)."""
+    if isinstance(table, KeywordTable):
+        return df, rules_literal(table)
+    return df.withColumn("__rules", table), F.col("__rules")
 
 
 def first_match_sql(rules: Sequence[tuple[str, str]], texts: Sequence[str]) -> str:
@@ -157,35 +124,39 @@ def _with_texts(df: DataFrame, text_cols, lowercase=True, text_transform=None):
 
 
 def keyword_scores(df: DataFrame, id_cols: Sequence[str], text_cols: Sequence[str | Column],
-                   table: KeywordTable = DISEASES_26, mode: str = "each",
+                   table: KeywordTable | Column = DISEASES_26, mode: str = "each",
                    lowercase: bool = True, text_transform=None) -> DataFrame:
-    """Long form ``(id..., ord, disease, score)``: one row per record and rule entry.
+    """Long form ``(id..., ord, disease, score)``: one row per record and rule entry (narrow ``inline``).
 
-    Generated by ``inline`` of a literal array per row: a narrow operator.
+    A rule without keywords scores 0.
     """
-    df2, names = _with_texts(df, text_cols, lowercase, text_transform)
-    df3, hits = _with_hits(df2, table, names, mode)
-    items = ", ".join(
-        f"named_struct('ord', {i + 1}, 'disease', {sql_str(label)}, 'score', {sc})"
-        for i, ((label, _), sc) in enumerate(zip(table.entries, score_sql(table, hits))))
-    return df3.select(*id_cols, F.inline(F.expr(f"array({items})")))
+    texts = _texts(text_cols, lowercase, text_transform)
+    df, rule_array = _with_rules(df, table)
+    scored = _bound(texts, lambda ts: F.transform(rule_array, lambda r: F.struct(
+        r["ord"].alias("ord"), r["disease"].alias("disease"), _score(r, ts, mode).alias("score"))))
+    return df.select(*id_cols, F.inline(scored))
 
 
 def keyword_top1(df: DataFrame, text_cols: Sequence[str | Column],
-                 table: KeywordTable = DISEASES_26, mode: str = "each",
+                 table: KeywordTable | Column = DISEASES_26, mode: str = "each",
                  out_col: str = "disease", lowercase: bool = True,
                  fallback: str | None = None, text_transform=None) -> DataFrame:
     """Adds ``out_col`` with the best rule label of each row (narrow, no shuffle).
 
-    ``text_transform`` replaces the default request normalisation (strip +
-    lower); long texts only need ``F.lower`` since stripping cannot change a
-    substring hit.
+    The highest score wins, ties go to the earliest rule, and all scores zero
+    give the fallback. ``text_transform`` replaces the default request
+    normalisation (strip + lower); long texts only need ``F.lower`` since
+    stripping cannot change a substring hit.
     """
-    df2, names = _with_texts(df, text_cols, lowercase, text_transform)
-    df3, hits = _with_hits(df2, table, names, mode)
-    return (df3.withColumn("__best", F.expr(best_sql(table, hits)))
-            .withColumn(out_col, F.expr(label_of_best_sql(table, "__best", fallback)))
-            .drop(*names, *hits.values(), "__best"))
+    texts = _texts(text_cols, lowercase, text_transform)
+    if fallback is None:
+        fallback = table.fallback if isinstance(table, KeywordTable) else FV.NO_MATCH_LABEL
+    df, rule_array = _with_rules(df, table)
+    best = _bound(texts, lambda ts: F.array_max(F.transform(rule_array, lambda r: F.struct(
+        _score(r, ts, mode).alias("score"), (-r["ord"]).alias("early"), r["disease"].alias("disease")))))
+    return (df.withColumn("__best", best)
+            .withColumn(out_col, F.when(F.col("__best.score") > 0, F.col("__best.disease")).otherwise(F.lit(fallback)))
+            .drop("__best", "__rules"))
 
 
 def first_match_label(df: DataFrame, text_cols: Sequence[str | Column],
@@ -195,23 +166,25 @@ def first_match_label(df: DataFrame, text_cols: Sequence[str | Column],
     return df2.withColumn(out_col, F.expr(first_match_sql(rules, names))).drop(*names)
 
 
-def combined_diagnosis_rule_part(df: DataFrame, bp: str = "bp", heart_rate: str = "heart_rate",
-                                 age: str = "age_years", symptoms=("symptom_1", "symptom_2"),
+def combined_diagnosis_rule_part(df: DataFrame, bp: str = "bp",
+                                 heart_rate: Sequence[str] = FV.HEART_RATE_NAMES,
+                                 age: Sequence[str] = FV.AGE_NAMES, symptoms=("symptom_1", "symptom_2"),
                                  rules: Sequence[tuple[str, str]] = FV.SYMPTOM_LABEL_RULES) -> DataFrame:
     """Rule part of the combined diagnosis on blank-normalised records.
 
     Vitals are parsed before any symptom is looked at: systolic = text before
-    the first ``/`` (blank fails), heart rate and age = ``float(x or 0)``. Any
+    the first ``/`` (blank fails), heart rate and age = the first alias column
+    given, else 0 (a 0 falls through to the next). Any
     parse failure gives the fixed healthy label even when a symptom matches.
     Otherwise a quick-label hit gives ``label + rule mark``; rows that need the
     model get ``prediction = null`` and ``needs_model = true``.
     """
     from herdlens.functions.bp import bp_part
     from herdlens.functions.numbers import to_double
+    from herdlens.operators.filters import alias_value
 
-    def or_zero_ok(c: str) -> Column:
-        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        return (v == F.lit("")) | to_double(v).isNotNull()
+    def or_zero_ok(names: Sequence[str]) -> Column:
+        return to_double(alias_value(df, names, "0", zero_falls_through=True)).isNotNull()
 
     parse_ok = (to_double(bp_part(F.coalesce(F.col(bp), F.lit("")), 1)).isNotNull()
                 & or_zero_ok(heart_rate) & or_zero_ok(age))

@@ -5,20 +5,19 @@ winning change(s) per key, then joined onto the record table. "Latest" is
 decided by an explicit (event time, sequence) order, never by arrival, so
 replays and out-of-order batches give the same table.
 
-Scale notes: every per-key reduction is an aggregation with map-side
-partial combine (``max``/``max_by`` of a struct), so a key that owns a
-third of all changes still produces one partial row per task before the
-shuffle. Top-N uses N such rounds instead of a window (a window would sort
-the whole hot key inside one task). Joins onto the record table are plain
-equi-joins; AQE broadcasts the change side when its measured size allows
-and splits skewed partitions otherwise.
+Scale notes: the latest change per key is ``max_by`` of a struct and the last
+N per key are ``row_number() <= n``, which Spark limits to n rows per key and
+task before the shuffle (``WindowGroupLimit``): a key that owns a third of all
+changes sends n rows per task. Changes are reduced to one row per key before
+they are joined onto the record table, and the first record of each key is
+found once. Keys are compared as text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdlens.functions.text import py_strip
@@ -43,31 +42,20 @@ def top_n_per_key(changes: DataFrame, key: str, order_cols: Sequence[str],
                   value_cols: Sequence[str], n: int) -> DataFrame:
     """Long form ``(key, slot, values...)``: slot 1 = newest, up to ``n`` per key.
 
-    Round i takes the max of what is older than the round-(i-1) winner; each
-    round is a partial aggregation plus a key join against one row per key.
+    One scan and one exchange whatever ``n`` is.
     """
-    packed = changes.select(key, F.struct(_order_struct(order_cols).alias("o"),
-                                          *[F.col(c) for c in value_cols]).alias("_c"))
-    rounds = []
-    remaining = packed
-    for slot in range(1, n + 1):
-        best = remaining.groupBy(key).agg(F.max("_c").alias("_b"))
-        rounds.append(best.select(key, F.lit(slot).alias("slot"),
-                                  *[F.col(f"_b.{c}").alias(c) for c in value_cols]))
-        if slot < n:
-            remaining = (remaining.join(best.select(key, F.col("_b.o").alias("_bo")), key)
-                         .where(F.col("_c.o") < F.col("_bo")).drop("_bo"))
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order_cols])
+    return (changes.select(key, *dict.fromkeys([*order_cols, *value_cols]))
+            .withColumn("slot", F.row_number().over(newest)).where(F.col("slot") <= n)
+            .select(key, "slot", *value_cols))
 
 
 def first_row_marker(base: DataFrame, key: str, keys: DataFrame,
                      order: str = ORDER_COL) -> DataFrame:
     """(key, first input order) for the keys in ``keys`` (only those get updated)."""
-    return (base.join(keys.select(key).distinct(), key, "left_semi")
-            .groupBy(key).agg(F.min(order).alias("_first")))
+    wanted = keys.select(F.col(key).cast("string").alias("_wanted")).distinct()
+    rows = base.select(F.col(key).cast("string").alias("_wanted"), order).join(wanted, "_wanted", "left_semi")
+    return rows.groupBy("_wanted").agg(F.min(order).alias("_first"))
 
 
 def merge_into(base: DataFrame, key: str, target: DataFrame, set_cols: dict[str, Column],
@@ -78,9 +66,10 @@ def merge_into(base: DataFrame, key: str, target: DataFrame, set_cols: dict[str,
     """
     t = target.select(key, *[F.col(c).alias(f"t_{c}") for c in target.columns if c != key])
     if order is not None:
-        t = t.join(first_row_marker(base, key, target, order), key)
-    t2 = t.withColumnRenamed(key, "_tk").withColumn("_hit", F.lit(True))
-    cond = F.col(f"b.{key}") == F.col("t._tk")
+        marker = first_row_marker(base, key, target, order)
+        t = t.join(marker, F.col(key).cast("string") == F.col("_wanted")).drop("_wanted")
+    t2 = t.withColumn("_tk", F.col(key).cast("string")).drop(key).withColumn("_hit", F.lit(True))
+    cond = F.col(f"b.{key}").cast("string") == F.col("t._tk")
     if order is not None:
         cond = cond & (F.col(f"b.{order}") == F.col("t._first"))
     hit = F.col("t._hit").isNotNull()
@@ -107,17 +96,47 @@ def record_update_merge(base: DataFrame, updates: DataFrame, key: str = "animal_
     """
     latest = latest_per_key(updates, key, order_cols,
                             ["symptom_1", "symptom_2", "suggestion", "special_care"])
+    return merge_into(_with_blank(base, _RECORD_SETS), key, latest, _update_sets(), order)
+
+
+_RECORD_SETS = ("doctor_suggestion", "special_care")
+
+
+def _update_sets() -> dict[str, Column]:
     flag = F.coalesce(F.col("t.t_special_care"), F.lit(""))
-    sets = {
+    return {
         "symptom_1": F.coalesce(py_strip(F.col("t.t_symptom_1")), F.lit("")),
         "symptom_2": F.coalesce(py_strip(F.col("t.t_symptom_2")), F.lit("")),
         "doctor_suggestion": F.coalesce(py_strip(F.col("t.t_suggestion")), F.lit("")),
         "special_care": F.when(flag != F.lit(""), F.lit("Yes")).otherwise(F.lit("No")),
     }
-    for c in ["doctor_suggestion", "special_care"]:
-        if c not in base.columns:
-            base = base.withColumn(c, F.lit(""))
-    return merge_into(base, key, latest, sets, order)
+
+
+def _last_two(entries: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
+    top = top_n_per_key(entries, key, order_cols, ["text"], 2)
+    return (top.groupBy(key)
+            .agg(F.max(F.when(F.col("slot") == 1, F.col("text"))).alias("v1"),
+                 F.max(F.when(F.col("slot") == 2, F.col("text"))).alias("v2")))
+
+
+def _with_blank(base: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return base.withColumns({c: F.lit("") for c in cols if c not in base.columns})
+
+
+def apply_changes(base: DataFrame, edits: DataFrame, entries: DataFrame, key: str = "animal_id",
+                  order_cols: Sequence[str] = ("ts", "seq"), order: str | None = ORDER_COL) -> DataFrame:
+    """U1 and U2 in one merge: each key's last edit and last two vaccinations meet before
+    the record table is joined, so its first rows are found and joined once."""
+    base = _with_blank(base, [*_RECORD_SETS, "vaccination_1", "vaccination_2"])
+    latest = latest_per_key(edits, key, order_cols, ["symptom_1", "symptom_2", "suggestion", "special_care"])
+    target = (latest.withColumn("edited", F.lit(True))
+              .join(_last_two(entries, key, order_cols), key, "full_outer"))
+    sets = {c: F.when(F.col("t.t_edited"), e).otherwise(F.col(f"b.{c}")) for c, e in _update_sets().items()}
+    pushed = F.col("t.t_v1").isNotNull()
+    sets["vaccination_1"] = F.when(pushed, F.col("t.t_v1")).otherwise(F.col("b.vaccination_1"))
+    sets["vaccination_2"] = F.when(pushed, F.coalesce(F.col("t.t_v2"), F.col("b.vaccination_1"), F.lit(""))
+                                   ).otherwise(F.col("b.vaccination_2"))
+    return merge_into(base, key, target, sets, order)
 
 
 def vaccination_text(vaccine: str = "vaccine", date: str = "vaccine_date") -> Column:
@@ -131,15 +150,9 @@ def vaccination_push(base: DataFrame, entries: DataFrame, key: str = "animal_id"
     (or the record's previous V1 when only one entry exists; missing -> '').
     ``entries`` must already be validated (P3) and carry ``text``.
     """
-    for c in ["vaccination_1", "vaccination_2"]:
-        if c not in base.columns:
-            base = base.withColumn(c, F.lit(""))
-    top = top_n_per_key(entries, key, order_cols, ["text"], 2)
-    wide = (top.groupBy(key)
-            .agg(F.max(F.when(F.col("slot") == 1, F.col("text"))).alias("v1"),
-                 F.max(F.when(F.col("slot") == 2, F.col("text"))).alias("v2")))
+    base = _with_blank(base, ["vaccination_1", "vaccination_2"])
     sets = {
         "vaccination_1": F.col("t.t_v1"),
         "vaccination_2": F.coalesce(F.col("t.t_v2"), F.col("b.vaccination_1"), F.lit("")),
     }
-    return merge_into(base, key, wide, sets, order)
+    return merge_into(base, key, _last_two(entries, key, order_cols), sets, order)

@@ -127,16 +127,17 @@ def fatal_outcome_label(spark, sf_dir):
     return clean.outcome_label(views.animal(spark, sf_dir).select("animal_id", "disease"))
 
 
-@query("alias_coalesce", S.with_(S.ANIMAL) + """
-SELECT animal_id, coalesce(nullif(age_years, ''), '') AS age_text,
- coalesce(nullif(heart_rate, ''), '') AS heart_rate_text, '' AS oxygen_text FROM animal""")
+@query("alias_coalesce", S.with_(S.ANIMAL, S.DIRTY) + f"""
+SELECT animal_id, copy_no, {S.given('age_years', 'age', zero_falls_through=True)} AS age_text,
+ {S.given('heart_rate', 'heart_rate_bpm', zero_falls_through=True)} AS heart_rate_text,
+ {S.given('oxygen_saturation_pct', 'oxygen_saturation', zero_falls_through=True)} AS oxygen_text FROM dirty""")
 def alias_coalesce(spark, sf_dir):
-    a = views.animal(spark, sf_dir)
+    a = views.dirty_animal(spark, sf_dir)
     return a.select(
-        "animal_id",
-        filters.alias_value(a, ["age_years", "age"]).alias("age_text"),
-        filters.alias_value(a, ["heart_rate", "heart_rate_bpm"]).alias("heart_rate_text"),
-        filters.alias_value(a, ["oxygen_saturation_pct", "oxygen_saturation"]).alias("oxygen_text"))
+        "animal_id", "copy_no",
+        filters.alias_value(a, FV.AGE_NAMES, zero_falls_through=True).alias("age_text"),
+        filters.alias_value(a, FV.HEART_RATE_NAMES, zero_falls_through=True).alias("heart_rate_text"),
+        filters.alias_value(a, FV.OXYGEN_NAMES, zero_falls_through=True).alias("oxygen_text"))
 
 
 # --- P4-P6: the model-comparison frame (BP split, text columns dropped) ---
@@ -231,6 +232,17 @@ def scan_lookup(spark, sf_dir):
                       F.col("rec_id").isNotNull().alias("found"))
 
 
+@query("scan_lookup_raw", S.with_(S.ANIMAL, S.DIRTY, S.SCANS) + """
+SELECT s.scan_id, s.scanned_text, a.name, a.animal_id IS NOT NULL AS found
+FROM scans s LEFT JOIN dirty a ON a.copy_no = 0 AND CAST(a.animal_id AS VARCHAR) = s.scanned_text""")
+def scan_lookup_raw(spark, sf_dir):
+    """The whole scanned text is the id; of repeated ids the first record counts."""
+    s = views.scans(spark, sf_dir).withColumn("id_text", filters.extract_id("scanned_text", mode="raw"))
+    rec = views.dirty_animal(spark, sf_dir, input_order=True).select(F.col("animal_id").alias("rec_id"), "name", "_input_order")
+    out = filters.lookup(s, "id_text", rec, "rec_id", how="left")
+    return out.select("scan_id", "scanned_text", "name", F.col("rec_id").isNotNull().alias("found"))
+
+
 @query("domain_violations", S.with_(S.ANIMAL) + " UNION ALL ".join(
     [f"""SELECT animal_id, '{c}' AS column_name, {c} AS value,
   CASE WHEN coalesce({c}, '') = '' THEN 'required' ELSE 'not a listed choice' END AS rule

@@ -1,23 +1,30 @@
 """Model queries (M1-M12, R5 complete).
 
-Split, scaling, encodings and accuracy have SQL oracles. Model outputs
-(forests, SVM) have none: seeds and tree construction differ between
-libraries, so those keys are checked by row count and value sanity in tests.
+Split, scaling, encodings and accuracy have SQL oracles. Seeds and tree
+construction differ between libraries, so model outputs have none; each model
+has a ``_check`` key instead, which computes from its predictions what must
+hold of any fit, against SQL.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
 from herdlens.functions.bp import bp_part
 from herdlens.functions.numbers import to_double
+from herdlens.functions.text import symptom_text
 from herdlens.operators import clean, filters, ml, rules
 from herdlens.plans import sql_parts as S
 from herdlens.plans.q_clean import _TRAIN, _bp
+from herdlens.plans.q_rules import _DIAG_RULES_SQL, _LABEL_RULES, _REQ
 from herdlens.plans.registry import query
 from herdlens.sources import records, views
+from herdlens.sources.tables import stored
 
 _HASH = "CAST(('0x' || substr(md5(CAST(animal_id AS VARCHAR)), 1, 8)) AS BIGINT) % 5"
 _SPLIT = f"CASE WHEN {_HASH} = 0 THEN 'test' ELSE 'train' END"
@@ -94,41 +101,22 @@ def drop_null_rows(spark, sf_dir):
     return filters.drop_null_rows(f)
 
 
-_FATAL_PREFIXES = ["rabies", "anthrax", "ppr"]
-
-
-def _keyword_outcomes(spark, sf_dir) -> DataFrame:
-    a = clean.outcome_label(views.animal(spark, sf_dir), out="label_outcome")
-    a = rules.keyword_top1(a, ["symptom_1", "symptom_2"], rules.DISEASES_26, out_col="kw_disease")
-    fatal = None
-    for p in _FATAL_PREFIXES:
-        c = F.col("kw_disease").startswith(p)
-        fatal = c if fatal is None else fatal | c
-    a = a.withColumn("predicted_outcome", F.when(fatal, F.lit(FV.OUTCOME_FATAL))
-                     .otherwise(F.lit(FV.OUTCOME_LIVE)))
-    return ml.hash_split(a, "animal_id")
-
-
-_RULES26 = f"rules(ord, disease, kw) AS ({S.keyword_values(FV.DISEASE_KEYWORDS)})"
-
-
-@query("accuracy_metric", S.with_(S.ANIMAL, _RULES26, f"""req AS (
- SELECT animal_id, {S.sym('symptom_1')} AS s1, {S.sym('symptom_2')} AS s2 FROM animal)""", """sc AS (
- SELECT q.animal_id, r.ord, r.disease,
-  sum(CAST(contains(q.s1, r.kw) AS INT) + CAST(contains(q.s2, r.kw) AS INT)) AS score
- FROM req q CROSS JOIN rules r GROUP BY q.animal_id, r.ord, r.disease)""", f"""top AS (
- SELECT animal_id, CASE WHEN max(score) > 0 THEN arg_max(disease, score * 100000 - ord) ELSE '' END AS kw_disease
- FROM sc GROUP BY animal_id)""", f"""j AS (
+@query("accuracy_metric", S.with_(S.ANIMAL, _LABEL_RULES, _REQ, """hit AS (
+ SELECT q.animal_id, min(r.ord) AS ord FROM req q JOIN lrules r
+   ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""", f"""j AS (
  SELECT a.animal_id, {_SPLIT.replace('animal_id', 'a.animal_id')} AS split,
-  CASE WHEN a.disease IN {S.in_list(FV.FATAL_DISEASES)} THEN {S.q(FV.OUTCOME_FATAL)} ELSE {S.q(FV.OUTCOME_LIVE)} END AS label_outcome,
-  CASE WHEN {' OR '.join(f"starts_with(t.kw_disease, '{p}')" for p in _FATAL_PREFIXES)}
-       THEN {S.q(FV.OUTCOME_FATAL)} ELSE {S.q(FV.OUTCOME_LIVE)} END AS predicted_outcome
- FROM animal a JOIN top t ON a.animal_id = t.animal_id)""") + """
-SELECT split, count(*) AS n, CAST(sum(CASE WHEN predicted_outcome = label_outcome THEN 1 ELSE 0 END) AS BIGINT) AS correct,
- round(sum(CASE WHEN predicted_outcome = label_outcome THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS accuracy_pct
+  CASE WHEN a.disease IN {S.in_list(FV.FATAL_DISEASES)} THEN {S.q(FV.OUTCOME_FATAL)} ELSE {S.q(FV.OUTCOME_LIVE)} END AS actual,
+  CASE WHEN r.label IS NULL THEN {S.q(FV.OUTCOME_LIVE)} ELSE {S.q(FV.OUTCOME_FATAL)} END AS said
+ FROM animal a LEFT JOIN hit h ON a.animal_id = h.animal_id LEFT JOIN lrules r ON r.ord = h.ord)""") + """
+SELECT split, count(*) AS n, CAST(sum(CASE WHEN said = actual THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+ round(sum(CASE WHEN said = actual THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS accuracy_pct
 FROM j GROUP BY split""")
 def accuracy_metric(spark, sf_dir):
-    return ml.accuracy(_keyword_outcomes(spark, sf_dir), "predicted_outcome", "label_outcome", ["split"])
+    """Accuracy of a stand-in prediction: a quick-label hit counts as fatal, anything else as not."""
+    a = clean.outcome_label(views.animal(spark, sf_dir), out="actual")
+    a = rules.first_match_label(a, ["symptom_1", "symptom_2"])
+    a = a.withColumn("said", F.when(F.col("label").isNull(), F.lit(FV.OUTCOME_LIVE)).otherwise(F.lit(FV.OUTCOME_FATAL)))
+    return ml.accuracy(ml.hash_split(a, "animal_id"), "said", "actual", ["split"])
 
 
 # --- models (rows-only checks) ---
@@ -147,7 +135,7 @@ def health_frame(spark, sf_dir) -> DataFrame:
 HEALTH_NUMERIC = ["bp_num", "heart_rate_num", "age_num"]
 
 
-def fit_health_model(spark, sf_dir, num_trees: int = 100, max_depth: int = 10):
+def fit_health_model(spark, sf_dir, num_trees: int = 100, max_depth: int = 30):
     train = health_frame(spark, sf_dir).where(F.col("split") == "train")
     return ml.fit_classifier(train, HEALTH_NUMERIC, [], "label_text",
                              ml.forest("label_idx", num_trees=num_trees, max_depth=max_depth), scale=False)
@@ -161,7 +149,7 @@ def health_status_forest(spark, sf_dir):
         "animal_id", F.col("label_text").alias("health_status"), "predicted_label")
 
 
-def fit_feature_model(spark, sf_dir, target: str, num_trees: int = 100, max_depth: int = 10):
+def fit_feature_model(spark, sf_dir, target: str, num_trees: int = 100, max_depth: int = 30):
     f = _features(spark, sf_dir)
     return ml.fit_classifier(f, clean.NUMERIC_FEATURES, _CATS, target,
                              ml.forest("label_idx", num_trees=num_trees, max_depth=max_depth))
@@ -182,23 +170,157 @@ def disease_forest(spark, sf_dir):
         "animal_id", "disease", "predicted_label")
 
 
-@query("chance_of_living")
-def chance_of_living(spark, sf_dir):
-    """Every record scored as an intake form: integer vitals with median fallbacks."""
+def intake_forms(spark, sf_dir, lowercase_request: bool = False) -> DataFrame:
+    """Every record as an intake form: integer vitals with median fallbacks.
+
+    ``lowercase_request`` strips and lower-cases the symptoms of the request,
+    as one variant of the form does; the model then sees them as typed so.
+    """
     a = views.animal(spark, sf_dir)
-    train = clean.model_features(a)
+    intake = clean.intake_impute(a, clean.model_features(a))
+    intake = clean.constant_fill(intake, text=["symptom_1", "symptom_2"])
+    if lowercase_request:
+        intake = intake.withColumns({c: symptom_text(c) for c in ("symptom_1", "symptom_2")})
+    return intake.select("animal_id", *_CATS,
+                         F.col("heart_rate_in").cast("double").alias("heart_rate"),
+                         F.col("bp_systolic_in").cast("double").alias("bp_systolic"),
+                         F.col("bp_diastolic_in").cast("double").alias("bp_diastolic"))
+
+
+@query("chance_of_living")
+def chance_of_living(spark, sf_dir, lowercase_request: bool = False):
     model = fit_feature_model(spark, sf_dir, "outcome")
-    intake = clean.intake_impute(a, train)
-    intake = clean.constant_fill(intake, text=["symptom_1", "symptom_2"]).select(
-        "animal_id", *_CATS,
-        F.col("heart_rate_in").cast("double").alias("heart_rate"),
-        F.col("bp_systolic_in").cast("double").alias("bp_systolic"),
-        F.col("bp_diastolic_in").cast("double").alias("bp_diastolic"))
-    out = model.predict(intake, ["animal_id"])
+    out = model.predict(intake_forms(spark, sf_dir, lowercase_request), ["animal_id"])
     return out.select("animal_id", F.col("predicted_label").alias("predicted_outcome"),
                       model.class_probability_pct(FV.OUTCOME_LIVE).alias("chance_of_living"))
 
 
+_ODD = [("species", "CASE WHEN animal_id % 5 = 0 THEN 'Yak' ELSE species END"),
+        ("breed", "CASE WHEN animal_id % 7 = 0 THEN NULL ELSE breed END"),
+        ("sex", "sex"), ("health_status", "health_status"),
+        ("symptom_1", "CASE WHEN animal_id % 3 = 0 THEN lower(symptom_1) ELSE symptom_1 END"),
+        ("symptom_2", "symptom_2")]
+
+
+@query("pipeline_one_hot", S.with_(S.ANIMAL, _TRAIN, f"""odd AS (SELECT animal_id, {', '.join(f'{e} AS {c}' for c, e in _ODD)} FROM train_f),
+vocab AS (SELECT DISTINCT column_name, value FROM ({_stack_sql('train_f', _CATS)}) AS v
+          WHERE value IS NOT NULL AND {_HASH.replace('animal_id', 'v.animal_id')} <> 0)""") + f"""
+SELECT o.animal_id, o.column_name, CAST(v.value IS NOT NULL AS INT) AS non_zeros
+FROM ({_stack_sql('odd', _CATS)}) o LEFT JOIN vocab v ON o.column_name = v.column_name AND o.value = v.value""")
+def pipeline_one_hot(spark, sf_dir):
+    """Non-zero places of each encoded block: one for a value of the training rows, none for unseen or null."""
+    f = ml.hash_split(_features(spark, sf_dir), "animal_id")
+    stages = [s for s in ml.feature_stages(clean.NUMERIC_FEATURES, _CATS) if isinstance(s, (StringIndexer, OneHotEncoder))]
+    model = Pipeline(stages=stages).fit(f.where(F.col("split") == "train"))
+    out = model.transform(f.select("animal_id", *[F.expr(e).alias(c) for c, e in _ODD]))
+    blocks = F.array(*[F.struct(F.lit(c).alias("column_name"), F.size(F.filter(vector_to_array(f"{c}__ohe"), lambda x: x != 0)).alias("non_zeros"))
+                       for c in _CATS])
+    return out.select("animal_id", F.inline(blocks))
+
+
+# --- model checks: what must hold of any fit, computed from its predictions ---
+
+
+def _checked(model: ml.FittedClassifier, train: DataFrame, test: DataFrame, target: str) -> DataFrame:
+    """One row: row counts, predictions outside the training labels, probabilities outside 0..100,
+    and whether the model beats the most frequent class of the test rows."""
+    pred = model.predict(test, ["animal_id", target])
+    if "probability_array" not in pred.columns:
+        pred = pred.withColumn("probability_array", F.array(F.lit(0.0)))
+    pred = stored(pred, "model-check")
+    known = train.select(F.col(target).alias("predicted_label")).distinct()
+    outside = pred.join(known, "predicted_label", "left_anti").agg(F.count(F.lit(1))).scalar()
+    majority = pred.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    odd = F.sum(F.when(F.forall("probability_array", lambda p: (p >= 0) & (p <= 1)), 0).otherwise(1)).cast("long")
+    hits = F.sum(F.when(F.col("predicted_label") == F.col(target), 1).otherwise(0))
+    return pred.agg(F.count(F.lit(1)).alias("n_test"), odd.alias("odd_probabilities"), (hits > majority).alias("beats_majority")
+                    ).select(train.agg(F.count(F.lit(1))).scalar().alias("n_train"), "n_test", outside.alias("outside_labels"),
+                             "odd_probabilities", "beats_majority")
+
+
+def _check_sql(train: str, test: str) -> str:
+    return f"""SELECT (SELECT count(*) FROM {train}) AS n_train, (SELECT count(*) FROM {test}) AS n_test,
+ CAST(0 AS BIGINT) AS outside_labels, CAST(0 AS BIGINT) AS odd_probabilities, true AS beats_majority"""
+
+
+_BY_SPLIT = S.with_(S.ANIMAL, f"s AS (SELECT animal_id, {_SPLIT} AS split FROM animal)")
+_HALVES = _check_sql("s WHERE split = 'train'", "s WHERE split = 'test'")
+
+
+@query("health_status_forest_check", _BY_SPLIT + _HALVES)
+def health_status_forest_check(spark, sf_dir):
+    """The health forest on a label that its features decide."""
+    f = health_frame(spark, sf_dir).withColumn("label_text", F.when(F.col("heart_rate_num") > 85, "Fever").otherwise("Healthy"))
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    model = ml.fit_classifier(train, HEALTH_NUMERIC, [], "label_text", ml.forest("label_idx"), scale=False)
+    return _checked(model, train, test, "label_text")
+
+
+def _feature_check(spark, sf_dir, target: str, label):
+    f = ml.hash_split(_features(spark, sf_dir), "animal_id").withColumn(target, label)
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    return _checked(ml.fit_classifier(train, clean.NUMERIC_FEATURES, _CATS, target, ml.forest("label_idx")), train, test, target)
+
+
+@query("survival_forest_check", _BY_SPLIT + _HALVES)
+def survival_forest_check(spark, sf_dir):
+    """The survival forest on an outcome that species and heart rate decide."""
+    fatal = F.col("species").isin("Cat", "Dog") | (F.col("heart_rate") > 110)
+    return _feature_check(spark, sf_dir, "outcome", F.when(fatal, F.lit(FV.OUTCOME_FATAL)).otherwise(F.lit(FV.OUTCOME_LIVE)))
+
+
+@query("disease_forest_check", _BY_SPLIT + _HALVES)
+def disease_forest_check(spark, sf_dir):
+    """The disease forest on a disease that the first symptom decides, with a missing class."""
+    d = (F.when(F.col("symptom_1") == "Fever", F.lit("Tick Fever")).when(F.col("symptom_1") == "Cough", F.lit(None).cast("string"))
+         .otherwise(F.lit("FMD")))
+    return _feature_check(spark, sf_dir, "disease", F.coalesce(d, F.lit("nan")))
+
+
+@query("svm_linear_check", S.with_(S.ANIMAL, _CMP_ID, f"enc AS ({_ENCODED})", f"""s AS (
+ SELECT *, {_SPLIT} AS split FROM enc WHERE bp_systolic IS NOT NULL AND bp_diastolic IS NOT NULL)""") + _HALVES)
+def svm_linear_check(spark, sf_dir):
+    """The linear SVM on a label that is linear in a feature."""
+    f = stored(_comparison_split(spark, sf_dir).withColumn("target", F.when(F.col("bp_systolic") > 120, "high").otherwise("low")), "svm-check")
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    return _checked(ml.fit_classifier(train, _SVM_FEATURES, [], "target", ml.linear_svm(), scale=True), train, test, "target")
+
+
+@query("chance_of_living_check", S.with_(S.ANIMAL) + _check_sql("animal", "animal").replace(
+    "true AS beats_majority", "true AS lowercase_matters"))
+def chance_of_living_check(spark, sf_dir):
+    """Both forms of the request scored by one survival model: probabilities, labels and row counts."""
+    model = fit_feature_model(spark, sf_dir, "outcome")
+    train = _features(spark, sf_dir)
+    a, b = (model.predict(intake_forms(spark, sf_dir, low), ["animal_id"]).select(
+        "animal_id", "predicted_label", model.class_probability_pct(FV.OUTCOME_LIVE).alias("pct")) for low in (False, True))
+    both = stored(a.join(b.select("animal_id", F.col("pct").alias("low_pct")), "animal_id"), "chance-check")
+    outside = both.join(train.select(F.col("outcome").alias("predicted_label")).distinct(), "predicted_label", "left_anti").agg(F.count(F.lit(1))).scalar()
+    odd = F.sum(F.when(F.col("pct").between(0, 100) & F.col("low_pct").between(0, 100), 0).otherwise(1)).cast("long")
+    return both.agg(F.count(F.lit(1)).alias("n_test"), odd.alias("odd_probabilities"), F.max(F.col("pct") != F.col("low_pct")).alias("lowercase_matters")
+                    ).select(train.agg(F.count(F.lit(1))).scalar().alias("n_train"), "n_test", outside.alias("outside_labels"), "odd_probabilities", "lowercase_matters")
+
+
+@query("combined_diagnosis_check", f"SELECT count(*) AS n, CAST(sum(needs_model::INT) AS BIGINT) AS by_model, "
+       f"CAST(sum((NOT needs_model)::INT) AS BIGINT) AS by_rule, CAST(0 AS BIGINT) AS unknown_labels FROM ({_DIAG_RULES_SQL}) t")
+def combined_diagnosis_check(spark, sf_dir):
+    """Rows answered by the model and by the rules, and model answers that are no known status."""
+    out = stored(_combined(spark, sf_dir), "diagnosis-check")
+    status = F.col("prediction").substr(F.lit(1), F.length("prediction") - len(FV.MODEL_MARK))
+    wrong = F.col("needs_model") & ~(F.col("prediction").endswith(FV.MODEL_MARK) & status.isin(*FV.HEALTH_STATUS_CHOICES))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("needs_model").cast("int")).cast("long").alias("by_model"),
+                   F.sum((~F.col("needs_model")).cast("int")).cast("long").alias("by_rule"),
+                   F.sum(wrong.cast("int")).cast("long").alias("unknown_labels"))
+
+
+@query("health_model_accuracy")
+def health_model_accuracy(spark, sf_dir):
+    """M6's accuracy on the held-out rows: (n, correct, accuracy_pct)."""
+    test = health_frame(spark, sf_dir).where(F.col("split") == "test")
+    pred = fit_health_model(spark, sf_dir).predict(test, ["animal_id", "label_text"])
+    return ml.accuracy(pred, "predicted_label", "label_text")
+
+
 _SVM_FEATURES = ["sex", "age_years", "heart_rate", "disease", "bp_systolic", "bp_diastolic"]
 
 
@@ -209,41 +331,44 @@ def _comparison_split(spark, sf_dir) -> DataFrame:
     return ml.hash_split(f, "animal_id")
 
 
-def _fit_compare(spark, sf_dir, clf):
-    f = _comparison_split(spark, sf_dir)
-    model = ml.fit_classifier(f.where(F.col("split") == "train"), _SVM_FEATURES, [], "target", clf,
-                              scale=True)
-    return model.predict(f.where(F.col("split") == "test"), ["animal_id", "target"])
+def _fit_compare(frame: DataFrame, clf):
+    model = ml.fit_classifier(frame.where(F.col("split") == "train"), _SVM_FEATURES, [], "target", clf, scale=True)
+    return model.predict(frame.where(F.col("split") == "test"), ["animal_id", "target"])
 
 
 @query("svm_linear")
 def svm_linear(spark, sf_dir):
-    return _fit_compare(spark, sf_dir, ml.linear_svm()).select(
+    return _fit_compare(_comparison_split(spark, sf_dir), ml.linear_svm()).select(
         "animal_id", F.col("target").alias("health_status"), "predicted_label")
 
 
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
-    rf = ml.accuracy(_fit_compare(spark, sf_dir, ml.forest("label_idx")), "predicted_label", "target")
-    svm = ml.accuracy(_fit_compare(spark, sf_dir, ml.linear_svm()), "predicted_label", "target")
+    """The encoded frame is stored once for both fits and both predictions."""
+    frame = stored(_comparison_split(spark, sf_dir), "comparison")
+    rf = ml.accuracy(_fit_compare(frame, ml.forest("label_idx")), "predicted_label", "target")
+    svm = ml.accuracy(_fit_compare(frame, ml.linear_svm()), "predicted_label", "target")
     return (rf.select(F.lit("Random Forest").alias("model"), "accuracy_pct")
             .unionByName(svm.select(F.lit("SVM").alias("model"), "accuracy_pct")))
 
 
-@query("combined_diagnosis")
-def combined_diagnosis(spark, sf_dir):
+def _combined(spark, sf_dir) -> DataFrame:
     """Rule part first; rows that need it get the health model's label + model mark."""
-    a = views.animal(spark, sf_dir)
+    a = views.dirty_animal(spark, sf_dir).where("copy_no = 0").drop("copy_no")
     a = clean.blank_normalise(a, [c for c in a.columns if c != "animal_id"])
     d = rules.combined_diagnosis_rule_part(a).withColumnRenamed("prediction", "rule_prediction")
     d = d.withColumns({
         "bp_num": F.coalesce(to_double(bp_part("bp", 1)), F.lit(0.0)),
-        "heart_rate_num": F.coalesce(to_double(filters.alias_value(d, ["heart_rate"], "0")), F.lit(0.0)),
-        "age_num": F.coalesce(to_double(filters.alias_value(d, ["age_years"], "0")), F.lit(0.0)),
+        "heart_rate_num": F.coalesce(to_double(filters.alias_value(d, FV.HEART_RATE_NAMES, "0", zero_falls_through=True)), F.lit(0.0)),
+        "age_num": F.coalesce(to_double(filters.alias_value(d, FV.AGE_NAMES, "0", zero_falls_through=True)), F.lit(0.0)),
     })
     model = fit_health_model(spark, sf_dir)
     scored = model.predict(d, ["animal_id", "rule_prediction", "needs_model"])
-    return scored.select("animal_id", F.when(F.col("needs_model"),
-                                             F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)))
+    return scored.select("animal_id", "needs_model",
+                         F.when(F.col("needs_model"), F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)))
                          .otherwise(F.col("rule_prediction")).alias("prediction"))
 
+
+@query("combined_diagnosis")
+def combined_diagnosis(spark, sf_dir):
+    return _combined(spark, sf_dir).drop("needs_model")

@@ -61,6 +61,23 @@ def keyword_top1_any(spark, sf_dir):
         "animal_id", "disease")
 
 
+_RULES8 = f"rules(ord, disease, kw) AS ({S.keyword_values(FV.DISEASE_KEYWORDS_EIGHT)})"
+
+
+@query("keyword_top1_eight", S.with_(S.ANIMAL, _RULES8, _REQ, """sc AS (
+ SELECT q.animal_id, r.ord, r.disease,
+  sum(CAST(contains(q.s1, r.kw) AS INT) + CAST(contains(q.s2, r.kw) AS INT)) AS score
+ FROM req q CROSS JOIN rules r GROUP BY q.animal_id, r.ord, r.disease)""") + """
+SELECT animal_id, CASE WHEN max(score) > 0 THEN arg_max(disease, score * 100000 - ord)
+ ELSE 'Unknown Disease' END AS disease FROM sc GROUP BY animal_id""")
+def keyword_top1_eight(spark, sf_dir):
+    """The 8-disease table, given as a rule DataFrame."""
+    rows = [(i, label, kw) for i, (label, kws) in enumerate(FV.DISEASE_KEYWORDS_EIGHT, 1) for kw in kws]
+    table = rules.rules_from_df(spark.createDataFrame(rows, "ord int, disease string, kw string"))
+    return rules.keyword_top1(views.animal(spark, sf_dir), ["symptom_1", "symptom_2"], table,
+                              fallback=FV.NO_MATCH_LABEL_EIGHT).select("animal_id", "disease")
+
+
 @query("first_match_label", S.with_(S.ANIMAL, _LABEL_RULES, _REQ, """hit AS (
  SELECT q.animal_id, min(r.ord) AS ord FROM req q JOIN lrules r
    ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""") + """
@@ -71,6 +88,19 @@ def first_match_label(spark, sf_dir):
     return rules.first_match_label(a, ["symptom_1", "symptom_2"]).select("animal_id", "label")
 
 
+_LABEL_RULES9 = f"lrules(ord, kw, label) AS ({S.pair_values(FV.SYMPTOM_LABEL_RULES_NO_EYE)})"
+
+
+@query("first_match_label_nine", S.with_(S.ANIMAL, _LABEL_RULES9, _REQ, """hit AS (
+ SELECT q.animal_id, min(r.ord) AS ord FROM req q JOIN lrules r
+   ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""") + """
+SELECT a.animal_id, r.label FROM animal a LEFT JOIN hit h ON a.animal_id = h.animal_id
+LEFT JOIN lrules r ON r.ord = h.ord""")
+def first_match_label_nine(spark, sf_dir):
+    a = views.animal(spark, sf_dir)
+    return rules.first_match_label(a, ["symptom_1", "symptom_2"], FV.SYMPTOM_LABEL_RULES_NO_EYE).select("animal_id", "label")
+
+
 @query("keyword_top1_documents", S.with_(_TEXT_RULES, """sc AS (
  SELECT d.doc_id, r.ord, r.disease, sum(CAST(contains(lower(d.text), r.kw) AS INT)) AS score
  FROM documents d CROSS JOIN rules r GROUP BY d.doc_id, r.ord, r.disease)""")
@@ -96,9 +126,10 @@ def _norm(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR lower(CAST({c} AS VARCHAR)) = 'nan' THEN '' ELSE CAST({c} AS VARCHAR) END"
 
 
-_DIAG_RULES_SQL = S.with_(S.ANIMAL, _LABEL_RULES, f"""n AS (
- SELECT animal_id, {_norm('bp')} AS bp, {_norm('heart_rate')} AS hr, {_norm('age_years')} AS age,
-  {S.sym(_norm('symptom_1'))} AS s1, {S.sym(_norm('symptom_2'))} AS s2 FROM animal)""", f"""p AS (
+_DIAG_RULES_SQL = S.with_(S.ANIMAL, S.DIRTY, _LABEL_RULES, f"""n AS (
+ SELECT animal_id, {_norm('bp')} AS bp, {S.given('heart_rate', 'heart_rate_bpm', zero_falls_through=True)} AS hr,
+  {S.given('age_years', 'age', zero_falls_through=True)} AS age,
+  {S.sym(_norm('symptom_1'))} AS s1, {S.sym(_norm('symptom_2'))} AS s2 FROM dirty WHERE copy_no = 0)""", f"""p AS (
  SELECT animal_id, s1, s2,
   ({S.num("split_part(bp, '/', 1)")}) IS NOT NULL
   AND (hr = '' OR ({S.num('hr')}) IS NOT NULL)
@@ -114,7 +145,7 @@ FROM p LEFT JOIN hit h ON p.animal_id = h.animal_id LEFT JOIN lrules r ON r.ord
 
 @query("combined_diagnosis_rules", _DIAG_RULES_SQL)
 def combined_diagnosis_rules(spark, sf_dir):
-    a = views.animal(spark, sf_dir)
+    a = views.dirty_animal(spark, sf_dir).where("copy_no = 0").drop("copy_no")
     a = clean.blank_normalise(a, [c for c in a.columns if c != "animal_id"])
     return rules.combined_diagnosis_rule_part(a).select("animal_id", "prediction", "needs_model")
 
@@ -137,8 +168,8 @@ def vaccine_recommend(spark, sf_dir):
 
 @query("health_verdict", S.with_(S.ANIMAL) + f"""
 SELECT animal_id, health_status,
- CASE WHEN health_status = 'Healthy' THEN {S.q(FV.VERDICT_HEALTHY)}
-      WHEN coalesce(health_status, '') <> '' THEN {S.q(FV.VERDICT_ATTENTION)} END AS verdict
+ CASE WHEN health_status = 'Healthy' THEN '🟢 The animal appears healthy.'
+      WHEN coalesce(health_status, '') <> '' THEN '🔴 The animal may need medical attention.' END AS verdict
 FROM animal""")
 def health_verdict(spark, sf_dir):
     a = views.animal(spark, sf_dir).select("animal_id", "health_status")

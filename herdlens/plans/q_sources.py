@@ -23,7 +23,35 @@ def csv_record_scan(spark, sf_dir):
     path = scratch_path(spark, "records-csv")
     records.write_records_csv(views.animal(spark, sf_dir).select(*_COLS), path)
     missing = scratch_path(spark, "not-there")
-    return records.read_records_csv(spark, [missing, path], _COLS)
+    return records.read_records_csv(spark, [missing, path], _COLS, required=["bp", "heart_rate", "health_status"])
+
+
+_HEADERS = {v: k for k, v in FV.RECORD_HEADERS.items()}
+
+
+@query("csv_header_order", S.with_(S.ANIMAL) + "SELECT " + ", ".join(
+    f"CASE WHEN CAST({c} AS VARCHAR) IN {_NA} THEN NULL ELSE CAST({c} AS VARCHAR) END AS {c}"
+    for c in _COLS if c != "breed") + ", CAST(NULL AS VARCHAR) AS breed FROM animal")
+def csv_header_order(spark, sf_dir):
+    """A file with the record file's own headers, in another order, and without a breed."""
+    path = scratch_path(spark, "records-csv")
+    a = views.animal(spark, sf_dir).select(*[c for c in reversed(_COLS) if c != "breed"])
+    records.write_records_csv(a, path, headers=_HEADERS)
+    return records.read_records_csv(spark, path, _COLS)
+
+
+@query("csv_quoted_text", """
+SELECT CAST(doc_id AS VARCHAR) AS animal_id, 'He said "' || lang || '", ok' AS name,
+ md5(text || chr(10) || '"' || source || '"') AS suggestion_md5 FROM documents""")
+def csv_quoted_text(spark, sf_dir):
+    """Free text with quotes, commas and line breaks through the file and back."""
+    path = scratch_path(spark, "quoted-csv")
+    d = views.documents(spark, sf_dir)
+    rows = d.select(F.col("doc_id").alias("animal_id"), F.concat(F.lit('He said "'), "lang", F.lit('", ok')).alias("name"),
+                    F.concat("text", F.lit('\n"'), "source", F.lit('"')).alias("doctor_suggestion"))
+    records.write_records_csv(rows, path, headers=_HEADERS)
+    back = records.read_records_csv(spark, path)
+    return back.select("animal_id", "name", F.md5("doctor_suggestion").alias("suggestion_md5"))
 
 
 _REQUIRED = ["bp", "heart_rate", "age_years", "health_status", "disease", "symptom_1", "symptom_2",

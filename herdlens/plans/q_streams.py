@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdlens.plans.q_rules import _LABEL_RULES, _REQ, _RULES26
-from herdlens.plans.q_updates import _VAX
+from herdlens.operators import clean, updates
+from herdlens.plans.q_updates import _MERGE_SQL, _OUT, PUSH_SQL
 from herdlens.plans import sql_parts as S
+from herdlens.plans.q_clean import _TRAIN
+from herdlens.plans.q_ml import fit_feature_model
 from herdlens.plans.registry import query
 from herdlens.sources import views
 from herdlens.sources.tables import scratch_path
@@ -14,40 +17,73 @@ from herdlens.streaming import intake, vaccination_state
 from herdlens import fixed_values as FV
 
 
-def _as_files(df, path: str, files: int, by) -> None:
-    """Stage rows as several Parquet files (the stream's input)."""
-    df.repartition(files, by).write.mode("errorifexists").parquet(path)
+def _as_files(df, path: str, by) -> int:
+    """Stage rows as Parquet files (the stream's input), as many as a shuffle makes; returns their number."""
+    df.repartition(by).write.mode("errorifexists").parquet(path)
+    return len(df.sparkSession.read.parquet(path).inputFiles())
 
 
-@query("stream_intake_scoring", S.with_(S.ANIMAL, _RULES26, _LABEL_RULES, _REQ, """sc AS (
+def _third(files: int) -> int:
+    """Files per trigger so that the stream takes about three batches."""
+    return max(1, -(-files // 3))
+
+
+_BLANK = " OR ".join(f"coalesce({S.strip(f'a.{c}')}, '') = ''" for c in intake.REQUIRED)
+_PAIR = f"""len(string_split(a.bp, '/')) = 2 AND {S.intval("split_part(a.bp, '/', 1)")} IS NOT NULL
+       AND {S.intval("split_part(a.bp, '/', 2)")} IS NOT NULL"""
+
+
+@query("stream_intake_scoring", S.with_(S.ANIMAL, _RULES26, _LABEL_RULES, _REQ, _TRAIN, """sc AS (
  SELECT q.animal_id, r.ord, r.disease,
   sum(CAST(contains(q.s1, r.kw) AS INT) + CAST(contains(q.s2, r.kw) AS INT)) AS score
  FROM req q CROSS JOIN rules r GROUP BY q.animal_id, r.ord, r.disease)""", f"""top AS (
  SELECT animal_id, CASE WHEN max(score) > 0 THEN arg_max(disease, score * 100000 - ord)
   ELSE {S.q(FV.NO_MATCH_LABEL)} END AS disease FROM sc GROUP BY animal_id)""", """hit AS (
  SELECT q.animal_id, min(r.ord) AS ord FROM req q JOIN lrules r
-   ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""") + """
-SELECT a.animal_id, r.label, t.disease FROM animal a JOIN top t ON a.animal_id = t.animal_id
-LEFT JOIN hit h ON a.animal_id = h.animal_id LEFT JOIN lrules r ON r.ord = h.ord""")
+   ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""", """med AS (
+ SELECT trunc(median(heart_rate))::BIGINT AS hr, trunc(median(bp_systolic))::BIGINT AS sy, trunc(median(bp_diastolic))::BIGINT AS di FROM train_f)""",
+ f"""s AS (SELECT a.animal_id, NOT ({_BLANK}) AS accepted, r.label, t.disease,
+ coalesce({S.intval('a.heart_rate')}, med.hr) AS heart_rate_in,
+ CASE WHEN {_PAIR} THEN {S.intval("split_part(a.bp, '/', 1)")} ELSE med.sy END AS bp_systolic_in,
+ CASE WHEN {_PAIR} THEN {S.intval("split_part(a.bp, '/', 2)")} ELSE med.di END AS bp_diastolic_in
+FROM animal a JOIN top t ON a.animal_id = t.animal_id CROSS JOIN med
+LEFT JOIN hit h ON a.animal_id = h.animal_id LEFT JOIN lrules r ON r.ord = h.ord)""") + """
+SELECT animal_id, accepted, CASE WHEN NOT accepted THEN 'Missing data' END AS reason, """ + ", ".join(
+    f"CASE WHEN accepted THEN {c} END AS {c}" for c in ["label", "disease", *intake.VITALS])
+    + ", accepted AS has_chance FROM s")
 def stream_intake_scoring(spark, sf_dir):
+    """Forms through the stream with a saved survival model; rejected forms have a reason and no scores."""
     forms = views.animal(spark, sf_dir)
-    src, sink, ckpt = (scratch_path(spark, p) for p in ("intake-src", "intake-out", "intake-ckpt"))
-    _as_files(forms, src, 8, F.col("animal_id"))
-    intake.run_intake_stream(spark, src, forms.schema, sink, ckpt)
-    return spark.read.parquet(sink).select("animal_id", "label", "disease")
+    src, sink, ckpt, saved = (scratch_path(spark, p) for p in ("intake-src", "intake-out", "intake-ckpt", "intake-model"))
+    files = _as_files(forms, src, F.col("animal_id"))
+    fit_feature_model(spark, sf_dir, "outcome").save(spark, saved)
+    medians = intake.training_medians(clean.model_features(forms))
+    intake.run_intake_stream(spark, src, forms.schema, sink, ckpt, medians, saved, _third(files))
+    out = spark.read.parquet(sink)
+    return out.withColumn("has_chance", F.coalesce(F.col("chance_of_living").between(0, 100), F.lit(False))).drop("chance_of_living")
 
 
-@query("stream_vaccination_state", _VAX + """
-SELECT a.animal_id, coalesce(max(CASE WHEN r.slot = 1 THEN r.text END), '') AS vaccination_1,
- coalesce(max(CASE WHEN r.slot = 2 THEN r.text END), '') AS vaccination_2
-FROM animal a LEFT JOIN ranked r ON r.animal_id = a.animal_id AND r.slot <= 2 GROUP BY a.animal_id""")
+@query("stream_vaccination_state", PUSH_SQL)
 def stream_vaccination_state(spark, sf_dir):
     entries = views.vaccinations(spark, sf_dir)
-    records = views.animal(spark, sf_dir).select("animal_id")
-    src, state, ckpt = (scratch_path(spark, p) for p in ("vax-src", "vax-state", "vax-ckpt"))
+    base = views.dirty_animal(spark, sf_dir, input_order=True).select("animal_id", "copy_no", "vaccination_1", "_input_order")
+    src, root, ckpt = (scratch_path(spark, p) for p in ("vax-src", "vax-state", "vax-ckpt"))
     # Files are cut by a hash of the sequence, so arrival order is not event order.
-    _as_files(entries, src, 6, F.xxhash64("seq"))
-    table = vaccination_state.run_vaccination_stream(spark, src, entries.schema, records, state, ckpt)
-    cur = table.current_version()
-    st = table.read(cur) if cur is not None else None
-    return vaccination_state.state_as_slots(records, st)
+    files = _as_files(entries, src, F.xxhash64("seq"))
+    state = vaccination_state.vaccination_state(spark, root, entries.schema)
+    vaccination_state.run_vaccination_stream(spark, src, entries.schema, base, state, ckpt, _third(files))
+    out = updates.vaccination_push(base, state.read())
+    return clean.null_to_empty(out.select("animal_id", "copy_no", "vaccination_1", "vaccination_2"),
+                               ["vaccination_1", "vaccination_2"])
+
+
+@query("stream_record_state", _MERGE_SQL + "SELECT * FROM merged")
+def stream_record_state(spark, sf_dir):
+    edits = views.record_updates(spark, sf_dir)
+    src, root, ckpt = (scratch_path(spark, p) for p in ("edit-src", "edit-state", "edit-ckpt"))
+    files = _as_files(edits, src, F.xxhash64("seq"))
+    state = vaccination_state.edit_state(spark, root, edits.schema)
+    vaccination_state.run_edit_stream(spark, src, edits.schema, state, ckpt, _third(files))
+    base = views.dirty_animal(spark, sf_dir, input_order=True).drop("vaccination_1")
+    merged = updates.record_update_merge(base, state.read())
+    return clean.null_to_empty(merged.select(*_OUT), [c for c in _OUT if c != "animal_id"])

@@ -17,7 +17,7 @@ _OUT = _REC + ["doctor_suggestion", "special_care"]
 
 def merged_records(spark, sf_dir) -> DataFrame:
     """Records after every edit, as saved (missing -> '')."""
-    base = views.animal(spark, sf_dir, input_order=True)
+    base = views.dirty_animal(spark, sf_dir, input_order=True).drop("vaccination_1")
     merged = updates.record_update_merge(base, views.record_updates(spark, sf_dir))
     return clean.null_to_empty(merged.select(*_OUT), [c for c in _OUT if c != "animal_id"])
 
@@ -35,8 +35,8 @@ _MERGED = f"""merged AS (
   coalesce(a.disease, '') AS disease,
   CASE WHEN u.animal_id IS NULL THEN '' ELSE coalesce({S.strip('u.suggestion')}, '') END AS doctor_suggestion,
   CASE WHEN u.animal_id IS NULL THEN '' WHEN coalesce(u.special_care, '') <> '' THEN 'Yes' ELSE 'No' END AS special_care
- FROM animal a LEFT JOIN latest u ON a.animal_id = u.animal_id)"""
-_MERGE_SQL = S.with_(S.ANIMAL, S.RECORD_UPDATES, _LATEST, _MERGED)
+ FROM dirty a LEFT JOIN latest u ON a.animal_id = u.animal_id AND a.copy_no = 0)"""
+_MERGE_SQL = S.with_(S.ANIMAL, S.DIRTY, S.RECORD_UPDATES, _LATEST, _MERGED)
 
 
 @query("record_update_merge", _MERGE_SQL + "SELECT * FROM merged")
@@ -70,29 +70,39 @@ _RANKED = """ranked AS (
 _VAX = S.with_(S.ANIMAL, S.VACCINATIONS, _OK, _RANKED)
 
 
+_ALIASES = ["age", "heart_rate_bpm", "oxygen_saturation_pct", "oxygen_saturation", "detected_disease"]
+
+
 def current_records(spark, sf_dir) -> DataFrame:
-    """Records after every edit and every accepted vaccination, as saved."""
-    base = views.animal(spark, sf_dir, input_order=True)
-    merged = updates.record_update_merge(base, views.record_updates(spark, sf_dir))
-    pushed = updates.vaccination_push(merged, accepted_vaccinations(spark, sf_dir))
-    cols = _OUT + ["vaccination_1", "vaccination_2"]
-    return clean.null_to_empty(pushed.select(*cols), [c for c in cols if c != "animal_id"])
+    """Records after every edit and every accepted vaccination, as saved (missing -> '')."""
+    base = views.dirty_animal(spark, sf_dir, input_order=True)
+    pushed = updates.apply_changes(base, views.record_updates(spark, sf_dir), accepted_vaccinations(spark, sf_dir))
+    cols = _OUT + ["vaccination_1", "vaccination_2", *_ALIASES, "copy_no"]
+    return clean.null_to_empty(pushed.select(*cols), [c for c in cols if c not in ("animal_id", "copy_no")])
+
+
+# The last two accepted entries per animal, pushed onto what its first record held.
+_SLOTS = """slots AS (
+ SELECT animal_id, max(CASE WHEN slot = 1 THEN text END) AS v1, max(CASE WHEN slot = 2 THEN text END) AS v2
+ FROM ranked WHERE slot <= 2 GROUP BY animal_id)"""
+_PUSHED = """coalesce(s.v1, d.vaccination_1, '') AS vaccination_1,
+ CASE WHEN s.v1 IS NULL THEN '' ELSE coalesce(s.v2, d.vaccination_1, '') END AS vaccination_2"""
+CURRENT_SQL = S.with_(S.ANIMAL, S.DIRTY, S.RECORD_UPDATES, _LATEST, _MERGED.replace(
+    "SELECT a.animal_id,", "SELECT a.animal_id, a.copy_no,"), S.VACCINATIONS, _OK, _RANKED, _SLOTS, f"""current AS (
+ SELECT m.*, {_PUSHED}, """ + ", ".join(f"coalesce(d.{c}, '') AS {c}" for c in _ALIASES) + """
+ FROM merged m JOIN dirty d ON d.animal_id = m.animal_id AND d.copy_no = m.copy_no
+ LEFT JOIN slots s ON s.animal_id = m.animal_id AND m.copy_no = 0)""")
 
 
-CURRENT_SQL = S.with_(S.ANIMAL, S.RECORD_UPDATES, _LATEST, _MERGED, S.VACCINATIONS, _OK, _RANKED, """current AS (
- SELECT m.*, coalesce(max(CASE WHEN r.slot = 1 THEN r.text END), '') AS vaccination_1,
-  coalesce(max(CASE WHEN r.slot = 2 THEN r.text END), '') AS vaccination_2
- FROM merged m LEFT JOIN ranked r ON r.animal_id = m.animal_id AND r.slot <= 2 GROUP BY ALL)""")
+PUSH_SQL = S.with_(S.ANIMAL, S.DIRTY, S.VACCINATIONS, _OK, _RANKED, _SLOTS) + f"""
+SELECT d.animal_id, d.copy_no, {_PUSHED} FROM dirty d LEFT JOIN slots s ON s.animal_id = d.animal_id AND d.copy_no = 0"""
 
 
-@query("vaccination_push", _VAX + """
-SELECT a.animal_id, coalesce(max(CASE WHEN r.slot = 1 THEN r.text END), '') AS vaccination_1,
- coalesce(max(CASE WHEN r.slot = 2 THEN r.text END), '') AS vaccination_2
-FROM animal a LEFT JOIN ranked r ON r.animal_id = a.animal_id AND r.slot <= 2 GROUP BY a.animal_id""")
+@query("vaccination_push", PUSH_SQL)
 def vaccination_push(spark, sf_dir):
-    base = views.animal(spark, sf_dir, input_order=True).select("animal_id", "_input_order")
+    base = views.dirty_animal(spark, sf_dir, input_order=True).select("animal_id", "copy_no", "vaccination_1", "_input_order")
     out = updates.vaccination_push(base, accepted_vaccinations(spark, sf_dir))
-    return clean.null_to_empty(out.select("animal_id", "vaccination_1", "vaccination_2"),
+    return clean.null_to_empty(out.select("animal_id", "copy_no", "vaccination_1", "vaccination_2"),
                                ["vaccination_1", "vaccination_2"])
 
 

@@ -41,7 +41,25 @@ SELECT user_id AS animal_id, ts, event_id AS seq,
  CAST(CAST(ts AS DATE) AS STRING) AS vaccine_date
 FROM events)"""
 
-SCANS = """scans AS (SELECT page_id AS scan_id, url AS scanned_text FROM pages)"""
+SCANS = """scans AS (SELECT page_id AS scan_id,
+ CASE WHEN page_id % 3 = 0 THEN CAST(page_id AS VARCHAR) WHEN page_id % 5 = 0 THEN 'Animal #' || CAST(page_id + 90000000 AS VARCHAR)
+      WHEN page_id % 7 = 0 THEN 'no number here' ELSE url END AS scanned_text FROM pages)"""
+
+# Needs ANIMAL before it.
+DIRTY = """dirty AS (
+SELECT a.animal_id, c.copy_no,
+ CASE WHEN a.animal_id % 29 = 0 THEN 'NaN' WHEN c.copy_no = 1 THEN name || ' copy' ELSE name END AS name,
+ species, breed, sex,
+ CASE WHEN a.animal_id % 13 = 0 THEN 'nan' WHEN a.animal_id % 11 = 0 THEN '0.0' ELSE age_years END AS age_years,
+ CASE WHEN a.animal_id % 3 <> 0 THEN CAST(a.animal_id % 20 AS VARCHAR) END AS age,
+ bp, CASE WHEN a.animal_id % 17 = 0 THEN '0' WHEN a.animal_id % 19 = 0 THEN 'NaN' ELSE heart_rate END AS heart_rate,
+ CASE WHEN a.animal_id % 5 <> 0 THEN CAST(60 + a.animal_id % 50 AS VARCHAR) END AS heart_rate_bpm,
+ CASE WHEN a.animal_id % 4 = 0 THEN 'nan' WHEN a.animal_id % 3 <> 0 THEN CAST(90 + a.animal_id % 10 AS VARCHAR) END AS oxygen_saturation_pct,
+ CASE WHEN a.animal_id % 2 = 0 THEN '88' ELSE '' END AS oxygen_saturation,
+ health_status, symptom_1, symptom_2, disease,
+ CASE WHEN a.animal_id % 4 = 0 THEN 'nan' WHEN a.animal_id % 4 = 1 THEN 'Tick Fever' END AS detected_disease,
+ CASE WHEN a.animal_id % 6 = 0 THEN 'Old (' || CAST(2000 + a.animal_id % 20 AS VARCHAR) || ')' END AS vaccination_1
+FROM animal a JOIN (VALUES (0), (1)) c(copy_no) ON c.copy_no = 0 OR a.animal_id % 50 = 0)"""
 
 
 def q(s: str) -> str:
@@ -62,6 +80,20 @@ def sym(expr: str) -> str:
     return f"coalesce(lower({strip(expr)}), '')"
 
 
+def shown(expr: str) -> str:
+    """Display text: null or 'nan' in any case is ''."""
+    return f"(CASE WHEN {expr} IS NULL OR lower({expr}) = 'nan' THEN '' ELSE {expr} END)"
+
+
+def given(*exprs: str, zero_falls_through: bool = False) -> str:
+    """The first alias that is given: not blank, not 'nan' (and not a zero)."""
+    def one(e: str) -> str:
+        t = shown(e)
+        zero = f" OR TRY_CAST({t} AS DOUBLE) = 0" if zero_falls_through else ""
+        return f"CASE WHEN {t} = ''{zero} THEN NULL ELSE {t} END"
+    return "coalesce(" + ", ".join(map(one, exprs)) + ", '')"
+
+
 def num(expr: str) -> str:
     """Guarded float parse (bad -> NULL)."""
     return (f"CASE WHEN regexp_matches(CAST({expr} AS VARCHAR), {q(FV.FLOAT_PATTERN)}) "

@@ -1,7 +1,7 @@
 """Session settings for local runs (tests, bench).
 
-On a cluster the session comes from the platform; nothing here is needed
-there except that AQE stays on (it is Spark's default).
+On a cluster the session comes from the platform; it needs nothing from here
+but ``spark.checkpoint.dir`` naming a folder that all executors share.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rule scoring compiles into wide projections; above HotSpot's huge-method
-    # size the JIT skips a method, so fall back from whole-stage codegen to the
-    # split per-expression code before that point.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -1,23 +1,25 @@
 """Record-table sources and sinks.
 
-* CSV scan with an explicit all-text schema and the pandas missing-value
-  tokens (S1), resolved from a list of candidate paths (S2), a required-
-  column check (S3) and optional-column backfill (S4).
-* Versioned table save (S5): each save writes a new version directory and
-  then moves a small pointer; the version being read is never overwritten,
-  so a lost executor or a failed job leaves the previous version intact.
-* Report sink (S6): report rows written partitioned by a key bucket.
+* CSV scan by header name with the pandas missing-value tokens (S1), resolved
+  from a list of candidate paths (S2), a check of the header for required
+  columns (S3) and optional-column backfill (S4).
+* Versioned table save (S5): each save is written aside and renamed to the
+  next free version; a finished version never changes, and the newest one is
+  the table, so there is no pointer to lose.
+* Report sink (S6): report rows written partitioned by a hash of the key.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from herdlens.fixed_values import PANDAS_NA_TOKENS
+from herdlens.fixed_values import PANDAS_NA_TOKENS, RECORD_HEADERS
 
 
 # --- Hadoop file-system helpers (driver-side metadata calls only) ---
@@ -42,51 +44,68 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError("record table not found at any of: " + ", ".join(paths))
 
 
-def write_text_file(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small text file atomically (temp file + rename)."""
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder atomically; False if ``target`` is there already."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    _, src = _fs_path(spark, source)
+    _, dst = _fs_path(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    plain = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(src, dst, plain)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception) or path_exists(spark, target):
+            return False
+        raise
+    return True
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
     fs, p = _fs_path(spark, path)
-    jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    fs.delete(p, True)
 
 
-def read_text_file(spark: SparkSession, path: str) -> str:
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of finished Parquet folders (with ``_SUCCESS``) under ``path``, sorted."""
     fs, p = _fs_path(spark, path)
-    jvm = spark.sparkContext._jvm
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return reader.readLine() or ""
-    finally:
-        stream.close()
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)
+                  if fs.exists(st.getPath().suffix("/_SUCCESS")))
 
 
 # --- S1 / S3 / S4 ---
 
-def read_records_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str],
-                     na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
-    """Header CSV read with every column as text; NA tokens and '' -> null.
-
-    The schema is given, not inferred (inference is an extra full pass), and
-    whitespace is kept as written.
+def read_records_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
+                     na_tokens: Sequence[str] = PANDAS_NA_TOKENS, names: dict[str, str] | None = None,
+                     required: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
+    """Header CSV read by column name, every column as text; NA tokens and '' -> null.
+
+    Quotes inside quoted text are doubled, and with ``multi_line`` quoted text
+    may hold line breaks; a file is then read by one task, so Parquet is the
+    working format for large tables. ``names`` maps header names to column
+    names (default: the record file's own headers). Columns in ``required``
+    must be in the header (S3); other ``columns`` it lacks come back null.
+    All files of a folder share the first one's header.
     """
     path = paths if isinstance(paths, str) else first_existing(spark, list(paths))
-    schema = StructType([StructField(c, StringType(), True) for c in columns])
-    df = (spark.read.schema(schema).option("header", True)
+    df = (spark.read.option("header", True).option("inferSchema", False)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("multiLine", False).csv(path))
+          .option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path))
+    known = RECORD_HEADERS if names is None else names
+    df = df.select(*[F.col(f"`{c}`").alias(known.get(c, c)) for c in df.columns])
+    require_columns(df, required)
     tokens = list(na_tokens)
-    return df.withColumns({c: F.when(~(F.col(c).isin(*tokens) | (F.col(c) == F.lit(""))), F.col(c))
-                           for c in columns})
+    wanted = list(columns) if columns is not None else df.columns
+    return df.select(*[
+        F.when(~(F.col(c).isin(*tokens) | (F.col(c) == F.lit(""))), F.col(c)).alias(c)
+        if c in df.columns else F.lit(None).cast("string").alias(c) for c in wanted])
 
 
-def write_records_csv(df: DataFrame, path: str) -> None:
-    (df.write.mode("errorifexists").option("header", True)
+def write_records_csv(df: DataFrame, path: str, headers: dict[str, str] | None = None) -> None:
+    """Header CSV with doubled quotes; ``headers`` renames columns to header names."""
+    out = df.select(*[F.col(c).alias((headers or {}).get(c, c)) for c in df.columns])
+    (out.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
@@ -124,64 +143,65 @@ def backfill_columns(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
 # --- S5: versioned save ---
 
 class VersionedTable:
-    """A table stored as immutable Parquet versions plus a ``_CURRENT`` pointer."""
+    """A table stored as immutable Parquet versions; the newest finished one is current."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.root}/_CURRENT"
+    def _folder(self, version: int) -> str:
+        return f"{self.root}/v={version:08d}"
+
+    def versions(self) -> list[int]:
+        """Finished versions, ascending."""
+        return [int(n[2:]) for n in child_folders(self.spark, self.root) if n.startswith("v=")]
 
     def current_version(self) -> int | None:
-        if not path_exists(self.spark, self._pointer()):
-            return None
-        return int(read_text_file(self.spark, self._pointer()).strip())
+        return max(self.versions(), default=None)
 
     def save(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next version (or ``version``; an existing one is left as is).
+        """Write the next free version, or ``version`` if it isn't there yet (a repeated save is a no-op).
 
-        Saving an explicit version twice is a no-op, which makes replays of
-        the same batch idempotent.
+        The rows are written aside and renamed when complete. Of two writers
+        one gets a version; the other takes the next.
         """
-        cur = self.current_version()
-        v = version if version is not None else (0 if cur is None else cur + 1)
-        target = f"{self.root}/v={v:08d}"
-        if not path_exists(self.spark, f"{target}/_SUCCESS"):
-            df.write.mode("overwrite").parquet(target)
-        if cur is None or v >= cur:
-            write_text_file(self.spark, self._pointer(), str(v))
-        return v
-
-    def versions(self) -> list[int]:
-        """Completed versions (those with a ``_SUCCESS`` marker), ascending."""
-        fs, p = _fs_path(self.spark, self.root)
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def latest_before(self, version: int) -> int | None:
-        older = [v for v in self.versions() if v < version]
-        return older[-1] if older else None
+        if version is not None and version in self.versions():
+            return version
+        aside = f"{self.root}/_writing-{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        while True:
+            v = version if version is not None else (self.current_version() or 0) + 1
+            if rename_new(self.spark, aside, self._folder(v)):
+                return v
+            if version is not None:
+                delete_folder(self.spark, aside)
+                return version
+
+    def retire(self, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` versions."""
+        for v in self.versions()[:-keep or None]:
+            delete_folder(self.spark, self._folder(v))
 
     def read(self, version: int | None = None) -> DataFrame:
         v = self.current_version() if version is None else version
         if v is None:
             raise FileNotFoundError(f"no saved version under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/v={v:08d}")
+        return self.spark.read.parquet(self._folder(v))
 
 
 # --- S6: report sink ---
 
-def write_reports(df: DataFrame, path: str, key: str = "animal_id", buckets: int = 64) -> None:
-    """Report rows as JSON, partitioned by a key bucket (not one file per key)."""
-    (df.withColumn("key_bucket", F.pmod(F.col(key), F.lit(buckets)))
-     .repartition("key_bucket")
+def write_reports(df: DataFrame, path: str, key: str = "animal_id", buckets: int | None = None,
+                  rows_per_bucket: int = 1_000_000) -> None:
+    """Report rows as JSON, partitioned by a hash bucket of the key (not one file per key).
+
+    Buckets follow the row count unless given; each is written by its own task.
+    """
+    if buckets is None:
+        buckets = max(8, -(-df.count() // rows_per_bucket))
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    (df.withColumn("key_bucket", bucket)
+     .repartition(buckets, "key_bucket")
      .write.mode("errorifexists").partitionBy("key_bucket").json(path))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -21,36 +23,71 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     return df.select(*columns) if columns else df
 
 
+class NoSharedFolder(RuntimeError):
+    pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide checkpoint folder (``spark.checkpoint.dir``).
 
-    Read from the session; only when it is unset (local runs, tests) a
-    folder is created and registered, so cluster jobs never write to a
-    machine-local temporary folder.
+    Read from the session. Where it is unset, a single-machine session
+    (``local`` master: tests, bench) gets a folder of its own; any other
+    master is refused, as executors elsewhere could not see such a folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="herdlens-ckpt-")
-        sc.setCheckpointDir(current)
-        try:
-            spark.conf.set("spark.checkpoint.dir", current)
-        except Exception:  # core conf may be read-only at runtime
-            pass
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return current.rstrip("/")
 
 
+_scratch: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh, unique path under the shared folder."""
-    return f"{shared_dir(spark)}/herdlens/{purpose}-{uuid.uuid4().hex}"
+    """A fresh, unique path under the shared folder, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/herdlens/{purpose}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
 
 
-def local_path(path: str) -> str | None:
-    """Plain file path of a ``file:`` / local URI, else None."""
-    if path.startswith("file:"):
-        return path[5:]
-    if "://" in path:
-        return None
-    return path if os.path.isabs(path) else None
+@atexit.register
+def drop_scratch() -> None:
+    """Delete this program's scratch folders; what a stopped session left stays for the cluster's cleaner."""
+    while _scratch:
+        path, spark = _scratch.popitem()
+        if spark.sparkContext._jsc is None or spark.sparkContext._gateway is None:
+            continue
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone already
+            return
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: lineage ends here."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list[Column], purpose: str, position: str = "position") -> DataFrame:
+    """Add a gapless long position (from 0) by a total order, without a single-task sort.
+
+    Rows are range-partitioned, sorted and stored with their place; the rows
+    before each partition come from one count per partition.
+    """
+    t = stored(df.repartitionByRange(*order).sortWithinPartitions(*order)
+               .withColumn("_mid", F.monotonically_increasing_id()), purpose)
+    t = t.withColumn("_part", F.shiftright("_mid", 33))
+    counts = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # As many rows as there are partitions, which bounds the window and the broadcast.
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return (t.join(F.broadcast(before), "_part")
+            .withColumn(position, F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1))
+            .drop("_part", "_before", "_mid"))

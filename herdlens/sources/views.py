@@ -12,17 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdlens import fixed_values as FV
 from herdlens.sources.tables import read_table
 
 # FIXED VALUES of the derivation (choice lists indexed by key arithmetic).
-_SPECIES = ["Cat", "Buffalo", "Goat", "Sheep", "Dog", "Hen", "Cow"]
-_SEX = ["Male", "Female"]
-_STATUS = ["Sick", "Cold", "Tired", "Cough", "Under Treatment", "Diarrhea", "Fever", "Dizzy",
-           "Vaccinated", "Running Nose", "Healthy"]
-_SYMPTOM_1 = ["None", "Aggression", "Abortion", "Sudden death", "Blisters on mouth",
-              "Swollen udder", "Fever", "Cough", "Sneezing", "Vomiting"]
-_SYMPTOM_2 = ["None", "Salivation", "Joint swelling", "Bloody discharge", "Drooling",
-              "Reduced milk yield", "Mouth lesions", "Nasal discharge", "Ulcers in mouth", "Diarrhea"]
+_SPECIES = FV.SPECIES_CHOICES
+_SEX = FV.SEX_CHOICES
+_STATUS = FV.HEALTH_STATUS_CHOICES
+_SYMPTOM_1 = FV.SYMPTOM_1_CHOICES
+_SYMPTOM_2 = FV.SYMPTOM_2_CHOICES
 _DISEASE = ["Rabies", "Anthrax", "PPR (Peste des petits ruminants)", "FMD", "Mastitis",
             "Brucellosis", "Newcastle Disease", "Tick Fever"]
 _UPDATE_SYMPTOM_1 = ["  Fever ", "Cough", "", "Vomiting", "Swollen udder"]
@@ -73,6 +71,30 @@ def animal(spark: SparkSession, sf_dir: str, input_order: bool = False) -> DataF
     )
 
 
+def dirty_animal(spark: SparkSession, sf_dir: str, input_order: bool = False) -> DataFrame:
+    """Records as a busy clinic keeps them: 'nan' texts, zero vitals, alias columns and repeated ids.
+
+    Every 50th id has a second row (``copy_no`` 1), which stands after the first in input order.
+    """
+    k = F.col("animal_id")
+    txt = lambda c: c.cast("string")
+    a = animal(spark, sf_dir, input_order)
+    a = a.withColumn("copy_no", F.explode(F.when(k % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    if input_order:
+        a = a.withColumn("_input_order", F.struct("_input_order.f", "_input_order.r", "copy_no"))
+    return a.withColumns({
+        "name": F.when(k % 29 == 0, F.lit("NaN")).otherwise(F.concat("name", F.when(F.col("copy_no") == 1, F.lit(" copy")).otherwise(F.lit("")))),
+        "age_years": F.when(k % 13 == 0, F.lit("nan")).when(k % 11 == 0, F.lit("0.0")).otherwise(F.col("age_years")),
+        "age": F.when(k % 3 != 0, txt(k % 20)),
+        "heart_rate": F.when(k % 17 == 0, F.lit("0")).when(k % 19 == 0, F.lit("NaN")).otherwise(F.col("heart_rate")),
+        "heart_rate_bpm": F.when(k % 5 != 0, txt(60 + k % 50)),
+        "oxygen_saturation_pct": F.when(k % 4 == 0, F.lit("nan")).when(k % 3 != 0, txt(90 + k % 10)),
+        "oxygen_saturation": F.when(k % 2 == 0, F.lit("88")).otherwise(F.lit("")),
+        "detected_disease": F.when(k % 4 == 0, F.lit("nan")).when(k % 4 == 1, F.lit("Tick Fever")),
+        "vaccination_1": F.when(k % 6 == 0, F.concat(F.lit("Old ("), txt(2000 + k % 20), F.lit(")"))),
+    })
+
+
 def record_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record edit events: several per animal; the last by (ts, seq) wins."""
     o = read_table(spark, sf_dir, "orders",
@@ -103,9 +125,11 @@ def vaccinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded scan texts."""
-    return read_table(spark, sf_dir, "pages", ["page_id", "url"]).select(
-        F.col("page_id").alias("scan_id"), F.col("url").alias("scanned_text"))
+    """Decoded scan texts: bare ids, ids without a record, texts without digits, and urls."""
+    k = F.col("page_id")
+    text = (F.when(k % 3 == 0, k.cast("string")).when(k % 5 == 0, F.concat(F.lit("Animal #"), (k + 90_000_000).cast("string")))
+            .when(k % 7 == 0, F.lit("no number here")).otherwise(F.col("url")))
+    return read_table(spark, sf_dir, "pages", ["page_id", "url"]).select(k.alias("scan_id"), text.alias("scanned_text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

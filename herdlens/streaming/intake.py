@@ -1,30 +1,62 @@
 """ST1: intake scoring as a Structured Streaming job.
 
-Intake forms arrive as files; each micro-batch is scored with the same
-column functions as the batch path (stateless, narrow), and written to a
-Parquet sink whose commit log makes the output exactly-once across restarts.
+Intake forms arrive as files. A form that lacks a required field is kept with
+its reason and no scores. The others get the batch path's columns: rule label,
+best keyword disease, integer vitals with the training medians as fallback, and
+the chance of living of a fitted model if one is given. The medians are taken
+once before the stream starts. Everything is stateless and narrow, and the
+Parquet sink's commit log makes the output exactly-once across restarts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from herdlens.operators import rules
+from herdlens import fixed_values as FV
+from herdlens.operators import clean, filters, ml, rules
+
+REQUIRED = ["species", "breed", "sex", "bp", "heart_rate", "health_status"]
+VITALS = ["heart_rate_in", "bp_systolic_in", "bp_diastolic_in"]
+
+
+def training_medians(training: DataFrame) -> DataFrame:
+    """The training frame's medians as a one-row frame, so that batches don't compute them again."""
+    names = ["heart_rate", "bp_systolic", "bp_diastolic"]
+    row = training.sparkSession.range(1).select(*[clean.median_of(training, c).alias(c) for c in names])
+    values = [tuple(row.first())]
+    return training.sparkSession.createDataFrame(values, ", ".join(f"{c} double" for c in names))
 
 
-def score_intake(df: DataFrame) -> DataFrame:
-    """Rule columns of an intake form: quick label and best keyword disease."""
+def score_intake(df: DataFrame, medians: DataFrame, model: ml.FittedClassifier | None = None,
+                 required: Sequence[str] = REQUIRED) -> DataFrame:
+    """(animal_id, accepted, reason, label, disease, vitals, chance_of_living) of intake forms."""
+    df = filters.validate_required(df, required)
     df = rules.first_match_label(df, ["symptom_1", "symptom_2"], out_col="label")
-    return rules.keyword_top1(df, ["symptom_1", "symptom_2"], rules.DISEASES_26, out_col="disease")
+    df = rules.keyword_top1(df, ["symptom_1", "symptom_2"], rules.DISEASES_26, out_col="disease")
+    df = clean.intake_impute(df, medians)
+    scores = ["label", "disease", *VITALS]
+    if model is not None:
+        keep = ["animal_id", "accepted", "reason", *scores]
+        form = clean.constant_fill(df, text=["symptom_1", "symptom_2"])
+        form = form.withColumns({c: F.col(f"{c}_in").cast("double") for c in FV.NUMERIC_FEATURES})
+        df = model.predict(form, keep).withColumn("chance_of_living", model.class_probability_pct(FV.OUTCOME_LIVE))
+        scores.append("chance_of_living")
+    return df.select("animal_id", "accepted", "reason", *[F.when(F.col("accepted"), F.col(c)).alias(c) for c in scores])
 
 
 def run_intake_stream(spark: SparkSession, source_dir: str, schema: StructType, sink_dir: str,
-                      checkpoint_dir: str, files_per_trigger: int = 2) -> None:
-    """Process every file available now, then stop (``availableNow`` trigger)."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir))
-    q = (score_intake(stream).select("animal_id", "label", "disease")
+                      checkpoint_dir: str, medians: DataFrame, model_path: str | None = None,
+                      files_per_trigger: int | None = None) -> None:
+    """Score every file available now, then stop (``availableNow``); ``model_path`` names a saved model."""
+    model = ml.FittedClassifier.load(spark, model_path) if model_path else None
+    stream = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    q = (score_intake(stream.parquet(source_dir), medians, model)
          .writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
          .outputMode("append").trigger(availableNow=True).start(sink_dir))
     q.awaitTermination()

@@ -1,0 +1,67 @@
+"""Keyed state of a stream as stored deltas.
+
+Each micro-batch is reduced per key and stored as one delta, named by the
+stream's query id and the batch id: a replayed batch replaces its own delta,
+and a stream started anew beside an old state adds to it. The state is the same
+reduction over all deltas, so its cost per batch follows the batch, not the
+state. ``compact`` replaces the deltas there are by one. The reduction must
+give the same result when rows come twice.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from herdlens.sources import records
+
+
+class KeyedState:
+    def __init__(self, spark: SparkSession, root: str, schema: StructType,
+                 reduce: Callable[[DataFrame], DataFrame]):
+        self.spark, self.root, self.schema, self.reduce = spark, root.rstrip("/"), schema, reduce
+
+    def deltas(self) -> list[str]:
+        return [f"{self.root}/{n}" for n in records.child_folders(self.spark, self.root) if n.startswith("delta-")]
+
+    def add(self, rows: DataFrame, query_id: str, batch_id: int) -> None:
+        self.reduce(rows).write.mode("overwrite").parquet(f"{self.root}/delta-{query_id}-{batch_id:010d}")
+
+    def read(self) -> DataFrame:
+        found = self.deltas()
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.reduce(self.spark.read.schema(self.schema).parquet(*found).distinct())
+
+    def compact(self) -> None:
+        """One delta for all there are; a stop in between leaves rows twice, which changes nothing."""
+        found = self.deltas()
+        if len(found) < 2:
+            return
+        aside = f"{self.root}/_writing-{uuid.uuid4().hex}"
+        self.read().write.parquet(aside)
+        if records.rename_new(self.spark, aside, f"{self.root}/delta-compact-{uuid.uuid4().hex}"):
+            for path in found:
+                records.delete_folder(self.spark, path)
+
+
+def run_state_stream(spark: SparkSession, source_dir: str, schema: StructType, state: KeyedState,
+                     prepare: Callable[[DataFrame], DataFrame], checkpoint_dir: str,
+                     files_per_trigger: int | None = None, compact_every: int = 50) -> None:
+    """Feed every file there is through ``prepare`` into the state, then stop (``availableNow``)."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        state.add(prepare(batch), query_id, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            state.compact()
+
+    stream = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    q = (stream.parquet(source_dir).writeStream.foreachBatch(process)
+         .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
+    q.awaitTermination()

@@ -1,65 +1,51 @@
-"""ST2: latest vaccinations per animal maintained from a stream of entries.
-
-Each micro-batch is validated, reduced to its newest ``keep`` entries per
-animal and merged with the previous state version into a new immutable
-state version named after the batch id. The merge is a deterministic
-function of (previous version, batch), ordered by (event time, sequence),
-so a replayed batch rewrites the same version and late or out-of-order
-files give the batch answer. The per-key reduction uses partial
-aggregation (no window), so a hot animal never sits whole in one task.
+"""ST2: record edits and vaccinations kept up to date from streams of changes.
+
+Both are keyed states ordered by (event time, sequence), so late and
+out-of-order files give the batch answer: the newest edit, and the newest two
+vaccinations per animal. They meet the record table by the batch merge, which
+changes the first row of an id and pushes onto what that row already held.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from herdlens.operators import filters, updates
-from herdlens.sources.records import VersionedTable
+from herdlens.streaming.keyed_state import KeyedState, run_state_stream
+
+ORDER = ["ts", "seq"]
+ENTRY_COLS = ["animal_id", *ORDER, "text"]
+EDIT_COLS = ["animal_id", *ORDER, "symptom_1", "symptom_2", "suggestion", "special_care"]
+
+
+def _schema(base: StructType, cols: list[str]) -> StructType:
+    known = {f.name: f for f in base.fields}
+    return StructType([known[c] if c in known else StructType().add(c, "string").fields[0] for c in cols])
 
-STATE_COLS = ["animal_id", "ts", "seq", "text"]
 
+def vaccination_state(spark: SparkSession, root: str, schema: StructType, keep: int = 2) -> KeyedState:
+    return KeyedState(spark, root, _schema(schema, ENTRY_COLS), lambda rows: updates.top_n_per_key(
+        rows, "animal_id", ORDER, [*ORDER, "text"], keep).select(*ENTRY_COLS))
 
-def merge_batch(state: DataFrame | None, batch: DataFrame, keep: int = 2) -> DataFrame:
-    """New state: newest ``keep`` (ts, seq, text) per animal of state + batch."""
-    rows = batch.select(*STATE_COLS)
-    if state is not None:
-        rows = state.select(*STATE_COLS).unionByName(rows)
-    top = updates.top_n_per_key(rows, "animal_id", ["ts", "seq"], ["ts", "seq", "text"], keep)
-    return top.select(*STATE_COLS)
 
+def edit_state(spark: SparkSession, root: str, schema: StructType) -> KeyedState:
+    return KeyedState(spark, root, _schema(schema, EDIT_COLS), lambda rows: updates.latest_per_key(
+        rows, "animal_id", ORDER, EDIT_COLS[1:]).select(*EDIT_COLS))
 
-def run_vaccination_stream(spark: SparkSession, source_dir: str, schema: StructType,
-                           known_ids: DataFrame, state_root: str, checkpoint_dir: str,
-                           files_per_trigger: int = 2, keep: int = 2) -> VersionedTable:
-    table = VersionedTable(spark, state_root)
 
-    def process(batch: DataFrame, batch_id: int) -> None:
+def run_vaccination_stream(spark: SparkSession, source_dir: str, schema: StructType, known_ids: DataFrame,
+                           state: KeyedState, checkpoint_dir: str, files_per_trigger: int | None = None) -> None:
+    """Entries that pass the required-field check and name a record go into the state."""
+
+    def prepare(batch: DataFrame) -> DataFrame:
         ok = filters.validate_required(batch, ["animal_id", "vaccine", "vaccine_date"]).where("accepted")
-        ok = (ok.join(known_ids, "animal_id", "left_semi")
-              .withColumn("text", updates.vaccination_text()))
-        prev = table.latest_before(batch_id)
-        state = table.read(prev) if prev is not None else None
-        table.save(merge_batch(state, ok, keep), version=batch_id)
-
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return table
-
-
-def state_as_slots(records: DataFrame, state: DataFrame | None) -> DataFrame:
-    """(animal_id, vaccination_1, vaccination_2) for every record; missing -> ''."""
-    ids = records.select("animal_id")
-    if state is None:
-        return ids.withColumns({"vaccination_1": F.lit(""), "vaccination_2": F.lit("")})
-    top = updates.top_n_per_key(state, "animal_id", ["ts", "seq"], ["text"], 2)
-    wide = top.groupBy("animal_id").agg(
-        F.max(F.when(F.col("slot") == 1, F.col("text"))).alias("vaccination_1"),
-        F.max(F.when(F.col("slot") == 2, F.col("text"))).alias("vaccination_2"))
-    return (ids.join(wide, "animal_id", "left")
-            .select("animal_id", F.coalesce("vaccination_1", F.lit("")).alias("vaccination_1"),
-                    F.coalesce("vaccination_2", F.lit("")).alias("vaccination_2")))
+        return (ok.join(known_ids.select("animal_id"), "animal_id", "left_semi")
+                .withColumn("text", updates.vaccination_text()).select(*ENTRY_COLS))
+
+    run_state_stream(spark, source_dir, schema, state, prepare, checkpoint_dir, files_per_trigger)
+
+
+def run_edit_stream(spark: SparkSession, source_dir: str, schema: StructType, state: KeyedState,
+                    checkpoint_dir: str, files_per_trigger: int | None = None) -> None:
+    run_state_stream(spark, source_dir, schema, state, lambda b: b.select(*EDIT_COLS), checkpoint_dir, files_per_trigger)

@@ -165,16 +165,20 @@ def test_python_strip_whitespace(spark):
     assert df.select(py_strip("s").alias("s")).collect()[0].s == "x y"
 
 
-def test_rules_as_data_compile_to_the_same_table(spark):
-    rows = [(i, d, kw) for i, (d, kws) in enumerate(FV.DISEASE_KEYWORDS, start=1) for kw in kws]
-    df = spark.createDataFrame(rows, "ord int, disease string, kw string")
-    table = rules.keyword_table_from_df(df)
-    assert table.entries == rules.DISEASES_26.entries
-    try:
-        rules.keyword_table_from_df(df, max_keywords=10)
-        raise AssertionError("expected the size check to refuse")
-    except ValueError:
-        pass
+def test_rules_as_data_of_any_size(spark):
+    rows = [(i, f"rule {i}", f"word{i} ") for i in range(1, 7000)] + [(7001, "none", None)]
+    table = rules.rules_from_df(spark.createDataFrame(rows, "ord int, disease string, kw string"))
+    df = spark.createDataFrame([(1, "has word6500 in it", "word6500 word12 x"), (2, "", None)], "id int, a string, b string")
+    got = {r.id: r.disease for r in rules.keyword_top1(df, ["a", "b"], table, fallback="-").select("id", "disease").collect()}
+    assert got == {1: "rule 6500", 2: "-"}
+
+
+def test_rule_without_keywords_scores_zero(spark):
+    table = rules.KeywordTable.of([("empty", []), ("x", ["x"])], "none")
+    df = spark.createDataFrame([(1, "xx", "x"), (2, "a", "b")], "id int, a string, b string")
+    got = [(r.id, r.disease, r.score) for r in rules.keyword_scores(df, ["id"], ["a", "b"], table).orderBy("id", "ord").collect()]
+    assert got == [(1, "empty", 0), (1, "x", 2), (2, "empty", 0), (2, "x", 0)]
+    assert [r.disease for r in rules.keyword_top1(df, ["a", "b"], table).orderBy("id").collect()] == ["x", "none"]
 
 
 def test_streamed_vaccination_state_equals_batch(spark):
@@ -182,9 +186,28 @@ def test_streamed_vaccination_state_equals_batch(spark):
     from conftest import SF_SMALL
 
     reg = load_all()
-    a = {tuple(r) for r in reg["stream_vaccination_state"].build(spark, SF_SMALL).collect()}
-    b = {tuple(r) for r in reg["vaccination_push"].build(spark, SF_SMALL).collect()}
-    assert a == b and len(a) == 150
+    for stream, batch in (("stream_vaccination_state", "vaccination_push"), ("stream_record_state", "record_update_merge")):
+        a = {tuple(r) for r in reg[stream].build(spark, SF_SMALL).collect()}
+        b = {tuple(r) for r in reg[batch].build(spark, SF_SMALL).collect()}
+        assert a == b and len(a) == 153
+
+
+def test_state_outlives_its_checkpoint_and_compaction(spark):
+    from herdlens.sources.tables import scratch_path
+    from herdlens.streaming import vaccination_state as V
+
+    schema = spark.createDataFrame([], "animal_id bigint, ts timestamp, seq bigint, vaccine string, vaccine_date string").schema
+    known = spark.createDataFrame([(1,), (2,)], "animal_id bigint")
+    state = V.vaccination_state(spark, scratch_path(spark, "state-test"), schema)
+    for n in (1, 2, 3):  # each a stream of its own with a new checkpoint
+        src = scratch_path(spark, "state-src")
+        rows = [(1, datetime(2024, n, 1), n, f"v{n}", "d"), (2, datetime(2024, 1, 1), 10 + n, " ", "d"), (3, datetime(2024, 1, 1), 9, "x", "d")]
+        spark.createDataFrame(rows, schema).write.parquet(src)
+        V.run_vaccination_stream(spark, src, schema, known, state, scratch_path(spark, "state-ckpt"))
+    want = {(1, 3, "v3 (d)"), (1, 2, "v2 (d)")}
+    assert {(r.animal_id, r.seq, r.text) for r in state.read().collect()} == want and len(state.deltas()) == 3
+    state.compact()
+    assert {(r.animal_id, r.seq, r.text) for r in state.read().collect()} == want and len(state.deltas()) == 1
 
 
 def test_versioned_table_replay_is_idempotent(spark):
@@ -192,11 +215,114 @@ def test_versioned_table_replay_is_idempotent(spark):
     from herdlens.sources.tables import scratch_path
 
     t = VersionedTable(spark, scratch_path(spark, "vt-test"))
+    assert t.current_version() is None
     t.save(spark.range(3), version=0)
     t.save(spark.range(5), version=1)
     t.save(spark.range(7), version=1)  # replay of batch 1: kept as first written
-    assert t.current_version() == 1 and t.read().count() == 5
-    assert t.versions() == [0, 1] and t.latest_before(1) == 0
+    assert t.current_version() == 1 and t.read().count() == 5 and t.versions() == [0, 1]
+    assert t.save(spark.range(9)) == 2 and t.read().count() == 9
+    other = VersionedTable(spark, t.root)  # another writer sees the same versions
+    assert other.save(spark.range(4)) == 3 and t.read().count() == 4
+    t.retire(keep=2)
+    assert t.versions() == [2, 3]
+
+
+def test_shared_folder_is_refused_off_one_machine(spark):
+    from types import SimpleNamespace
+
+    import pytest
+    from herdlens.sources.tables import NoSharedFolder, shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(NoSharedFolder):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_csv_header_is_read_by_name(spark):
+    import pytest
+    from herdlens.sources.records import MissingColumns, read_records_csv, write_records_csv
+    from herdlens.sources.tables import scratch_path
+
+    path = scratch_path(spark, "csv-test")
+    rows = [("Bo", "A12", 'He said ""hi"", ok\n\nnew "line"'), ("nan", "7", "NA")]
+    write_records_csv(spark.createDataFrame(rows, "name string, animal_id string, doctor_suggestion string"), path,
+                      headers={"name": "Name", "animal_id": "Animal ID", "doctor_suggestion": "Doctor Suggestion"})
+    got = [tuple(r) for r in read_records_csv(spark, path, ["animal_id", "name", "doctor_suggestion", "bp"]).orderBy("animal_id").collect()]
+    assert got == [("7", None, None, None), ("A12", "Bo", rows[0][2], None)]
+    with pytest.raises(MissingColumns):
+        read_records_csv(spark, path, required=["animal_id", "bp"])
+
+
+def test_reports_with_text_ids(spark):
+    from herdlens.sources.records import write_reports
+    from herdlens.sources.tables import scratch_path
+
+    path = scratch_path(spark, "reports-test")
+    write_reports(spark.createDataFrame([("A12", "x"), (None, "y")], "animal_id string, text string"), path)
+    assert spark.read.json(path).count() == 2
+
+
+def test_text_keys_merge(spark):
+    base = spark.createDataFrame([("A1", "p"), ("7", "q")], "animal_id string, vaccination_1 string")
+    entries = spark.createDataFrame([(7, datetime(2024, 1, 1), 1, "v (d)")], "animal_id bigint, ts timestamp, seq bigint, text string")
+    got = {r.animal_id: (r.vaccination_1, r.vaccination_2) for r in updates.vaccination_push(base, entries, order=None).collect()}
+    assert got == {"A1": ("p", ""), "7": ("v (d)", "q")}
+
+
+def test_first_row_gets_the_vaccination(spark):
+    base = spark.createDataFrame([(1, 0, "old"), (1, 1, "dup")], "animal_id bigint, pos bigint, vaccination_1 string")
+    entries = spark.createDataFrame([(1, datetime(2024, 1, 1), 1, "new (d)")], "animal_id bigint, ts timestamp, seq bigint, text string")
+    got = updates.vaccination_push(base, entries, order="pos").orderBy("pos").collect()
+    assert [(r.vaccination_1, r.vaccination_2) for r in got] == [("new (d)", "old"), ("dup", "")]
+
+
+def test_alias_zero_and_nan(spark):
+    df = spark.createDataFrame([("0", "72"), ("nan", "72"), (None, "NaN"), ("0.0", "")], "heart_rate string, heart_rate_bpm string")
+    a, b = (filters.alias_value(df, FV.HEART_RATE_NAMES, "-", zero_falls_through=z) for z in (True, False))
+    assert [tuple(r) for r in df.select(a.alias("a"), b.alias("b")).collect()] == [("72", "0"), ("72", "72"), ("-", "-"), ("-", "0.0")]
+
+
+def test_report_reads_past_nan_text(spark):
+    df = spark.createDataFrame([(1, "nan", "12", "x", "asked")], "animal_id int, age_years string, age string, disease string, req string")
+    lines = {r.line_no: r.text for r in reports.animal_report(df, request_col="req").collect()}
+    assert lines[3] == "12" and lines[8] == "asked"
+    assert reports.record_card(df).first().age == "12"
+    assert df.select(reports.detected_disease(df, chain="detected").alias("d")).first().d == ""
+
+
+def test_verdict_texts(spark):
+    got = {r.s: r.verdict for r in rules.health_verdict(spark.createDataFrame([("Healthy",), ("Sick",), ("",)], "s string"), "s").collect()}
+    assert got == {"Healthy": "🟢 The animal appears healthy.", "Sick": "🔴 The animal may need medical attention.", "": None}
+
+
+def test_lookup_with_a_hot_key_and_clashing_names(spark):
+    req = spark.range(500).select(F.lit("7").alias("rid"), F.col("id").alias("name"))
+    rec = spark.createDataFrame([("7", "Bo", 1), ("7", "Dup", 2), ("8", "No", 3)], "animal_id string, name string, _input_order int")
+    out = filters.lookup(req, "rid", rec, "animal_id").collect()
+    assert len(out) == 500 and {(r.animal_id, r.record_name) for r in out} == {("7", "Bo")}
+    assert sorted(r.name for r in out) == list(range(500))
+
+
+def test_strict_systolic_stops(spark):
+    import pytest
+
+    good = records(spark, [dict(animal_id=1, bp="120/80"), dict(animal_id=2, bp=None)])
+    assert [r.bp_num for r in clean.bp_systolic_num(good, on_error="fail").orderBy("animal_id").collect()] == [120.0, None]
+    with pytest.raises(Exception, match="could not convert"):
+        clean.bp_systolic_num(records(spark, [dict(animal_id=1, bp="high")]), on_error="fail").collect()
+
+
+def test_missing_class_and_unseen_values(spark, tmp_path):
+    rows = [(i, float(i % 10), "a" if i % 10 < 5 else None, ["Cat", "Dog"][i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x double, y string, species string")
+    model = ml.fit_classifier(df, ["x"], ["species"], "y", ml.forest("label_idx", num_trees=5))
+    assert sorted(model.labels) == ["a", "nan"]
+    model.save(spark, str(tmp_path / "m"))
+    model = ml.FittedClassifier.load(spark, str(tmp_path / "m"))
+    odd = spark.createDataFrame([(1, 1.0, "Yak"), (2, 9.0, None)], "id int, x double, species string")
+    assert {r.id: r.predicted_label for r in model.predict(odd, ["id"]).collect()} == {1: "a", 2: "nan"}
+    blocks = model.model.transform(odd).select("species__ohe").collect()
+    assert all(sum(b.species__ohe.toArray()) == 0 for b in blocks)
 
 
 def test_required_columns_check(spark):

@@ -29,7 +29,16 @@ def test_median_uses_no_cross_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_per_key_latest_has_no_window(spark):
-    for name in ["record_update_merge", "vaccination_push", "vaccination_last_n", "record_lookup"]:
-        plan = _plan(load_all()[name].build(spark, SF_SMALL))
-        assert "Window" not in plan, name
+def test_last_n_per_key_is_one_limited_exchange(spark):
+    from herdlens.operators import updates
+
+    changes = spark.range(1000).selectExpr("id % 10 as k", "id as ts", "id as seq", "'x' as text")
+    for n in (1, 3, 6):
+        plan = _plan(updates.top_n_per_key(changes, "k", ["ts", "seq"], ["text"], n))
+        assert plan.count("Range (") == 1 and plan.count("Exchange") == 1, plan
+        assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_latest_edit_has_no_window(spark):
+    plan = _plan(load_all()["record_update_merge"].build(spark, SF_SMALL))
+    assert "Window" not in plan
