@@ -1,21 +1,22 @@
 """Cleaning and imputation (C1-C7) and the model feature frames.
 
-All operators are column expressions; the only aggregations are the
-per-column medians, computed as scalar subqueries (one partial-aggregated
-job each, result inlined as a literal) so applying them needs no join.
+All operators are column expressions; the only aggregations are the medians,
+found together for all columns and inlined as literals, so applying them needs
+no join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
 from herdlens.functions.bp import bp_int_pair_ok, bp_int_part, bp_value, systolic_for_training
 from herdlens.functions.numbers import to_double, to_long, trunc_to_long
 from herdlens.functions.text import null_or_nan_text_to_empty
+from herdlens.sources.tables import stored
 
 
 def blank_normalise(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -43,30 +44,58 @@ def constant_fill(df: DataFrame, numeric: Sequence[str] = (), text: Sequence[str
     return df.withColumns(fills)
 
 
-def median_of(df: DataFrame, c: str, strategy: str = "exact", accuracy: int = 100_000) -> Column:
-    """Median of a numeric column as a lazy scalar subquery.
+def medians_of(df: DataFrame, cols: Sequence[str], strategy: str = "exact",
+               accuracy: int = 100_000) -> dict[str, float | None]:
+    """Median of each numeric column, nulls and NaN left out; null where nothing is left.
 
-    ``exact``: values are first counted per distinct value (a partial-
-    aggregated shuffle), then the weighted percentile runs over the
-    (value, count) pairs, so the final buffer holds one entry per distinct
-    value, not per row (vitals have few distinct values even at scale).
-    ``approx``: ``percentile_approx`` with bounded memory for columns whose
-    distinct values are unbounded.
+    ``exact``: one pass counts the distinct (column, value) pairs, which are
+    range-partitioned and stored in order. Partition sums (as many rows as
+    partitions) tell which partition holds the middle; only that one is summed
+    up value by value, so no task sees a column's whole set of values.
+    ``approx``: ``percentile_approx`` in one pass.
     """
-    vals = df.select(F.col(c).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     if strategy == "approx":
-        return vals.select(F.percentile_approx("v", 0.5, accuracy)).scalar()
+        row = df.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), 0.5, accuracy).alias(c) for c in cols]).first()
+        return {c: None if row[c] is None else float(row[c]) for c in cols}
     if strategy != "exact":
         raise ValueError(strategy)
-    counted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.percentile(F.col("v"), F.lit(0.5), F.col("n"))).scalar()
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
+    counted = (df.select(F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+               .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")))
+    t = stored(counted.repartitionByRange("name", "v").sortWithinPartitions("name", "v")
+               .withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "medians")
+    parts = t.groupBy("name", "part").agg(F.sum("n").alias("n")).orderBy("name", "part").collect()
+    middle = {}  # column -> (first and second middle rank)
+    wanted = []  # (column, partition, rows before it)
+    for c in cols:
+        total, before = sum(p["n"] for p in parts if p["name"] == c), 0
+        if not total:
+            continue
+        middle[c] = ((total - 1) // 2, total // 2)
+        for p in (p for p in parts if p["name"] == c):
+            if any(before <= r < before + p["n"] for r in middle[c]):
+                wanted.append((c, p["part"], before))
+            before += p["n"]
+    if not wanted:
+        return dict.fromkeys(cols)
+    spark = df.sparkSession
+    at = spark.createDataFrame([(c, p, b, *middle[c]) for c, p, b in wanted], "name string, part long, before long, low long, high long")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("name", "part").orderBy("v"))
+    found = t.join(F.broadcast(at), ["name", "part"]).withColumn("upto", upto)
+
+    def holds(rank: str) -> Column:
+        return (F.col(rank) < F.col("upto")) & (F.col(rank) >= F.col("upto") - F.col("n"))
+
+    rows = (found.where(holds("low") | holds("high")).groupBy("name")
+            .agg(((F.min("v") + F.max("v")) / 2).alias("median")).collect())
+    return dict.fromkeys(cols) | {r["name"]: r["median"] for r in rows}
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], strategy: str = "exact",
                   source: DataFrame | None = None) -> DataFrame:
     """C4: fill nulls of each column with the column's median (of ``source``)."""
-    src = source if source is not None else df
-    return df.withColumns({c: F.coalesce(F.col(c), median_of(src, c, strategy)) for c in cols})
+    medians = medians_of(source if source is not None else df, cols, strategy)
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c]).cast("double")) for c in cols})
 
 
 def bp_split(df: DataFrame, bp: str = "bp", out=("bp_systolic", "bp_diastolic")) -> DataFrame:
@@ -144,9 +173,8 @@ def intake_impute(intake: DataFrame, training: DataFrame, bp: str = "bp",
     by ``/``, otherwise **both** parts fall back to int(median). Medians come
     from the training frame and are truncated toward zero.
     """
-    hr_med = trunc_to_long(median_of(training, "heart_rate"))
-    sys_med = trunc_to_long(median_of(training, "bp_systolic"))
-    dia_med = trunc_to_long(median_of(training, "bp_diastolic"))
+    medians = medians_of(training, FV.NUMERIC_FEATURES)
+    hr_med, sys_med, dia_med = (trunc_to_long(F.lit(medians[c]).cast("double")) for c in FV.NUMERIC_FEATURES)
     ok = bp_int_pair_ok(F.col(bp))
     return intake.withColumns({
         "heart_rate_in": F.coalesce(to_long(heart_rate), hr_med),

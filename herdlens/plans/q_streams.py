@@ -56,7 +56,7 @@ def stream_intake_scoring(spark, sf_dir):
     forms = views.animal(spark, sf_dir)
     src, sink, ckpt, saved = (scratch_path(spark, p) for p in ("intake-src", "intake-out", "intake-ckpt", "intake-model"))
     files = _as_files(forms, src, F.col("animal_id"))
-    fit_feature_model(spark, sf_dir, "outcome").save(spark, saved)
+    fit_feature_model(spark, sf_dir, "outcome", num_trees=20).save(spark, saved)
     medians = intake.training_medians(clean.model_features(forms))
     intake.run_intake_stream(spark, src, forms.schema, sink, ckpt, medians, saved, _third(files))
     out = spark.read.parquet(sink)

@@ -25,10 +25,9 @@ VITALS = ["heart_rate_in", "bp_systolic_in", "bp_diastolic_in"]
 
 def training_medians(training: DataFrame) -> DataFrame:
     """The training frame's medians as a one-row frame, so that batches don't compute them again."""
-    names = ["heart_rate", "bp_systolic", "bp_diastolic"]
-    row = training.sparkSession.range(1).select(*[clean.median_of(training, c).alias(c) for c in names])
-    values = [tuple(row.first())]
-    return training.sparkSession.createDataFrame(values, ", ".join(f"{c} double" for c in names))
+    medians = clean.medians_of(training, FV.NUMERIC_FEATURES)
+    row = [tuple(medians[c] for c in FV.NUMERIC_FEATURES)]
+    return training.sparkSession.createDataFrame(row, ", ".join(f"{c} double" for c in FV.NUMERIC_FEATURES))
 
 
 def score_intake(df: DataFrame, medians: DataFrame, model: ml.FittedClassifier | None = None,

@@ -335,3 +335,14 @@ def test_required_columns_check(spark):
         raise AssertionError("expected a missing-column error")
     except MissingColumns as e:
         assert "heart_rate" in str(e)
+
+
+def test_medians_over_partitions(spark):
+    import statistics
+
+    rows = [(float(i * 37 % 1001), float(i % 2) if i % 3 else None, None, float("nan")) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = clean.medians_of(df, ["a", "b", "c", "d"])
+    assert got == {"a": statistics.median(r[0] for r in rows), "b": statistics.median(r[1] for r in rows if r[1] is not None), "c": None, "d": None}
+    assert clean.medians_of(df.limit(0), ["a"]) == {"a": None}
+    assert abs(clean.medians_of(df, ["a"], "approx")["a"] - got["a"]) < 2
