@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: stored tables, distributed ranking, size-checked broadcast."""
+"""Helpers shared by the operators: stored tables, distributed ranking (from the library), size-checked broadcast."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.sources.tables import scratch_path
+from herdlens.sources.tables import ranked, stored
+
+__all__ = ["ranked", "ship", "small", "stored", "text_of"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,36 +30,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` as Parquet under the cluster's shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs no recomputation of what is
-    stored, and every reader sees the same rows.
-    """
-    path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ranked(df: DataFrame, order: list[Column], purpose: str, position: str = "position") -> DataFrame:
-    """Add a gapless long ``position`` (from 0) by a total order, without a single-task sort.
-
-    One range exchange; each row gets (partition, place) from
-    ``monotonically_increasing_id`` as it is stored, and the rows before each
-    partition come from one count per partition (as many rows as partitions).
-    Rows that tie get any order among themselves, fixed once stored.
-    """
-    t = stored(df.repartitionByRange(*order).sortWithinPartitions(*order)
-               .withColumn("_mid", F.monotonically_increasing_id()), purpose)
-    part = F.shiftright("_mid", 33)
-    counts = t.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    # As many rows as there are partitions: a proven bound for the broadcast.
-    return (t.withColumn("_part", part).join(F.broadcast(before), "_part")
-            .withColumn(position, F.col("_before") + F.col("_mid").bitwiseAND((1 << 33) - 1))
-            .drop("_part", "_before", "_mid"))
-
-
 def small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Broadcast hint when the counted ``rows`` is within ``max_rows``; a plain join side beyond."""
     return F.broadcast(df) if rows <= max_rows else df
