@@ -31,8 +31,12 @@ HEADLINE = [
     "animal_report",
     "label_encode",
     "accuracy_metric",
+    "scan_lookup_raw",
+    "csv_quoted_text",
+    "health_status_forest",
     "survival_forest",
     "stream_vaccination_state",
+    "stream_record_state",
 ]
 
 

@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.sources.tables import ranked
+from herdlens.sources.tables import ranked, shared_dir
 
 SEED = 42
+#: Training rows below which another task costs more than it brings.
+ROWS_PER_TASK = 2_000
 
 
 # --- M1 split ---
@@ -123,10 +125,13 @@ def accuracy(df: DataFrame, prediction: str, label: str, by: Sequence[str] = ())
 def forest(label_col: str, features_col: str = "features", num_trees: int = 100,
            max_depth: int = 30, seed: int = SEED) -> RandomForestClassifier:
     # Depth 30 is MLlib's own limit (the forests have none). Larger node
-    # batches cut the number of passes over the training rows per tree level.
+    # batches cut the number of passes over the training rows per tree level;
+    # cached node ids save walking every tree from its root in each pass, and
+    # are checkpointed in the shared folder, so their lineage stays short.
     return RandomForestClassifier(labelCol=label_col, featuresCol=features_col, numTrees=num_trees,
                                   maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
-                                  subsamplingRate=1.0, bootstrap=True, maxMemoryInMB=1024)
+                                  subsamplingRate=1.0, bootstrap=True, maxMemoryInMB=1024,
+                                  cacheNodeIds=True, checkpointInterval=10)
 
 
 class FittedClassifier:
@@ -190,10 +195,12 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     """Index the target (alphabetical classes), then fit features + classifier."""
     # A missing class is the class 'nan', as it is in text form; no row is left out.
     train = train.withColumn(target, F.coalesce(F.col(target).cast("string"), F.lit("nan")))
-    # Fitting makes several passes (indexers, scaler, iterations / tree levels):
-    # spread the prepared rows over all cores and keep them in executor storage.
-    spark = train.sparkSession
-    train = train.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    # Fitting makes many passes (indexers, scaler, iterations / tree levels): keep
+    # the prepared rows in executor storage, spread over as many tasks as pay off.
+    shared_dir(train.sparkSession)
+    source = train.persist(StorageLevel.MEMORY_AND_DISK)
+    spread = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-source.count() // ROWS_PER_TASK)))
+    train = source.repartition(spread).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error",
                                 stringOrderType="alphabetAsc").fit(train)
@@ -202,10 +209,11 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
         model = pipe.fit(indexer.transform(train))
     finally:
         train.unpersist()
+        source.unpersist()
     return FittedClassifier(list(indexer.labels), model)
 
 
-def linear_svm(max_iter: int = 100, reg: float = 0.0, parallelism: int = 4) -> OneVsRest:
+def linear_svm(max_iter: int = 100, reg: float = 0.0, parallelism: int = 8) -> OneVsRest:
     """Multi-class linear SVM (one-vs-rest, classes trained concurrently);
     MLlib has no RBF-kernel SVM."""
     return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), parallelism=parallelism)
