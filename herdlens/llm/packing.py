@@ -53,11 +53,11 @@ def _encoder(vocabulary: str, ranks: str, pattern: str):
     with open(ranks, "rb") as f:
         table = {b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    exact = Tokenizer.from_file(vocabulary)
+    exact = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(vocabulary))
 
     def encode(text: str) -> list[int]:
         if any(t in text for t in added):
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

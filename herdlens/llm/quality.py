@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_id", "_label"])
-        rows = [(np.asarray(b, np.int64), np.asarray(c, np.float32), int(y)) for b, c, y in zip(g["buckets"], g["counts"], g["_label"]) if len(b)]
+        rows = [(np.asarray(b), np.asarray(c), int(y)) for b, c, y in zip(g["buckets"], g["counts"], g["_label"]) if len(b)]
         weight, bias = train(rows, **params)
         return pd.DataFrame([{"weight": weight.astype("<f4").tobytes(), "bias": bias}])
 
