@@ -25,7 +25,7 @@ from herdlens.sources.tables import ranked, shared_dir
 
 SEED = 42
 #: Training rows below which another task costs more than it brings.
-ROWS_PER_TASK = 2_000
+ROWS_PER_TASK = 10_000
 
 
 # --- M1 split ---
