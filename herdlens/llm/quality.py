@@ -27,7 +27,7 @@ from herdlens.llm.common import stored, text_of
 BITS = 18
 GRAMS = (2, 3, 4)
 #: Characters handled at a time; longer texts go in several blocks.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -150,7 +150,7 @@ def fold(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-        max_rows: int = 4000, **params) -> tuple[np.ndarray, float]:
+        max_rows: int = 2000, **params) -> tuple[np.ndarray, float]:
     """Bucket weights and bias, learned from at most ``max_rows`` labelled rows outside the held-out fold.
 
     The sample is the rows with the smallest md5 of their id. Their texts'
@@ -169,17 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for t in b.column(2).to_pylist():
                 found = [features(codes, starts)[0] for codes, starts, _ in blocks([t])]
                 u, c = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
-                at.append(u.astype(np.int32))
-                n.append(c.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))],
+                at.append(u.astype("<i4").tobytes())
+                n.append(c.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())],
                                              names=["_id", "_label", "buckets", "counts"])
 
-    counted = stored(sample.mapInArrow(count, "_id long, _label int, buckets array<int>, counts array<float>")
-                     .orderBy("_id", "_label").limit(max_rows), "quality-features")
+    # One row per sampled id and label, so repeated rows of an id don't pass the bound.
+    counted = stored(sample.mapInArrow(count, "_id long, _label int, buckets binary, counts binary")
+                     .dropDuplicates(["_id", "_label"]), "quality-features")
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_id", "_label"])
-        rows = [(np.asarray(b), np.asarray(c), int(y)) for b, c, y in zip(g["buckets"], g["counts"], g["_label"]) if len(b)]
+        rows = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4"), int(y)) for b, c, y in zip(g["buckets"], g["counts"], g["_label"]) if len(b)]
         weight, bias = train(rows, **params)
         return pd.DataFrame([{"weight": weight.astype("<f4").tobytes(), "bias": bias}])
 
