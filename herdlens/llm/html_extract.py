@@ -3,10 +3,11 @@
 A page is a sequence of words and tags. Words score positive and tags negative;
 words inside elements known as boilerplate score negative too. A linear scan
 finds the contiguous region with the largest sum. The weights come from
-labelled pages: a bounded sample of pages that mark their main text themselves
-(``article`` or ``main``), in which every tag's occurrences inside and outside
-of the marked region are counted. The region grows to the marked element it
-lies in, and boilerplate inside it goes.
+labelled pages: a bounded sample of distinct pages that mark their main text
+themselves (``article`` or ``main``), in which every tag's occurrences inside
+and outside of the marked region are counted; elements around it are neither.
+The region grows to the marked element it lies in, and boilerplate inside it
+goes.
 """
 
 from __future__ import annotations
@@ -70,12 +71,13 @@ def parse(page: str, learned: frozenset = frozenset()) -> list[tuple]:
     """Tokens of a page in order.
 
     ("text", raw text, boilerplate?, marked element or 0) and
-    ("tag", feature, breaks the block?, boilerplate?, table cell?, marked element or 0).
+    ("tag", feature, breaks the block?, boilerplate?, table cell?, marked element, 0, or -1 for
+    a tag of an element around a marked one and an end without a start).
     ``learned`` are features (tag.class) that labelled pages have outside of
     the main text only.
     """
     out: list[tuple] = []
-    open_tags: list[tuple[str, bool, int]] = []
+    open_tags: list[tuple[str, bool, int, int]] = []
     boiler, marked, n_marked = 0, 0, 0
     for m in _TOKEN.finditer(page):
         tag = m[3] or m[6]
@@ -92,6 +94,12 @@ def parse(page: str, learned: frozenset = frozenset()) -> list[tuple]:
             names = _names(attributes)
             feature = f"{tag}.{names.split()[0]}" if names.strip() else tag
             bad = _is_boiler(tag, attributes, names, marked) or feature in learned
+            if tag in MARKED and not bad and not marked:
+                for name, _, _, at in reversed(open_tags):
+                    if out[at][5]:
+                        break
+                    if name != "p":  # ends where a block starts
+                        out[at] = (*out[at][:5], -1)
             if tag in MARKED and not bad and boiler:
                 # An unclosed boilerplate element doesn't swallow the marked text.
                 open_tags, boiler = [], 0
@@ -101,18 +109,18 @@ def parse(page: str, learned: frozenset = frozenset()) -> list[tuple]:
                 if tag in MARKED and not bad and not boiler:
                     n_marked += 1
                     marked = marked or n_marked
-                open_tags.append((tag, bad, was))
+                open_tags.append((tag, bad, was, len(out) - 1))
                 boiler += bad
         else:
             k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), -1)
             # A block's end closes what was left open in it; an inline end doesn't close blocks.
-            if k >= 0 and (breaks or not any(t in BREAKS for t, _, _ in open_tags[k + 1:])):
-                out.append(("tag", "/" + tag, breaks, boiler > 0, tag in CELLS, marked))
+            if k >= 0 and (breaks or not any(t in BREAKS for t, *_ in open_tags[k + 1:])):
+                out.append(("tag", "/" + tag, breaks, boiler > 0, tag in CELLS, marked or min(out[open_tags[k][3]][5], 0)))
                 marked = open_tags[k][2]
-                boiler -= sum(b for _, b, _ in open_tags[k:])
+                boiler -= sum(t[1] for t in open_tags[k:])
                 del open_tags[k:]
             else:
-                out.append(("tag", "/" + tag, breaks, boiler > 0, tag in CELLS, marked))
+                out.append(("tag", "/" + tag, breaks, boiler > 0, tag in CELLS, marked or -(k < 0)))
     return out
 
 
@@ -160,43 +168,54 @@ def extract(page: str, weights: dict[str, float] | None = None, learned: frozens
 
 
 def tag_counts(page: str) -> Counter:
-    """(feature, inside?) -> occurrences in a page that marks its main text; empty if it doesn't."""
+    """(feature, 1 inside, 0 outside, -1 around) -> occurrences in a page that marks its main text; empty if it doesn't."""
     tokens = parse(page)
     if not any(t[0] == "text" and t[3] for t in tokens):
         return Counter()
     out: Counter = Counter()
     for t in tokens:
         if t[0] == "tag" and not t[3]:
-            out[t[1], bool(t[5]) and t[1].lstrip("/").split(".")[0] not in MARKED] += 1
+            out[t[1], min(t[5], 1) if t[1].lstrip("/").split(".")[0] not in MARKED else 0] += 1
     return out
 
 
 def fit(pages: DataFrame, html: str = "html", sample_pages: int = 200) -> tuple[dict[str, float], frozenset]:
     """(weight of each tag feature, features learned as boilerplate) from at most ``sample_pages`` labelled pages.
 
-    The sample is the pages with the smallest md5 of their html among those
-    with an ``article`` or ``main`` element. Without any, default weights hold.
+    The sample is the distinct pages with the smallest md5 of their html among
+    those with an ``article`` or ``main`` element; copies count once. Without
+    any, default weights hold. What is ever around a marked element isn't learned.
     """
     text = F.col(html).cast("string")
-    sample = (pages.select(text.alias("html")).where(text.rlike(r"(?i)<(article|main)\b"))
-              .withColumn("_by", F.md5("html")).orderBy("_by").limit(sample_pages).select("html"))
+    labelled = pages.select(text.alias("html")).where(text.rlike(r"(?i)<(article|main)\b")).select(F.md5("html").alias("_by"), "html")
+    chosen = [r["_by"] for r in labelled.select("_by").distinct().orderBy("_by").limit(sample_pages).collect()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
-            total: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                total.update(tag_counts(t))
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.string()), pa.array([i for _, i in total], pa.bool_()),
-                                              pa.array(list(total.values()), pa.int64())], names=["feature", "inside", "n"])
-
-    rows = stored(sample.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature")
-                  .agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("within"), F.sum("n").alias("n")), "html-weights").collect()
+            rows = []
+            for by, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if by not in seen:
+                    seen.add(by)
+                    rows += [(by, f, place, n) for (f, place), n in tag_counts(t).items()]
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))],
+                                             names=["_by", "feature", "place", "n"])
+
+    # Tasks count a page once each; its copies over tasks go here.
+    counted = (labelled.where(F.col("_by").isin(chosen)).mapInArrow(count, "_by string, feature string, place int, n long")
+               .dropDuplicates(["_by", "feature", "place"]))
+    sums = [F.sum(F.when(F.col("place") == place, F.col("n")).otherwise(0)).alias(c) for c, place in (("within", 1), ("outside", 0), ("around", -1))]
+    rows = stored(counted.groupBy("feature").agg(*sums), "html-weights").collect()
     weights, learned = {}, set()
     for r in rows:
-        out = (r["n"] - r["within"] + 0.05) / (r["n"] + 0.1)
+        n = r["within"] + r["outside"]
+        if not n:
+            continue
+        out = (r["outside"] + 0.05) / (n + 0.1)
         name = r["feature"].lstrip("/").split(".")[0]
         weights[r["feature"]] = min(-0.02, OUTSIDE * out if name in BREAKS else INLINE)
-        if "." in r["feature"] and r["within"] == 0 and r["n"] >= 20 and name not in MARKED and not r["feature"].startswith("body."):
+        if "." in r["feature"] and r["within"] == r["around"] == 0 and n >= 20 and name not in MARKED and not r["feature"].startswith("body."):
             learned.add(r["feature"])
     return weights, frozenset(learned)
 

@@ -210,6 +210,35 @@ def test_html_odd_rows(spark):
     assert html_extract.op3_query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+HTML = "page_id long, url string, html string"
+
+
+def test_wrapper_of_articles_is_no_boilerplate(spark):
+    wrapped = """<body><div class="page"><div class="crumbs">Home and on</div>{}</div></body>"""
+    marked = [(k, "u", wrapped.format(f"<article><h1>Head {k}</h1><p>Body of page {k} in words</p></article>")) for k in range(40)]
+    unclosed = [(40 + k, "u", f"<body><div class=page><div class=nav>go<article><p>Open {k} words</p></article></div>") for k in range(30)]
+    plain = [(100 + k, "u", wrapped.format(f"<h1>Title {k}</h1><p>Words of unmarked page {k} here</p>")) for k in range(20)]
+    pages = spark.createDataFrame(marked + unclosed + plain, HTML)
+    weights, learned = html_extract.fit(pages)
+    assert "div.page" not in learned and weights.get("div.page", -0.5) == -0.5 and "div.crumbs" in learned
+    got = {r.page_id: r.text for r in html_extract.op3_query(pages).collect()}
+    assert all(got[k] == f"Head {k}\nBody of page {k} in words" for k in range(40))
+    assert all(got[40 + k] == f"Open {k} words" for k in range(30))
+    assert all(got[100 + k] == f"Title {k}\nWords of unmarked page {k} here" for k in range(20))
+
+
+def test_copies_of_a_page_are_one_label(spark):
+    import hashlib
+
+    copied = min((f"<body><div class=lead>Out {k}</div><article><p>Some more text</p></article></body>" for k in range(5000)), key=lambda p: hashlib.md5(p.encode()).hexdigest())
+    others = [f"<body><article><div class=lead>In {k}</div><p>Text {k}</p></article></body>" for k in range(60)]
+    pages = spark.createDataFrame([(k, "u", p) for k, p in enumerate([copied] * 300 + others)], HTML).repartition(7)
+    weights, learned = html_extract.fit(pages)
+    assert not learned and abs(weights["div.lead"] + 8 * 1.05 / 61.1) < 1e-9
+    got = {r.page_id: r.text for r in html_extract.op3_query(pages).collect()}
+    assert all(got[300 + k] == f"In {k}\nText {k}" for k in range(60)) and got[0] == "Some more text"
+
+
 # ---------------------------------------------------------------- quality
 
 
