@@ -4,9 +4,9 @@ Every task indexes its rows in blocks: for each of m random projections
 (rows of random orthonormal bases) the block's projections are sorted. A query
 opens a window around its own projection in every array: a range of ranks. A
 row collides once per window its rank is in. Virtual rehashing widens all
-windows by steps until enough rows of the block pass the collision threshold;
-those are verified by their exact inner product. So the share verified, not
-their number, is what is set. Rows that pass grow with the step, so the first
+windows by steps until rows of enough ids of the block pass the collision
+threshold; those are verified by their exact inner product. So the share
+verified, not their number, is what is set. Rows that pass grow with the step, so the first
 step that is enough is looked for from the one the last query ended at.
 
 Largest inner product becomes least distance by one extra component that
@@ -35,9 +35,9 @@ def projections(dims: int, m: int, seed: int) -> np.ndarray:
 
 
 class BlockIndex:
-    """Sorted projection arrays over one block of vectors (rows of ``x``)."""
+    """Sorted projection arrays over one block of vectors (rows of ``x``), whose ids are ``ids``."""
 
-    def __init__(self, x: np.ndarray, directions: np.ndarray):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, directions: np.ndarray):
         norm = np.sqrt((x * x).sum(1))
         self.norm = norm.max()
         lift = np.sqrt(np.maximum(self.norm ** 2 - norm ** 2, 0))
@@ -49,10 +49,26 @@ class BlockIndex:
         np.put_along_axis(self.rank, order, np.arange(len(x), dtype=np.uint16)[None, :], 1)
         self.spread = p.std() or 1.0
         self.directions, self.size = directions, len(x)
+        one, self.code = np.unique(ids, return_inverse=True)
+        self.n_ids = len(one)
+
+    def count(self, rows: np.ndarray) -> int:
+        """How many ids ``rows`` have."""
+        if self.n_ids == self.size:
+            return len(rows)
+        return np.count_nonzero(np.bincount(self.code[rows], minlength=self.n_ids))
+
+    def one_each(self, rows: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each id the row with the highest score."""
+        if self.n_ids == self.size:
+            return rows, scores
+        order = np.lexsort((-scores, self.code[rows]))
+        first = order[np.unique(self.code[rows[order]], return_index=True)[1]]
+        return rows[first], scores[first]
 
     def search(self, q: np.ndarray, wanted: int, threshold: float, first: float, growth: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(query, rows that passed the threshold) for each query; all rows where ``wanted`` is all."""
-        if wanted >= self.size:
+        """(query, rows that passed the threshold) for each query: of ``wanted`` ids at least, all rows where that is all ids."""
+        if wanted >= self.n_ids:
             yield from ((i, np.arange(self.size)) for i in range(len(q)))
             return
         scale = self.norm / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)
@@ -78,11 +94,11 @@ class BlockIndex:
         step = 0
         for i in range(len(q)):
             rows = passed(i, step)
-            if len(rows) >= wanted:
-                while step and len(fewer := passed(i, step - 1)) >= wanted:
+            if self.count(rows) >= wanted:
+                while step and self.count(fewer := passed(i, step - 1)) >= wanted:
                     rows, step = fewer, step - 1
             else:
-                while len(rows) < wanted:
+                while self.count(rows) < wanted:
                     step += 1
                     rows = passed(i, step)
             yield i, rows
@@ -101,18 +117,20 @@ def _search(held, dims: int, k: int, block_rows: int, m: int, threshold: float,
             for o in np.unique(octave):
                 rows = np.flatnonzero(octave == o)
                 wanted = int(share * len(rows)) + extra * k
-                for i, found in BlockIndex(x[rows], directions).search(q, wanted, threshold, first, growth):
-                    at = rows[found]
+                block = BlockIndex(x[rows], ids[rows], directions)
+                for i, found in block.search(q, wanted, threshold, first, growth):
                     if i in own:
-                        at = at[ids[at] != query_ids[i]]
+                        found = found[ids[rows[found]] != query_ids[i]]
+                    # An id's repeated rows count once, with the highest score, before the cut.
+                    found, scores = block.one_each(found, x[rows[found]] @ q[i])
                     s, who = best[i]
-                    s, who = np.concatenate((s, x[at] @ q[i])), np.concatenate((who, ids[at]))
+                    s, who = np.concatenate((s, scores)), np.concatenate((who, ids[rows[found]]))
+                    # What is held are k ids at most, so 4k rows have 3k ids at least.
                     if len(s) > 4 * k:
                         cut = np.partition(s, len(s) - 4 * k)[len(s) - 4 * k]
                         s, who = s[s >= cut], who[s >= cut]
                     order = np.lexsort((who, -s))
                     s, who = s[order], who[order]
-                    # An id's repeated rows count once, with the highest score.
                     one = np.sort(np.unique(who, return_index=True)[1])[:k]
                     best[i] = s[one], who[one]
 
@@ -139,12 +157,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: in
 
     ``vectors`` (vec_id, v) and ``queries`` (query_id, q) hold arrays of
     doubles; a row with the query's id is the query's own. In every block of
-    rows, ``share`` of them and ``extra * k`` more are verified; blocks below
-    that are searched whole. Repeated rows of an id count once, with their
-    highest score. Shorter vectors count as padded with zeros. No rows give no rows.
+    rows, as many ids as ``share`` of the rows and ``extra * k`` more are
+    verified; blocks with fewer ids are searched whole. Repeated rows of an id
+    count once, with their highest score; exact copies go first. Shorter vectors count as padded with zeros. No rows give no rows.
     """
     spark = vectors.sparkSession
     dims = max(vectors.agg(F.max(F.size("v"))).first()[0] or 0, queries.agg(F.max(F.size("q"))).first()[0] or 0, 1)
+    vectors = stored(vectors.select("vec_id", "v").distinct(), "ann-vectors")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = None
     for block in query_blocks(queries, query_block):

@@ -176,6 +176,30 @@ def test_neighbours_odd_rows(spark):
     assert ann.op5_query(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_neighbours_beside_a_hot_id(spark, alike):
+    rng = np.random.default_rng(5)
+    n, hot = 1500, 700
+    x = rng.standard_normal((n, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    around = np.repeat(x[:1] * 1.2, hot, axis=0) + (0 if alike else 1e-3) * rng.standard_normal((hot, 8))
+    rows = [(k + 1, v.tolist()) for k, v in enumerate(x)] + [(9999, v.tolist()) for v in around]
+    # Queries near the hot id, which scores highest in all of them.
+    queries = [(20_000 + k, (x[0] + 0.05 * rng.standard_normal(8)).tolist()) for k in range(10)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<double>").coalesce(1)
+    got = defaultdict(dict)
+    for r in ann.nearest(vectors, spark.createDataFrame(queries, "query_id long, q array<double>"), 20).collect():
+        got[r.query_id][r["rank"]] = r.vec_id, r.score
+    found = []
+    for q, v in queries:
+        score = {i: max(np.dot(u, v) for u in us) for i, us in {**{k: [u] for k, u in rows[:n]}, 9999: around}.items()}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert len(got[q]) == 20 and len({i for i, _ in got[q].values()}) == 20 and got[q][1][0] == 9999
+        assert all(abs(s - score[i]) < 1e-12 for i, s in got[q].values())
+        found.append(len(set(want) & {i for i, _ in got[q].values()}) / 20)
+    assert np.mean(found) >= 0.9
+
+
 # ---------------------------------------------------------------- html
 
 
