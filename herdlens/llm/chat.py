@@ -1,9 +1,10 @@
 """Quotation linking: conversations in reply order, without the quotes.
 
 Lines open with any number of ``>``: their quote depth. What a message quotes at
-a depth, line by line and as a whole, is normalised and hashed, and joined to
-the first message of the conversation that says it itself (one row per hash, so
-a line said a thousand times joins once). A message answers the earlier message
+a depth, by line, paragraph and contiguous passage and as a whole, is normalised
+and hashed, and joined to the first message of the conversation that says it
+itself (one row per hash, so a line said a thousand times joins once). Lines of
+a paragraph are joined, so a mail program may have wrapped them anew. A message answers the earlier message
 of which it quotes most at its lowest linked depth. Threads are followed to
 their first message by pointer jumping, and messages are numbered in reply
 order: thread by thread, each in order of turn. Built-in functions only.
@@ -29,19 +30,29 @@ def _plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
 
 
-def _units(lines: Column) -> Column:
-    """Hashes of the normalised lines and of all of them together."""
-    plain = F.filter(F.transform(lines, _plain), lambda x: x != "")
-    return F.when(F.size(plain) > 0, F.array_distinct(F.transform(F.concat(plain, F.array(F.array_join(plain, " "))), lambda x: F.md5(x)))
-                  ).otherwise(F.array().cast("array<string>"))
+def _units(plain: Column, kinds: Column, kind: Column) -> Column:
+    """Hashes of the normalised lines of a kind, of their paragraphs and contiguous passages, and of all of them together."""
+    mine = lambda i: F.get(kinds, i) == kind
+    lines = F.filter(plain, lambda x, i: (x != "") & mine(i))
+
+    def joined(parts: Column) -> Column:
+        # A normalised line holds no line break, which stands for what is in between.
+        return F.filter(F.transform(F.split(F.array_join(parts, " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    paragraphs = joined(F.transform(plain, lambda x, i: F.when((x != "") & mine(i), x).otherwise("\n")))
+    passages = joined(F.filter(F.transform(plain, lambda x, i: F.when(mine(i), x).otherwise("\n")), lambda x: x != ""))
+    whole = F.filter(F.array(F.array_join(lines, " ")), lambda x: x != "")
+    return F.transform(F.array_distinct(F.concat(lines, paragraphs, passages, whole)), lambda x: F.md5(x))
 
 
 def parsed(messages: DataFrame, text: str = "text") -> DataFrame:
-    """``messages`` with ``_said`` (own lines), ``_depths`` and ``_lines``."""
+    """``messages`` with ``_said`` (own lines), ``_depths``, ``_lines`` and ``_kinds`` (0 own, -1 leading in a quote, else the depth)."""
     rows = messages.withColumn("_lines", F.split(text_of(messages, text), "\n", -1))
     rows = rows.withColumn("_depths", F.transform("_lines", _depth))
     following = lambda i: F.coalesce(F.get("_depths", i + 1), F.lit(0))
-    return rows.withColumn("_said", F.filter("_lines", lambda x, i: (F.get("_depths", i) == 0) & ~(x.rlike(_LEAD) & (following(i) > 0))))
+    lead = lambda x, i: x.rlike(_LEAD) & (following(i) > 0)
+    rows = rows.withColumn("_kinds", F.transform("_lines", lambda x, i: F.when((F.get("_depths", i) == 0) & lead(x, i), -1).otherwise(F.get("_depths", i))))
+    return rows.withColumn("_said", F.filter("_lines", lambda x, i: F.get("_kinds", i) == 0))
 
 
 def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -49,12 +60,13 @@ def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     rows = parsed(messages.where(F.col(turn).isNotNull()), text)
     # A null conversation is one of its own.
     place = F.coalesce(F.concat(F.lit("c"), F.col(conv).cast("string")), F.lit("n"))
-    rows = rows.select(place.alias("conv"), F.col(turn).cast("long").alias("turn"), "_lines", "_depths", "_said")
-    said = rows.select("conv", "turn", F.explode(_units(F.col("_said"))).alias("unit"))
+    rows = rows.select(place.alias("conv"), F.col(turn).cast("long").alias("turn"), "_kinds",
+                       F.transform("_lines", lambda x: _plain(F.regexp_replace(x, _QUOTE, ""))).alias("_plain"))
+    plain, kinds = F.col("_plain"), F.col("_kinds")
+    said = rows.select("conv", "turn", F.explode(_units(plain, kinds, F.lit(0))).alias("unit"))
     first = stored(said.groupBy("conv", "unit").agg(F.min("turn").alias("origin")), "chat-said")
-    at = F.explode(F.array_distinct(F.filter("_depths", lambda d: d > 0)))
-    body = F.transform(F.filter("_lines", lambda x, i: F.get("_depths", i) == F.col("depth")), lambda x: F.regexp_replace(x, _QUOTE, ""))
-    quoted = rows.withColumn("depth", at).select("conv", "turn", "depth", F.explode(_units(body)).alias("unit"))
+    at = F.explode(F.array_distinct(F.filter(kinds, lambda d: d > 0)))
+    quoted = rows.withColumn("depth", at).select("conv", "turn", "depth", F.explode(_units(plain, kinds, F.col("depth"))).alias("unit"))
     linked = stored(quoted, "chat-quoted").join(first, ["conv", "unit"]).where("origin < turn")
     votes = linked.groupBy("conv", "turn", "depth", "origin").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct((-F.col("depth")).alias("d"), "n", "origin"))

@@ -391,6 +391,24 @@ def test_chat_repeated_and_empty(spark):
     assert chat.op7_query(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_interleaved_quotes_wrapped_anew(spark):
+    rows = [
+        (1, 0, "a", "The first passage is long\nand goes over two lines.\n\nThe second one says something\nelse, also at length.\n\nA third is\nhere."),
+        (1, 1, "b", "Unrelated words"),
+        (1, 2, "c", "> The first passage is\n> long and goes over two\n> lines.\nI agree with it.\nVery much so.\n"
+                    "> The second one\n> says something else, also\n> at length.\nI do not."),
+        # Two paragraphs in one passage, and a quote of a quote.
+        (1, 3, "a", "> The second one says\n> something else, also at length.\n>\n> A third\n> is here.\nSee both."),
+        (1, 4, "d", "On Monday, c wrote:\n>> The first passage\n>> is long and goes\n>> over two lines.\n> I agree with it. Very\n> much so.\nGood.\n> I do\n> not.\nBad."),
+        (2, 0, "a", "x y"), (2, 1, "b", "> x\n\n> y\nz"), (2, 2, "b", "> x\nbetween\n> other y\nz"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.op7_query(spark.createDataFrame(rows, CHAT)).collect()}
+    assert {k[1]: r.parent_turn for k, r in got.items() if k[0] == 1} == {0: None, 1: None, 2: 0, 3: 0, 4: 2}
+    assert {k[1]: r.root_turn for k, r in got.items() if k[0] == 1} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert got[2, 1].parent_turn == 0 and got[2, 2].parent_turn is None
+    assert got[1, 2].text == "I agree with it.\nVery much so.\nI do not." and got[1, 2].n_quoted == 6
+
+
 # ---------------------------------------------------------------- lines
 
 
