@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.llm.common import ranked, stored
+from herdlens.llm.common import ranked, small, stored
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -50,22 +50,39 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(value: Column) -> Column:
-    """An order-keeping double of a column: numbers as they are, text by its first six bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value.cast("string"), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+#: A row's unique place, which ``shard`` carries through.
+ROW = "_row"
+#: A text column with fewer distinct values than this has its ranks broadcast.
+BROADCAST_VALUES = 100_000
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, stored, with a unique ``_row``: what texts join their places by, whatever the ids."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "shard-rows")
+
+
+def _text_ranks(t: DataFrame, name: str) -> DataFrame:
+    """The text column ``name`` as the rank of its whole value among the distinct values; null stays null."""
+    values = ranked(t.select(F.col(name).alias("_value")).where("_value IS NOT NULL").distinct(), [F.col("_value")], "shard-values", "_rank")
+    values = small(values, values.count(), BROADCAST_VALUES)
+    return t.join(values, F.col(name) == F.col("_value"), "left").withColumn(name, F.col("_rank").cast("double")).drop("_value", "_rank")
 
 
 def shard(docs: DataFrame, dims: dict[str, Column], ties: list[str], n_shards: int = 24, bits: int = 8) -> DataFrame:
     """Rows of ``docs`` with ``shard`` (0..n_shards-1) and ``slot`` (gapless from 0 in each shard).
 
-    ``dims`` are order-keeping doubles. Each is quantised at up to
+    ``dims`` are numbers or text, which counts by the rank of its whole value
+    among the column's distinct values. Each is quantised at up to
     ``2**bits - 1`` approximate quantiles of the whole column (bounded, whatever
     the size), null lowest. ``ties`` order the rows of one cell. Keep ``docs``
-    narrow: it is stored and exchanged once; join texts back by id to write them.
+    narrow: it is stored and exchanged; texts join back by ``_row`` to be written
+    (``with_rows``, ``write_shards``).
     Empty tables give empty tables; repeated rows each get a place of their own.
     """
     names = list(dims)
     t = stored(docs.withColumns({f"_d{i}": dims[n] for i, n in enumerate(names)}), "shard-meta")
+    for name, kind in t.dtypes[-len(names):]:
+        t = _text_ranks(t, name) if kind == "string" else t.withColumn(name, F.col(name).cast("double"))
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = t.agg(*[F.percentile_approx(f"_d{i}", steps, 1 << (bits + 4)).alias(f"c{i}") for i in range(len(names))]).first()
     edges = [np.unique(np.asarray(c if c is not None else [], dtype=float)) for c in cuts]
@@ -89,9 +106,13 @@ def shard(docs: DataFrame, dims: dict[str, Column], ties: list[str], n_shards: i
             .drop("_position", *[f"_d{i}" for i in range(len(names))]))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """Write whole documents into one folder per shard, in slot order, from ``shard``'s placement."""
-    (docs.join(placed.select(key, "shard", "slot"), key)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
+    """Write whole documents into one folder per shard, in slot order, each row once.
+
+    ``docs`` come from ``with_rows`` and ``placed`` from ``shard`` over columns
+    of the same ``docs`` with their ``_row``.
+    """
+    (docs.join(placed.select(ROW, "shard", "slot"), ROW).drop(ROW)
      .repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot")
      .write.partitionBy("shard").parquet(path))
 
@@ -101,7 +122,7 @@ def op9_query(docs: DataFrame) -> DataFrame:
     meta = docs.select("doc_id", "source", "lang",
                        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
                        F.crc32(F.coalesce(raw, F.lit(b""))).alias("text_crc32"))
-    dims = {"source": ordinal(F.col("source")), "lang": ordinal(F.col("lang")), "size": F.col("size").cast("double")}
+    dims = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "size": F.col("size").cast("double")}
     placed = shard(meta, dims, ties=["size", "text_crc32", "doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -482,6 +482,35 @@ def test_sharding(spark, odd):
     assert sharding.op9_query(docs.limit(0)).count() == 0
 
 
+def test_sources_with_a_common_prefix_are_apart(spark):
+    rows = [(k, "word " * (k % 7), "en", f"common_crawl_{k * 7919 % 10}") for k in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.op9_query(docs).join(docs, "doc_id").select("shard", "source", "curve").collect()
+    curves = defaultdict(set)
+    for r in got:
+        curves[r.source].add(r.curve)
+    assert sum(len(c) for c in curves.values()) == len(set().union(*curves.values()))
+    # A source's rows lie in few shards, so its files can be told from the others.
+    by = defaultdict(set)
+    for r in got:
+        by[r.shard].add(r.source)
+    assert np.mean([len(v) for v in by.values()]) < 5
+
+
+def test_written_shards_hold_each_row_once(spark, odd, tmp_path):
+    again = odd.unionByName(odd.where("doc_id = 4").withColumn("text", F.lit("another text of the id")))
+    again = again.unionByName(again.where("doc_id IS NULL"))
+    docs = sharding.with_rows(again)
+    placed = sharding.shard(docs.select("_row", "doc_id", "source", "n_chars"), {"source": F.col("source"), "n_chars": F.col("n_chars")}, ["doc_id", "_row"], n_shards=5)
+    sharding.write_shards(docs, placed, str(tmp_path / "shards"))
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(tuple(r) for r in got.select(*again.columns).collect()) == Counter(tuple(r) for r in again.collect())
+    want = {(r.shard, r.slot): r._row for r in placed.collect()}
+    assert Counter((r.shard, r.slot) for r in got.select("shard", "slot").collect()) == Counter(want.keys())
+    text = {r._row: r.text for r in docs.collect()}
+    assert all(text[want[r.shard, r.slot]] == r.text for r in got.collect())
+
+
 # ---------------------------------------------------------------- simhash
 
 
