@@ -32,6 +32,8 @@ BREAKS = frozenset(
     "h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = frozenset(("td", "th"))
 MARKED = frozenset(("article", "main"))
+#: Inside a marked element only these are boilerplate by name or learned class; headings, paragraphs and inline tags aren't.
+CONTAINERS = frozenset("div section ul ol aside".split())
 BOILER_TAGS = frozenset("nav footer aside form button dialog menu head".split())
 #: Parts of class, id or role names that mark boilerplate.
 BOILER_NAMES = re.compile(
@@ -53,16 +55,32 @@ WORD, INLINE, BREAK, BOILER = 1.0, -0.25, -0.5, -10.0
 OUTSIDE = -8.0
 
 
+_ID = re.compile(r"\bid\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
 def _names(attributes: str) -> str:
     return " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
 
 
+def _boiler_name(tag: str, attributes: str, names: str, marked: int) -> bool:
+    if not marked:
+        return bool(names and BOILER_NAMES.search(_WRAPPER.sub(" ", names)))
+    if tag not in CONTAINERS:
+        return False
+    # Ids in an article are anchors made from its headings, unless the words of a plain container's are all boilerplate.
+    named = _names(_ID.sub(" ", attributes))
+    if named.strip():
+        return bool(BOILER_NAMES.search(_WRAPPER.sub(" ", named)))
+    words = [w for w in re.split(r"[\s_-]+", names) if w]
+    return tag != "section" and bool(words) and all(BOILER_NAMES.search(w) for w in words)
+
+
 def _is_boiler(tag: str, attributes: str, names: str, marked: int) -> bool:
     if tag in MARKED or tag in ("html", "body"):
         return bool(tag == "article" and names and re.search(r"\bcomment", names, re.I))
     if tag in BOILER_TAGS or tag == "header" and not marked:
         return True
-    if names and BOILER_NAMES.search(_WRAPPER.sub(" ", names)):
+    if _boiler_name(tag, attributes, names, marked):
         return True
     return bool(attributes) and bool(_UNSEEN.search(attributes))
 
@@ -93,7 +111,7 @@ def parse(page: str, learned: frozenset = frozenset()) -> list[tuple]:
                 continue
             names = _names(attributes)
             feature = f"{tag}.{names.split()[0]}" if names.strip() else tag
-            bad = _is_boiler(tag, attributes, names, marked) or feature in learned
+            bad = _is_boiler(tag, attributes, names, marked) or feature in learned and (not marked or tag in CONTAINERS)
             if tag in MARKED and not bad and not marked:
                 for name, _, _, at in reversed(open_tags):
                     if out[at][5]:

@@ -263,6 +263,17 @@ def test_copies_of_a_page_are_one_label(spark):
     assert all(got[300 + k] == f"In {k}\nText {k}" for k in range(60)) and got[0] == "Some more text"
 
 
+def test_anchors_of_an_article_stay():
+    page = """<body><article><h1 class="notice">Head</h1><h2 id="related-work">Related work</h2><p class="notice-period">A notice period</p>
+    <h3 id="search">Search</h3><section id="legal-analysis"><h2>Legal analysis</h2><p>By <span class="social">social</span> law</p></section>
+    <div class="section level2" id="related"><p>Also related</p></div><div id="comments-on-method"><p>On method</p></div>
+    <div class="share-buttons">Share this</div><ul class="related">Other posts</ul><div id="comments">Readers say</div><section class="newsletter">Sign up</section>
+    <p>End</p></article><h2 id="related">Outside</h2></body>"""
+    learned = frozenset(("p.notice-period", "div.share"))
+    want = "Head\nRelated work\nA notice period\nSearch\nLegal analysis\nBy social law\nAlso related\nOn method\nEnd"
+    assert html_extract.extract(page) == want and html_extract.extract(page, None, learned) == want
+
+
 # ---------------------------------------------------------------- quality
 
 
