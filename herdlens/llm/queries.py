@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdlens.llm import ann, chat, html_extract, line_dedup, mixing, packing, quality, sharding, simhash, topk
+from herdlens.llm import ann, chat, html_extract, line_dedup, mixing, ngram_join, packing, quality, sharding, simhash, topk
 from herdlens.llm.common import ship
 from herdlens.sources.tables import read_table
 
@@ -37,6 +37,7 @@ QUERIES: dict[str, Builder] = {
     "op8_line_dedup": _over("documents", line_dedup.op8_query),
     "op9_hilbert_sharding": _over("documents", sharding.op9_query),
     "op10_simhash": _over("documents", simhash.op10_query),
+    "op11_ngram_jaccard": _over("documents", ngram_join.op11_query),
 }
 
 SQL: dict[str, str] = {
@@ -44,4 +45,5 @@ SQL: dict[str, str] = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op7_quotation_linking": chat.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op11_ngram_jaccard": ngram_join.OP11_SQL,
 }
