@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from herdlens.llm import ann, chat, html_extract, line_dedup, mixing, ngram_join, packing, quality, sharding, simhash, topk
+from herdlens.llm import ann, chat, filter_audit, html_extract, line_dedup, mixing, ngram_join, packing, quality, resampling, sharding, simhash, topk
 from herdlens.llm.common import ship
 from herdlens.sources.tables import read_table
 
@@ -21,9 +21,12 @@ def _over(table: str, build: Callable[[DataFrame], DataFrame]) -> Builder:
     return run
 
 
-def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return quality.op4_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+def _with(table: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> Builder:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return build(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, table))
+
+    return run
 
 
 QUERIES: dict[str, Builder] = {
@@ -32,12 +35,14 @@ QUERIES: dict[str, Builder] = {
     "op5_collision_ann": _over("embeddings", ann.op5_query),
     "op3_html_main_text": _over("pages", html_extract.op3_query),
     "op7_quotation_linking": _over("conversations", chat.op7_query),
-    "op4_quality_classifier": _quality,
+    "op4_quality_classifier": _with("labels", quality.op4_query),
     "op6_mix_sources": _over("documents", mixing.op6_query),
     "op8_line_dedup": _over("documents", line_dedup.op8_query),
     "op9_hilbert_sharding": _over("documents", sharding.op9_query),
     "op10_simhash": _over("documents", simhash.op10_query),
     "op11_ngram_jaccard": _over("documents", ngram_join.op11_query),
+    "op12_filter_audit": _with("labels", filter_audit.op12_query),
+    "op13_resampling": _with("benchmark", resampling.op13_query),
 }
 
 SQL: dict[str, str] = {
@@ -46,4 +51,5 @@ SQL: dict[str, str] = {
     "op7_quotation_linking": chat.OP7_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op11_ngram_jaccard": ngram_join.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
