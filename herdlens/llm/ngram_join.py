@@ -130,11 +130,11 @@ def apart(x: tuple, y: tuple, percent: int) -> bool:
     return (x[0] & y[0]).bit_count() + min(x[3], y[3]) < least_overlap(x[1], y[1], percent)
 
 
-def dual_traversal(tree: SignatureTree, percent: int, forest: Forest, confirm: Callable[[int, int], bool],
-                   cross: list[bool] | None = None) -> Iterator[tuple[int, int]]:
-    """Leaf pairs (i, j) that can link, are confirmed and connect what wasn't connected.
+def dual_traversal(tree: SignatureTree, rows: list[int], percent: int, forest: Forest, confirm: Callable[[int, int], bool],
+                   side: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of ``rows`` (the leaves) that can link, are confirmed and connect what wasn't connected.
 
-    ``cross``: sides of a block pair; pairs of the same side are left out.
+    ``side``: each row's side of a pair of blocks; pairs of the same side are left out.
     """
     levels, fanout = tree.levels, tree.fanout
     todo = [(len(levels) - 1, 0, 0)]
@@ -144,63 +144,69 @@ def dual_traversal(tree: SignatureTree, percent: int, forest: Forest, confirm: C
         if x != y and apart(a, b, percent):
             continue
         if k == 0:
-            if x != y and (cross is None or cross[x] != cross[y]) and forest.root(x) != forest.root(y) and confirm(x, y):
-                forest.unite(x, y)
-                yield x, y
-            continue
-        root = forest.root(a[4])
-        if k > 1 and a[5] - a[4] + b[5] - b[4] <= 64 and all(forest.root(i) == root for r in (a, b) for i in range(r[4], r[5])):
+            i, j = rows[x], rows[y]
+            if i != j and (side is None or side[i] != side[j]) and forest.root(i) != forest.root(j) and confirm(i, j):
+                forest.unite(i, j)
+                yield i, j
             continue
+        if k > 1 and a[5] - a[4] + b[5] - b[4] <= 64:
+            root = forest.root(rows[a[4]])
+            if all(forest.root(rows[i]) == root for r in (a, b) for i in range(r[4], r[5])):
+                continue
         below = len(levels[k - 1])
         ys = range(y * fanout, min(y * fanout + fanout, below))
         for i in range(x * fanout, min(x * fanout + fanout, below)):
             todo.extend((k - 1, i, j) for j in ys if x != y or i <= j)
 
 
-def _runs(sizes: np.ndarray, percent: int) -> list[slice]:
-    """Ranges of rows (sorted by size) between which no two sizes can match."""
-    cut = np.flatnonzero(100 * sizes[:-1] < percent * sizes[1:]) + 1
-    at = [0, *cut.tolist(), len(sizes)]
-    return [slice(a, b) for a, b in zip(at, at[1:]) if b - a > 1]
+def _bands(sizes: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Rows by ranges of size so that two rows whose sizes match are in one of them; greatest and least size differ
+    by a factor of (100 / percent)**2 at most, so that bitmaps of one width suit all."""
+    band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    seen = np.unique(band)
+    out = [np.flatnonzero((band == k) | (band == k + 1)) for k in seen.tolist()]
+    return [r for r, k in zip(out, seen.tolist()) if len(r) > 1 and (k - 1 not in seen or (band[r] == k + 1).any())]
 
 
-def candidate_edges(sizes: np.ndarray, signatures: list[bytes], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning forest (rows) of the pairs of a cell that their bitmaps can't tell apart."""
-    out = []
-    order = np.argsort(sizes, kind="stable")
-    for run in _runs(sizes[order], percent):
-        rows = order[run].tolist()
-        width = min(width_of(int(sizes[i])) for i in rows)
-        bits = {i: folded(int.from_bytes(signatures[i], "little"), 8 * len(signatures[i]), width) for i in rows}
+def _edges(sizes: np.ndarray, bitmaps: Callable[[list[int]], dict[int, int]], percent: int, confirm: Callable[[int, int], bool],
+           side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Spanning forest (rows) of the confirmed pairs, by one signature tree a range of sizes."""
+    out, forest = [], Forest(len(sizes))
+    for band in _bands(sizes, percent):
+        rows = band.tolist()
+        bits = bitmaps(rows)
         rows.sort(key=bits.__getitem__)  # like bitmaps side by side
         tree = SignatureTree([int(sizes[i]) for i in rows], [bits[i] for i in rows])
-        cross = None if side is None else [bool(side[i]) for i in rows]
-        out.extend((rows[i], rows[j]) for i, j in dual_traversal(tree, percent, Forest(len(rows)), lambda i, j: True, cross))
+        out.extend(dual_traversal(tree, rows, percent, forest, confirm, side))
     return out
 
 
+def candidate_edges(sizes: np.ndarray, signatures: list[bytes], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning forest (rows) of the pairs of a cell that their bitmaps can't tell apart."""
+
+    def bitmaps(rows: list[int]) -> dict[int, int]:
+        width = min(width_of(int(sizes[i])) for i in rows)
+        return {i: folded(int.from_bytes(signatures[i], "little"), 8 * len(signatures[i]), width) for i in rows}
+
+    return _edges(sizes, bitmaps, percent, lambda i, j: True, side)
+
+
 def exact_edges(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning forest (rows) of the linked pairs of ``sets``."""
-    out = []
     sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    for run in _runs(sizes[order], percent):
-        rows = order[run].tolist()
-        width = 2 * width_of(int(sizes[rows[-1]]))
-        bits = {i: bitmap(sets[i], width) for i in rows}
-        rows.sort(key=bits.__getitem__)
-
-        def linked(i: int, j: int) -> bool:
-            a, b = sets[rows[i]], sets[rows[j]]
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            return int((b[at] == a).sum()) >= least_overlap(len(a), len(b), percent)
 
-        tree = SignatureTree([int(sizes[i]) for i in rows], [bits[i] for i in rows])
-        cross = None if side is None else [bool(side[i]) for i in rows]
-        out.extend((rows[i], rows[j]) for i, j in dual_traversal(tree, percent, Forest(len(rows)), linked, cross))
-    return out
+    def bitmaps(rows: list[int]) -> dict[int, int]:
+        width = 2 * width_of(int(sizes[rows].max()))
+        return {i: bitmap(sets[i], width) for i in rows}
+
+    def linked(i: int, j: int) -> bool:
+        a, b = sets[i], sets[j]
+        if len(a) > len(b):
+            a, b = b, a
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        return int((b[at] == a).sum()) >= least_overlap(len(a), len(b), percent)
+
+    return _edges(sizes, bitmaps, percent, linked, side)
 
 
 # ---------------------------------------------------------------- on Spark
