@@ -64,8 +64,8 @@ def key_shingles(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.nda
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of ``n`` shingles: the power of two from 4n on, 128 at least."""
-    return 1 << max(7, (4 * n - 1).bit_length())
+    """Bits of the bitmap of a set of ``n`` shingles: the power of two from 2n on, 128 at least."""
+    return 1 << max(7, (2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, width: int) -> int:
@@ -196,7 +196,7 @@ def exact_edges(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
     sizes = np.array([len(s) for s in sets])
 
     def bitmaps(rows: list[int]) -> dict[int, int]:
-        width = 2 * width_of(int(sizes[rows].max()))
+        width = 4 * width_of(int(sizes[rows].max()))
         return {i: bitmap(sets[i], width) for i in rows}
 
     def linked(i: int, j: int) -> bool:
@@ -293,7 +293,7 @@ def distinct_sets(docs: DataFrame, levels: np.ndarray, key: str, text: str, shin
     return stored(one, "ngram-sets")
 
 
-def cells(sets: DataFrame, broadcast_rows: int) -> DataFrame:
+def cells(sets: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
     """(cell, members, sid, n): the distinct groups of two or more sets that share a key, stored."""
     keys = sets.select("sid", "n", F.explode("keys").alias("key"))
     shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "ngram-shared")
@@ -301,6 +301,8 @@ def cells(sets: DataFrame, broadcast_rows: int) -> DataFrame:
     # Cells with the same members are told by their number and two XORs of hashed members.
     alike = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("sid")).alias("x"),
                                      F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"), F.min("n").alias("low"), F.max("n").alias("high"))
+             # Two sets whose sizes can't match are no cell.
+             .where(f"members > 2 or 100 * low >= {percent} * high")
              .groupBy("members", "x", "y", "low", "high").agg(F.min("key").alias("key")))
     alike = stored(alike.select("key", "members"), "ngram-cells")
     return stored(rows.join(small(alike, alike.count(), broadcast_rows), "key").select(F.col("key").alias("cell"), "members", "sid", "n"), "ngram-units")
@@ -398,7 +400,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     sizes = set_sizes(docs, key, text, shingle)
     sets = distinct_sets(docs, bucket_levels(sizes), key, text, shingle, percent)
-    units = cells(sets, broadcast_rows)
+    units = cells(sets, percent, broadcast_rows)
     found = components(candidates(units, sets, percent, cell_rows))
     groups = found.select(F.col("node").alias("sid"), "root").unionByName(found.select(F.col("root").alias("sid"), "root").distinct())
     linked = components(links(docs, groups, units, sets, key, text, shingle, percent, group_tokens, broadcast_rows))
