@@ -50,11 +50,17 @@ def top_n_per_key(changes: DataFrame, key: str, order_cols: Sequence[str],
             .select(key, "slot", *value_cols))
 
 
+def _key_text(df: DataFrame, key: str, other: DataFrame) -> Column:
+    """The key as text, or as it is if both sides have one type; a bucketed table then stays where it is."""
+    plain = df.schema[key].dataType == other.schema[key].dataType
+    return F.col(key) if plain else F.col(key).cast("string")
+
+
 def first_row_marker(base: DataFrame, key: str, keys: DataFrame,
                      order: str = ORDER_COL) -> DataFrame:
-    """(key, first input order) for the keys in ``keys`` (only those get updated)."""
-    wanted = keys.select(F.col(key).cast("string").alias("_wanted")).distinct()
-    rows = base.select(F.col(key).cast("string").alias("_wanted"), order).join(wanted, "_wanted", "left_semi")
+    """(_wanted, _first): the first input order of the keys in ``keys`` (only those get updated)."""
+    wanted = keys.select(_key_text(keys, key, base).alias("_wanted"))
+    rows = base.select(_key_text(base, key, keys).alias("_wanted"), order).join(wanted, "_wanted", "left_semi")
     return rows.groupBy("_wanted").agg(F.min(order).alias("_first"))
 
 
@@ -63,16 +69,17 @@ def merge_into(base: DataFrame, key: str, target: DataFrame, set_cols: dict[str,
     """Apply ``set_cols`` (expressions over ``target`` columns, prefixed ``t_``)
     to the **first** base row of each key present in ``target``; other rows keep
     their values. ``target`` has one row per key.
+
+    Both joins are on the key alone, so a base bucketed by it isn't shuffled.
     """
-    t = target.select(key, *[F.col(c).alias(f"t_{c}") for c in target.columns if c != key])
+    t = target.select(_key_text(target, key, base).alias("_tk"), *[F.col(c).alias(f"t_{c}") for c in target.columns if c != key])
     if order is not None:
         marker = first_row_marker(base, key, target, order)
-        t = t.join(marker, F.col(key).cast("string") == F.col("_wanted")).drop("_wanted")
-    t2 = t.withColumn("_tk", F.col(key).cast("string")).drop(key).withColumn("_hit", F.lit(True))
-    cond = F.col(f"b.{key}").cast("string") == F.col("t._tk")
+        t = t.join(marker, F.col("_tk") == F.col("_wanted")).drop("_wanted")
+    b = base.withColumn("_bk", _key_text(base, key, target))
+    hit = F.col("t._tk").isNotNull()
     if order is not None:
-        cond = cond & (F.col(f"b.{order}") == F.col("t._first"))
-    hit = F.col("t._hit").isNotNull()
+        hit = hit & (F.col(f"b.{order}") == F.col("t._first"))
     out_cols = []
     for c in base.columns:
         if c in set_cols:
@@ -82,7 +89,7 @@ def merge_into(base: DataFrame, key: str, target: DataFrame, set_cols: dict[str,
     for c, e in set_cols.items():
         if c not in base.columns:
             out_cols.append(F.when(hit, e).alias(c))
-    return base.alias("b").join(t2.alias("t"), cond, "left").select(*out_cols)
+    return b.alias("b").join(t.alias("t"), F.col("b._bk") == F.col("t._tk"), "left").select(*out_cols)
 
 
 def record_update_merge(base: DataFrame, updates: DataFrame, key: str = "animal_id",

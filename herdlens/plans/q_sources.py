@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
 from herdlens.plans import sql_parts as S
-from herdlens.plans.q_updates import _MERGE_SQL, merged_records
+from herdlens.operators import updates
+from herdlens.plans.q_updates import _MERGE_SQL, saved_form
 from herdlens.plans.registry import query
 from herdlens.sources import records, views
 from herdlens.sources.tables import scratch_path
@@ -82,8 +85,10 @@ def optional_column_backfill(spark, sf_dir):
 
 @query("table_save_roundtrip", _MERGE_SQL + "SELECT * FROM merged")
 def table_save_roundtrip(spark, sf_dir):
-    """Merged records saved as a new table version, then read from the pointer."""
-    table = records.VersionedTable(spark, scratch_path(spark, "records-table"))
-    table.save(merged_records(spark, sf_dir))
-    return table.read()
-
+    """Records saved as a bucketed table, edits merged into it, and the result saved as the next version."""
+    name, path = f"records_{uuid.uuid4().hex}", scratch_path(spark, "records-table")
+    base = views.dirty_animal(spark, sf_dir, input_order=True).drop("vaccination_1")
+    records.save_table(base, name, buckets=8, path=path)
+    records.save_table(saved_form(updates.record_update_merge(records.current_table(spark, name), views.record_updates(spark, sf_dir))),
+                       name, buckets=8, path=path)
+    return records.current_table(spark, name)

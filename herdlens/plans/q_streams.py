@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdlens.plans.q_rules import _LABEL_RULES, _REQ, _RULES26
-from herdlens.operators import clean, updates
+from herdlens.operators import clean, ml, updates
 from herdlens.plans.q_updates import _MERGE_SQL, _OUT, PUSH_SQL
 from herdlens.plans import sql_parts as S
 from herdlens.plans.q_clean import _TRAIN
@@ -52,27 +52,31 @@ SELECT animal_id, accepted, CASE WHEN NOT accepted THEN 'Missing data' END AS re
     f"CASE WHEN accepted THEN {c} END AS {c}" for c in ["label", "disease", *intake.VITALS])
     + ", accepted AS has_chance FROM s")
 def stream_intake_scoring(spark, sf_dir):
-    """Forms through the stream with a saved survival model; rejected forms have a reason and no scores."""
+    """Forms through the stream with a saved survival model; rejected forms have a reason and no scores.
+
+    ``has_chance``: the stream's chance of living is the batch score of the same saved model.
+    """
     forms = views.animal(spark, sf_dir)
     src, sink, ckpt, saved = (scratch_path(spark, p) for p in ("intake-src", "intake-out", "intake-ckpt", "intake-model"))
     files = _as_files(forms, src, F.col("animal_id"))
-    fit_feature_model(spark, sf_dir, "outcome", num_trees=20).save(spark, saved)
+    fit_feature_model(spark, sf_dir, "outcome").save(spark, saved)
     medians = intake.training_medians(clean.model_features(forms))
     intake.run_intake_stream(spark, src, forms.schema, sink, ckpt, medians, saved, _third(files))
-    out = spark.read.parquet(sink)
-    return out.withColumn("has_chance", F.coalesce(F.col("chance_of_living").between(0, 100), F.lit(False))).drop("chance_of_living")
+    batch = intake.score_intake(forms, medians, ml.FittedClassifier.load(spark, saved))
+    out = spark.read.parquet(sink).join(batch.select("animal_id", F.col("chance_of_living").alias("batch_chance")), "animal_id")
+    same = F.col("chance_of_living").between(0, 100) & (F.abs(F.col("chance_of_living") - F.col("batch_chance")) < 1e-9)
+    return out.withColumn("has_chance", F.coalesce(same, F.lit(False))).drop("chance_of_living", "batch_chance")
 
 
 @query("stream_vaccination_state", PUSH_SQL)
 def stream_vaccination_state(spark, sf_dir):
     entries = views.vaccinations(spark, sf_dir)
     base = views.dirty_animal(spark, sf_dir, input_order=True).select("animal_id", "copy_no", "vaccination_1", "_input_order")
-    src, root, ckpt = (scratch_path(spark, p) for p in ("vax-src", "vax-state", "vax-ckpt"))
+    src, ckpt = (scratch_path(spark, p) for p in ("vax-src", "vax-ckpt"))
     # Files are cut by a hash of the sequence, so arrival order is not event order.
     files = _as_files(entries, src, F.xxhash64("seq"))
-    state = vaccination_state.vaccination_state(spark, root, entries.schema)
-    vaccination_state.run_vaccination_stream(spark, src, entries.schema, base, state, ckpt, _third(files))
-    out = updates.vaccination_push(base, state.read())
+    vaccination_state.run_vaccination_stream(spark, src, entries.schema, base, ckpt, _third(files))
+    out = updates.vaccination_push(base, vaccination_state.read_vaccination_state(spark, ckpt))
     return clean.null_to_empty(out.select("animal_id", "copy_no", "vaccination_1", "vaccination_2"),
                                ["vaccination_1", "vaccination_2"])
 
@@ -80,10 +84,9 @@ def stream_vaccination_state(spark, sf_dir):
 @query("stream_record_state", _MERGE_SQL + "SELECT * FROM merged")
 def stream_record_state(spark, sf_dir):
     edits = views.record_updates(spark, sf_dir)
-    src, root, ckpt = (scratch_path(spark, p) for p in ("edit-src", "edit-state", "edit-ckpt"))
+    src, ckpt = (scratch_path(spark, p) for p in ("edit-src", "edit-ckpt"))
     files = _as_files(edits, src, F.xxhash64("seq"))
-    state = vaccination_state.edit_state(spark, root, edits.schema)
-    vaccination_state.run_edit_stream(spark, src, edits.schema, state, ckpt, _third(files))
+    vaccination_state.run_edit_stream(spark, src, edits.schema, ckpt, _third(files))
     base = views.dirty_animal(spark, sf_dir, input_order=True).drop("vaccination_1")
-    merged = updates.record_update_merge(base, state.read())
+    merged = updates.record_update_merge(base, vaccination_state.read_edit_state(spark, ckpt))
     return clean.null_to_empty(merged.select(*_OUT), [c for c in _OUT if c != "animal_id"])

@@ -15,11 +15,15 @@ _REC = ["animal_id", "name", "species", "breed", "sex", "age_years", "bp", "hear
 _OUT = _REC + ["doctor_suggestion", "special_care"]
 
 
+def saved_form(merged: DataFrame) -> DataFrame:
+    """Record columns as saved (missing -> '')."""
+    return clean.null_to_empty(merged.select(*_OUT), [c for c in _OUT if c != "animal_id"])
+
+
 def merged_records(spark, sf_dir) -> DataFrame:
-    """Records after every edit, as saved (missing -> '')."""
+    """Records after every edit."""
     base = views.dirty_animal(spark, sf_dir, input_order=True).drop("vaccination_1")
-    merged = updates.record_update_merge(base, views.record_updates(spark, sf_dir))
-    return clean.null_to_empty(merged.select(*_OUT), [c for c in _OUT if c != "animal_id"])
+    return saved_form(updates.record_update_merge(base, views.record_updates(spark, sf_dir)))
 
 
 _LATEST = """latest AS (

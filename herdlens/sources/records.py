@@ -3,18 +3,16 @@
 * CSV scan by header name with the pandas missing-value tokens (S1), resolved
   from a list of candidate paths (S2), a check of the header for required
   columns (S3) and optional-column backfill (S4).
-* Versioned table save (S5): each save is written aside and renamed to the
-  next free version; a finished version never changes, and the newest one is
-  the table, so there is no pointer to lose.
+* Table save (S5): each save is a new version of its own, a plain Spark table
+  bucketed by the record key; the newest version is the table.
 * Report sink (S6): report rows written partitioned by a hash of the key.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,36 +42,6 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     raise FileNotFoundError("record table not found at any of: " + ", ".join(paths))
 
 
-def rename_new(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder atomically; False if ``target`` is there already."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    _, src = _fs_path(spark, source)
-    _, dst = _fs_path(spark, target)
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    plain = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    try:
-        context.rename(src, dst, plain)
-    except Py4JJavaError as e:
-        if "FileAlreadyExistsException" in str(e.java_exception) or path_exists(spark, target):
-            return False
-        raise
-    return True
-
-
-def delete_folder(spark: SparkSession, path: str) -> None:
-    fs, p = _fs_path(spark, path)
-    fs.delete(p, True)
-
-
-def child_folders(spark: SparkSession, path: str) -> list[str]:
-    """Names of finished Parquet folders (with ``_SUCCESS``) under ``path``, sorted."""
-    fs, p = _fs_path(spark, path)
-    if not fs.exists(p):
-        return []
-    return sorted(st.getPath().getName() for st in fs.listStatus(p)
-                  if fs.exists(st.getPath().suffix("/_SUCCESS")))
-
-
 # --- S1 / S3 / S4 ---
 
 def read_records_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
@@ -140,53 +108,39 @@ def backfill_columns(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in df.columns})
 
 
-# --- S5: versioned save ---
-
-class VersionedTable:
-    """A table stored as immutable Parquet versions; the newest finished one is current."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/v={version:08d}"
-
-    def versions(self) -> list[int]:
-        """Finished versions, ascending."""
-        return [int(n[2:]) for n in child_folders(self.spark, self.root) if n.startswith("v=")]
-
-    def current_version(self) -> int | None:
-        return max(self.versions(), default=None)
-
-    def save(self, df: DataFrame, version: int | None = None) -> int:
-        """Write the next free version, or ``version`` if it isn't there yet (a repeated save is a no-op).
-
-        The rows are written aside and renamed when complete. Of two writers
-        one gets a version; the other takes the next.
-        """
-        if version is not None and version in self.versions():
-            return version
-        aside = f"{self.root}/_writing-{uuid.uuid4().hex}"
-        df.write.parquet(aside)
-        while True:
-            v = version if version is not None else (self.current_version() or 0) + 1
-            if rename_new(self.spark, aside, self._folder(v)):
-                return v
-            if version is not None:
-                delete_folder(self.spark, aside)
-                return version
-
-    def retire(self, keep: int = 2) -> None:
-        """Delete all but the newest ``keep`` versions."""
-        for v in self.versions()[:-keep or None]:
-            delete_folder(self.spark, self._folder(v))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        v = self.current_version() if version is None else version
-        if v is None:
-            raise FileNotFoundError(f"no saved version under {self.root}")
-        return self.spark.read.parquet(self._folder(v))
+# --- S5: saved tables ---
+
+def table_versions(spark: SparkSession, name: str) -> list[int]:
+    """Versions of a saved table, ascending."""
+    found = [re.fullmatch(re.escape(name) + r"_v(\d+)", t.name) for t in spark.catalog.listTables()]
+    return sorted(int(m[1]) for m in found if m)
+
+
+def save_table(df: DataFrame, name: str, key: str = "animal_id", buckets: int = 64, path: str | None = None) -> str:
+    """Save ``df`` as the next version of ``name``; returns the version's table name.
+
+    A version is a plain Spark table, bucketed and sorted by ``key``, so that a
+    merge into it moves the changes only. It goes to the warehouse, or below
+    ``path``. A version is never written over: of two writers one fails.
+    """
+    spark = df.sparkSession
+    table = f"{name}_v{max(table_versions(spark, name), default=0) + 1}"
+    writer = df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer if path is None else writer.option("path", f"{path.rstrip('/')}/{table}")).saveAsTable(table)
+    return table
+
+
+def current_table(spark: SparkSession, name: str) -> DataFrame:
+    versions = table_versions(spark, name)
+    if not versions:
+        raise FileNotFoundError(f"no saved version of {name}")
+    return spark.table(f"{name}_v{versions[-1]}")
+
+
+def retire_versions(spark: SparkSession, name: str, keep: int = 2) -> None:
+    """Drop all but the newest ``keep`` versions."""
+    for v in table_versions(spark, name)[:-keep or None]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}_v{v}")
 
 
 # --- S6: report sink ---

@@ -192,39 +192,50 @@ def test_streamed_vaccination_state_equals_batch(spark):
         assert a == b and len(a) == 153
 
 
-def test_state_outlives_its_checkpoint_and_compaction(spark):
+def test_vaccination_state_goes_on_after_a_restart(spark):
     from herdlens.sources.tables import scratch_path
     from herdlens.streaming import vaccination_state as V
 
     schema = spark.createDataFrame([], "animal_id bigint, ts timestamp, seq bigint, vaccine string, vaccine_date string").schema
-    known = spark.createDataFrame([(1,), (2,)], "animal_id bigint")
-    state = V.vaccination_state(spark, scratch_path(spark, "state-test"), schema)
-    for n in (1, 2, 3):  # each a stream of its own with a new checkpoint
-        src = scratch_path(spark, "state-src")
-        rows = [(1, datetime(2024, n, 1), n, f"v{n}", "d"), (2, datetime(2024, 1, 1), 10 + n, " ", "d"), (3, datetime(2024, 1, 1), 9, "x", "d")]
-        spark.createDataFrame(rows, schema).write.parquet(src)
-        V.run_vaccination_stream(spark, src, schema, known, state, scratch_path(spark, "state-ckpt"))
-    want = {(1, 3, "v3 (d)"), (1, 2, "v2 (d)")}
-    assert {(r.animal_id, r.seq, r.text) for r in state.read().collect()} == want and len(state.deltas()) == 3
-    state.compact()
-    assert {(r.animal_id, r.seq, r.text) for r in state.read().collect()} == want and len(state.deltas()) == 1
-
-
-def test_versioned_table_replay_is_idempotent(spark):
-    from herdlens.sources.records import VersionedTable
+    known = spark.createDataFrame([(1,), (2,), (2,)], "animal_id bigint")
+    src, ckpt = scratch_path(spark, "state-src"), scratch_path(spark, "state-ckpt")
+    for n in (3, 1, 2):  # late files; each run takes up the state of the last from the checkpoint
+        rows = [(1, datetime(2024, n, 1), n, f"v{n}", "d"), (1, datetime(2024, n, 1), n, f"v{n}", "d"),
+                (2, datetime(2024, 1, 1), 10 + n, " ", "d"), (3, datetime(2024, 1, 1), 9, "x", "d")]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        V.run_vaccination_stream(spark, src, schema, known, ckpt)
+    state = V.read_vaccination_state(spark, ckpt)
+    assert sorted((r.animal_id, r.seq, r.text) for r in state.collect()) == [(1, 2, "v2 (d)"), (1, 3, "v3 (d)")]
+
+
+def test_edit_state_keeps_the_newest_after_a_restart(spark):
+    from herdlens.sources.tables import scratch_path
+    from herdlens.streaming import vaccination_state as V
+
+    schema = spark.createDataFrame([], "animal_id bigint, ts timestamp, seq bigint, symptom_1 string, symptom_2 string, suggestion string, special_care string").schema
+    src, ckpt = scratch_path(spark, "edit-src"), scratch_path(spark, "edit-ckpt")
+    for n in (2, 3, 1):
+        rows = [(k, datetime(2024, 1, 1), 10 * n + k, f"s{n}", None, None, None) for k in (1, 2)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        V.run_edit_stream(spark, src, schema, ckpt)
+    assert sorted((r.animal_id, r.seq, r.symptom_1, r.symptom_2) for r in V.read_edit_state(spark, ckpt).collect()) == [(1, 31, "s3", None), (2, 32, "s3", None)]
+
+
+def test_saved_versions_are_spark_tables(spark):
+    import uuid
+
+    import pytest
+    from herdlens.sources import records
     from herdlens.sources.tables import scratch_path
 
-    t = VersionedTable(spark, scratch_path(spark, "vt-test"))
-    assert t.current_version() is None
-    t.save(spark.range(3), version=0)
-    t.save(spark.range(5), version=1)
-    t.save(spark.range(7), version=1)  # replay of batch 1: kept as first written
-    assert t.current_version() == 1 and t.read().count() == 5 and t.versions() == [0, 1]
-    assert t.save(spark.range(9)) == 2 and t.read().count() == 9
-    other = VersionedTable(spark, t.root)  # another writer sees the same versions
-    assert other.save(spark.range(4)) == 3 and t.read().count() == 4
-    t.retire(keep=2)
-    assert t.versions() == [2, 3]
+    name, path = f"vt_{uuid.uuid4().hex}", scratch_path(spark, "vt-test")
+    with pytest.raises(FileNotFoundError):
+        records.current_table(spark, name)
+    for n in (3, 5, 9):
+        records.save_table(spark.range(n), name, "id", 4, path)
+        assert records.current_table(spark, name).count() == n
+    records.retire_versions(spark, name, keep=2)
+    assert records.table_versions(spark, name) == [2, 3] and spark.table(f"{name}_v2").count() == 5
 
 
 def test_shared_folder_is_refused_off_one_machine(spark):

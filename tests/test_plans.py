@@ -42,3 +42,34 @@ def test_last_n_per_key_is_one_limited_exchange(spark):
 def test_latest_edit_has_no_window(spark):
     plan = _plan(load_all()["record_update_merge"].build(spark, SF_SMALL))
     assert "Window" not in plan
+
+
+def test_merge_into_a_bucketed_table_moves_only_the_changes(spark):
+    import uuid
+
+    from herdlens.operators import updates
+    from herdlens.sources import records, views
+    from herdlens.sources.tables import scratch_path
+
+    name = f"bt_{uuid.uuid4().hex}"
+    records.save_table(views.dirty_animal(spark, SF_SMALL, input_order=True).drop("vaccination_1"), name, buckets=8, path=scratch_path(spark, "bt"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = updates.record_update_merge(records.current_table(spark, name), views.record_updates(spark, SF_SMALL))
+        df.collect()
+        lines = _plan(df).split("== Initial Plan ==")[0].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-*|"))
+
+    scans = [i for i, x in enumerate(lines) if "FileScan" in x and name in x]
+    assert len(scans) == 2
+    for i in scans:
+        least = depth(lines[i])
+        for x in reversed(lines[:i]):  # the line of ancestors
+            if depth(x) < least:
+                least = depth(x)
+                assert "Exchange" not in x, x
