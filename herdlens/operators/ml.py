@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import (IndexToString, OneHotEncoder, StandardScaler, StringIndexer,
+from pyspark.ml.feature import (IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.storagelevel import StorageLevel
@@ -190,9 +191,35 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], scale: bo
     return stages
 
 
+def rbf_weights(dims: int, gamma: float, components: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Random frequencies and phases whose cosines approximate exp(-gamma * distance**2)."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, (2 * gamma) ** 0.5, (components, dims)), rng.uniform(0, 2 * np.pi, components)
+
+
+def rbf_stages(train: DataFrame, numeric: Sequence[str], components: int = 100, seed: int = SEED) -> list:
+    """Standardised columns mapped to random Fourier features of the RBF kernel -> ``features``.
+
+    gamma is 1 / (columns * variance of all standardised values). Each feature is a
+    plain SQL expression with constants, so the fitted pipeline can be saved; the
+    kernel's error falls with the root of ``components``.
+    """
+    stats = train.agg(*[x for c in numeric for x in (F.avg(c), F.stddev_pop(c))]).first()
+    mean = [float(m or 0) for m in stats[::2]]
+    std = [float(s or 0) for s in stats[1::2]]
+    gamma = 1.0 / max(1, sum(s > 0 for s in std))
+    w, b = rbf_weights(len(numeric), gamma, components, seed)
+    scaled = ", ".join(f"(`{c}` - {m!r}D) / {s or 1.0!r}D AS rbf_x{k}" for k, (c, m, s) in enumerate(zip(numeric, mean, std)))
+    size = float((2 / components) ** 0.5)
+    waves = ", ".join(f"{size!r}D * cos({float(b[j])!r}D + " + " + ".join(f"{float(x)!r}D * rbf_x{k}" for k, x in enumerate(w[j])) + f") AS rbf_{j}"
+                      for j in range(components))
+    return [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), SQLTransformer(statement=f"SELECT *, {waves} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"rbf_{j}" for j in range(components)], outputCol="features", handleInvalid="keep")]
+
+
 def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                   target: str, classifier, scale: bool = True) -> FittedClassifier:
-    """Index the target (alphabetical classes), then fit features + classifier."""
+                   target: str, classifier, scale: bool = True, stages: list | None = None) -> FittedClassifier:
+    """Index the target (alphabetical classes), then fit features (``stages``, if given) + classifier."""
     # A missing class is the class 'nan', as it is in text form; no row is left out.
     train = train.withColumn(target, F.coalesce(F.col(target).cast("string"), F.lit("nan")))
     # Fitting makes many passes (indexers, scaler, iterations / tree levels): keep
@@ -205,7 +232,7 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
         indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error",
                                 stringOrderType="alphabetAsc").fit(train)
         classifier.setLabelCol("label_idx").setFeaturesCol("features")
-        pipe = Pipeline(stages=[*feature_stages(numeric, categorical, scale), classifier])
+        pipe = Pipeline(stages=[*(stages or feature_stages(numeric, categorical, scale)), classifier])
         model = pipe.fit(indexer.transform(train))
     finally:
         train.unpersist()
@@ -214,6 +241,5 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
 
 
 def linear_svm(max_iter: int = 100, reg: float = 0.0, parallelism: int = 8) -> OneVsRest:
-    """Multi-class linear SVM (one-vs-rest, classes trained concurrently);
-    MLlib has no RBF-kernel SVM."""
+    """Multi-class linear SVM (one-vs-rest, classes trained concurrently); over ``rbf_stages`` an RBF-kernel SVM."""
     return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), parallelism=parallelism)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.operators import clean, rules
+from herdlens.operators import clean, rule_index, rules
 from herdlens.plans import sql_parts as S
 from herdlens.plans.registry import query
 from herdlens.sources import views
@@ -88,6 +88,40 @@ def first_match_label(spark, sf_dir):
     return rules.first_match_label(a, ["symptom_1", "symptom_2"]).select("animal_id", "label")
 
 
+@query("first_match_rule_table", S.with_(S.ANIMAL, _LABEL_RULES, _REQ, """hit AS (
+ SELECT q.animal_id, min(r.ord) AS ord FROM req q JOIN lrules r
+   ON contains(q.s1, r.kw) OR contains(q.s2, r.kw) GROUP BY q.animal_id)""") + """
+SELECT a.animal_id, r.label FROM animal a LEFT JOIN hit h ON a.animal_id = h.animal_id
+LEFT JOIN lrules r ON r.ord = h.ord""")
+def first_match_rule_table(spark, sf_dir):
+    """The label rules as a rule DataFrame."""
+    table = spark.createDataFrame([(i, kw, label) for i, (kw, label) in enumerate(FV.SYMPTOM_LABEL_RULES, 1)], "ord int, kw string, label string")
+    a = views.animal(spark, sf_dir).select("animal_id", "symptom_1", "symptom_2")
+    return rule_index.first_match_label(a, ["symptom_1", "symptom_2"], table).select("animal_id", "label")
+
+
+# Every passage of four words of a benchmark item is a keyword of that item.
+_PASSAGE_RULES = """bw AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark),
+rules AS (SELECT item_id AS ord, CAST(item_id AS VARCHAR) AS disease, array_to_string(w[i:i + 3], ' ') AS kw
+ FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 2, 1))) AS i FROM bw))"""
+
+
+def passage_rules(spark, sf_dir):
+    w = views.read_table(spark, sf_dir, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w")).where(F.size("w") >= 4)
+    kw = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))
+    return w.select(F.col("item_id").alias("ord"), F.col("item_id").cast("string").alias("disease"), kw.alias("kw"))
+
+
+@query("keyword_top1_rule_table", S.with_(_PASSAGE_RULES, """sc AS (
+ SELECT d.doc_id, r.ord, r.disease, sum(CAST(contains(lower(d.text), r.kw) AS INT)) AS score
+ FROM documents d CROSS JOIN rules r GROUP BY d.doc_id, r.ord, r.disease)""")
+       + _top1_sql("none", "doc_id"))
+def keyword_top1_rule_table(spark, sf_dir):
+    """Whole documents against a rule table made of the benchmark's passages: the item with most passages in a document."""
+    d = views.documents(spark, sf_dir).select("doc_id", "text")
+    return rule_index.keyword_top1(d, ["text"], passage_rules(spark, sf_dir), fallback="none", text_transform=F.lower).select("doc_id", "disease")
+
+
 _LABEL_RULES9 = f"lrules(ord, kw, label) AS ({S.pair_values(FV.SYMPTOM_LABEL_RULES_NO_EYE)})"
 
 
