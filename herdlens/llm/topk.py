@@ -51,14 +51,21 @@ def _best_of_lists(held, dims: int, lists: int, k: int):
         who = np.zeros((lists, len(query_ids), k), np.int64)
         for ids, x in _chunks(batches, dims):
             row, col = own_row(ids, query_ids)
+            own = np.unique(ids)
+            order = np.argsort(ids, kind="stable")
+            at = np.searchsorted(ids[order], own)
             for n, s in enumerate(parts):
                 p = q[:, s] @ x[:, s].T
                 p[col, row] = -np.inf
-                # The best entries of the chunk join the best so far.
+                p = np.maximum.reduceat(p[:, order], at, axis=1)  # an id's best row stands for it
+                # The best entries of the chunk join the best so far, one an id.
                 top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
                 v = np.concatenate((best[n], np.take_along_axis(p, top, 1)), axis=1)
-                w = np.concatenate((who[n], ids[top]), axis=1)
-                keep = np.argpartition(-v, k - 1, axis=1)[:, :k]
+                w = np.concatenate((who[n], own[top]), axis=1)
+                down = np.argsort(-v, axis=1, kind="stable")
+                v, w = np.take_along_axis(v, down, 1), np.take_along_axis(w, down, 1)
+                v[np.tril((w[:, :, None] == w[:, None, :]) & (v > -np.inf)[:, None, :], -1).any(axis=2)] = -np.inf
+                keep = np.argsort(-v, axis=1, kind="stable")[:, :k]
                 best[n], who[n] = np.take_along_axis(v, keep, 1), np.take_along_axis(w, keep, 1)
         n, i, j = np.nonzero(best > -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[i]), pa.array(n.astype(np.int32)), pa.array(who[n, i, j]), pa.array(best[n, i, j])],
@@ -91,12 +98,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, qu
     """(query_id, rank, vec_id, score): each query's k highest integer inner products, ties to smaller ids.
 
     ``vectors`` (vec_id, v) and ``queries`` (query_id, q) hold arrays of longs;
-    a row with the query's id is the query's own. Repeated rows of an id count
-    once, with their highest score (queries: the smallest vector). Shorter
+    a row with the query's id is the query's own. Equal rows count once; of the
+    others of an id the highest score counts (queries: the smallest vector). The
+    lists hold one entry an id, so a hot id leaves no query without a cutoff
+    unless there are fewer than k candidates, which all are sent then. Shorter
     vectors count as padded with zeros. Scores are longs; what does not fit
     raises. Fewer candidates than k give all of them; no rows give no rows.
     """
     spark = vectors.sparkSession
+    vectors = stored(vectors.select("vec_id", "v").distinct(), "topk-rows")
     dims = max(vectors.agg(F.max(F.size("v"))).first()[0] or 0, queries.agg(F.max(F.size("q"))).first()[0] or 0, lists)
 
     def resolved(pairs: DataFrame, block: DataFrame) -> DataFrame:
@@ -112,6 +122,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, qu
         held = spark.sparkContext.broadcast((query_ids, q))
         lists_best = vectors.select("vec_id", "v").mapInArrow(_best_of_lists(held, dims, lists, k), "query_id long, list int, vec_id long, part double")
         place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id"))
+        lists_best = lists_best.groupBy("query_id", "list", "vec_id").agg(F.max("part").alias("part"))
         first = stored(lists_best.withColumn("n", place).where(F.col("n") <= k).select("query_id", "vec_id").distinct(), "topk-first")
         tau = resolved(first, block).withColumn("n", F.row_number().over(by_score)).where(F.col("n") == k)
         tau = {r["query_id"]: float(r["score"]) for r in tau.select("query_id", "score").collect()}
