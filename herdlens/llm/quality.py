@@ -48,32 +48,35 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points of words between single spaces, and the text each block's parts start at: (codes, starts, owners)."""
-    parts, owners, size = [], [], 0
+def blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of words between single spaces, the place each block's parts start at, their texts, and which
+    parts go on with a text: (codes, starts, owners, carried). Such a part starts with the last word before it."""
+    parts, owners, carried, size = [], [], [], 0
     for k, t in enumerate(texts):
         words = t.split()
         step = max(1, BLOCK * len(words) // max(len(t), 1)) if len(t) > BLOCK else len(words) or 1
         for i in range(0, len(words), step):
-            part = " ".join(words[i:i + step])
+            part = " ".join(words[max(i - 1, 0):i + step])
             if size and size + len(part) > BLOCK:
-                yield _codes(parts, owners)
-                parts, owners, size = [], [], 0
+                yield _codes(parts, owners, carried)
+                parts, owners, carried, size = [], [], [], 0
             parts.append(part)
             owners.append(k)
+            carried.append(i > 0)
             size += len(part) + 2
     if parts:
-        yield _codes(parts, owners)
+        yield _codes(parts, owners, carried)
 
 
-def _codes(parts: list[str], owners: list[int]):
+def _codes(parts: list[str], owners: list[int], carried: list[bool]):
     codes = np.frombuffer(("  ".join(["", *parts, ""])[1:-1]).encode("utf-32-le", "replace"), "<u4")
     starts = np.concatenate(([0], np.cumsum([len(p) + 2 for p in parts])[:-1]))
-    return codes, starts, np.array(owners)
+    return codes, starts, np.array(owners), np.array(carried)
 
 
-def features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, part) of every feature of a block; ``starts`` are the parts' leading spaces."""
+def features(codes: np.ndarray, starts: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, part) of every feature of a block; ``starts`` are the parts' leading spaces. Of a ``carried`` part's
+    first word only the pair with the next one counts."""
     n = len(codes)
     space = codes == 32
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * _power(_BASE, n), dtype=np.uint64)))
@@ -85,7 +88,12 @@ def features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     word = np.flatnonzero(np.diff(edge) > 1)
     first, last = edge[word] + 1, edge[word + 1]
     h = (prefix[last] - prefix[first]) * back[first]
-    out, of = [_bucket(h, 1)], [part[first]]
+    counted = np.ones(n, bool)
+    if carried.any():
+        for a, b in zip(first[known := np.isin(first, starts[carried] + 1)], last[known]):
+            counted[a - 1:b] = False
+    new = counted[first]
+    out, of = [_bucket(h[new], 1)], [part[first[new]]]
     # A pair's hash is the difference of its words' hashes, so all repeats of a word share one bucket.
     near = np.flatnonzero(part[first[1:]] == part[first[:-1]])
     out.append(_bucket(h[near + 1] - h[near], 2))
@@ -96,6 +104,7 @@ def features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
             continue
         # No space but at either end, and not two ends of nothing.
         ok = np.flatnonzero(inside[k - 2:n - 1] == inside[:n - k + 1]) if k > 2 else np.flatnonzero(~(space[:-1] & space[1:]))
+        ok = ok[counted[ok]]
         out.append(_bucket((prefix[ok + k] - prefix[ok]) * back[ok], 2 + k))
         of.append(part[ok])
     return np.concatenate(out), np.concatenate(of)
@@ -103,8 +112,8 @@ def features(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def score_texts(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    for codes, starts, owners in blocks(texts):
-        bucket, part = features(codes, starts)
+    for codes, starts, owners, carried in blocks(texts):
+        bucket, part = features(codes, starts, carried)
         total += np.bincount(owners[part], weight[bucket], len(texts))
         count += np.bincount(owners[part], minlength=len(texts))
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
@@ -161,22 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
               .select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
               .orderBy(F.md5(F.col("_id").cast("string")), "_id", "_label").limit(max_rows))
     chosen = stored(chosen, "quality-sample")
-    sample = docs.join(F.broadcast(chosen), F.col(key) == F.col("_id")).select("_id", "_label", text_of(docs, text).alias("_text"))
+    sample = docs.select(F.col(key).cast("long").alias("_id"), text_of(docs, text).alias("_text"))
+    sample = sample.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, n = [], []
             for t in b.column(2).to_pylist():
-                found = [features(codes, starts)[0] for codes, starts, _ in blocks([t])]
+                found = [features(codes, starts, carried)[0] for codes, starts, _, carried in blocks([t])]
                 u, c = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
                 at.append(u.astype("<i4").tobytes())
                 n.append(c.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())],
                                              names=["_id", "_label", "buckets", "counts"])
 
-    # One row per sampled id and label, so repeated rows of an id don't pass the bound.
-    counted = stored(sample.mapInArrow(count, "_id long, _label int, buckets binary, counts binary")
-                     .dropDuplicates(["_id", "_label"]), "quality-features")
+    # One row per sampled id and label, so repeated rows of an id don't pass the bound; of several texts the smallest features.
+    counted = stored(sample.mapInArrow(count, "_id long, _label int, buckets binary, counts binary").groupBy("_id", "_label")
+                     .agg(F.min(F.struct("buckets", "counts")).alias("f")).select("_id", "_label", "f.*"), "quality-features")
 
     def learn(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["_id", "_label"])
@@ -206,8 +216,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
-    """``docs`` whose score reaches ``threshold``."""
-    return score(docs, fit(docs, labels, **params)).where(F.col("_score") >= threshold).drop("_score")
+    """``docs`` whose score reaches ``threshold``; columns of any name stay."""
+    text = params.get("text", "text")
+    rows = docs.select(F.struct(*docs.columns).alias("_record"), F.col(text).alias("text"))
+    return score(rows, fit(docs, labels, **params)).where(F.col("_score") >= threshold).select("_record.*")
 
 
 def op4_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
