@@ -5,7 +5,7 @@ a hot source never meets in one task). A source's target is its weight's part
 of the budget, at most ``max_repeat`` times its size; the excess goes to the
 others by weight until none is above. Every document is then emitted
 ``floor(rate)`` times plus once more with probability ``rate - floor(rate)``,
-decided by a hash of its id, so reruns agree. Built-in functions only.
+decided by a hash of its id, text and number among equal rows, so reruns agree. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.llm.common import ranked, small, stored
+from herdlens.llm.common import ranked, small, stored, text_of
 
 #: Runs of anything but ASCII white space.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -60,44 +60,70 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
                       F.when(capped, cap).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_repeat: float = 2.0,
-        seed: str = "mix", broadcast_sources: int = 100_000) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies`` (how often each row goes in).
+def _numbered(rows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` (id, print, ..) with ``number``: a running number from 0 among rows equal in id and print.
 
-    Null text has size 0; a null source is a source of its own; repeated rows
-    with one id share their decision; an empty table gives an empty table.
-    The per-source table is broadcast up to ``broadcast_sources`` counted rows;
-    beyond that it is joined, where AQE splits a hot source.
+    Only rows that have an equal are ranked, by range partitions, so a hot id
+    meets in no task.
     """
-    sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    targets = stored(source_targets(sizes, weights, budget_share, max_repeat), "mix-targets")
-    t = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"),
-                       F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0,
-                  F.least(F.col("_target") / F.col("_source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
-    out = docs.withColumn("_size", word_count(F.col(text)))
-    out = out.join(small(t, targets.count(), broadcast_sources), F.col(source).eqNullSafe(F.col("_source")))
-    whole = F.floor(F.col("_rate"))
-    return (out.withColumn("_rate", rate)
-            .withColumn("_copies", whole + F.when(hash_unit(F.col(key), seed) < F.col("_rate") - whole, 1).otherwise(0))
-            .drop("_source", "_rate"))
-
-
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each row of ``mix``'s result as often as it goes in, without the helper columns."""
-    rows = mixed.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.drop("_copy", "_copies", "_size", "_source_size", "_target")
+    keys = rows.groupBy("id", "print").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("id").alias("_id"), F.col("print").alias("_print"))
+    again = stored(keys, "mix-repeated")
+    n = again.count()
+    if n == 0:
+        return rows.withColumn("number", F.lit(0).cast("long"))
+    same = rows["id"].eqNullSafe(again["_id"]) & (rows["print"] == again["_print"])
+    side = small(again, n, broadcast_rows)
+    placed = stored(ranked(rows.join(side, same, "left_semi"), [F.col("id"), F.col("print")], "mix-rows"), "mix-placed")
+    first = placed.groupBy(F.col("id").alias("_id"), F.col("print").alias("_print")).agg(F.min("position").alias("_first"))
+    first = small(first, n, broadcast_rows)
+    placed = placed.join(first, placed["id"].eqNullSafe(first["_id"]) & (placed["print"] == first["_print"]))
+    placed = placed.withColumn("number", F.col("position") - F.col("_first")).select(*rows.columns, "number")
+    return rows.join(side, same, "left_anti").withColumn("number", F.lit(0).cast("long")).unionByName(placed)
+
+
+def drawn(rows: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget_share: float = 1.5, max_repeat: float = 2.0,
+          seed: str = "mix", broadcast_rows: int = 100_000) -> DataFrame:
+    """``rows`` (id, print, source, size, ..) with ``source_size``, ``target`` and ``copies`` (how often each goes in).
+
+    ``print`` identifies a text. A null source is a source of its own. Every row
+    draws for itself, by its id, its text and a running number among equal rows,
+    so a source of one id comes near its target too and reruns agree. The
+    per-source table is broadcast up to ``broadcast_rows`` counted rows; beyond
+    that it is joined, where AQE splits a hot source.
+    """
+    targets = stored(source_targets(rows.select("source", "size"), weights, budget_share, max_repeat), "mix-targets")
+    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(0.0)
+    out = _numbered(rows, broadcast_rows)
+    out = out.join(small(t, targets.count(), broadcast_rows), F.col("source").eqNullSafe(F.col("_source"))).withColumn("rate", rate)
+    whole = F.floor("rate")
+    draw = hash_unit(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "print", "number"), seed)
+    return (out.withColumn("copies", whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0))
+            .select(*rows.columns, "source_size", "target", "copies"))
+
+
+def sized(docs: DataFrame, key: str, text: str, source: str) -> list[Column]:
+    """id, print, source and size of a document; a null text has size 0."""
+    return [F.col(key).cast("long").alias("id"), F.md5(F.encode(text_of(docs, text), "utf-8")).alias("print"), F.col(source).cast("string").alias("source"),
+            word_count(F.col(text)).alias("size")]
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **params) -> DataFrame:
+    """Each row of ``docs`` as often as it goes into the mix; columns of any name stay. An empty table gives an empty table."""
+    rows = docs.select(*sized(docs, key, text, source), F.struct(*docs.columns).alias("record"))
+    rows = drawn(rows, **params).where(F.col("copies") > 0)
+    return rows.select("record", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("record.*")
 
 
 def op6_query(docs: DataFrame) -> DataFrame:
-    m = mix(docs.select("doc_id", "source", "text"))
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                    F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    rows = stored(docs.select(*sized(docs, "doc_id", "text", "source")), "mix-sizes")
+    out = drawn(rows)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS print,
+        row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS number, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 num AS (SELECT source, source_size,
           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight FROM per),
@@ -109,7 +135,7 @@ pick AS (SELECT arg_min(level, ratio) AS level FROM lev WHERE level < ratio),
 t AS (SELECT source, source_size, CASE WHEN weight * level >= cap THEN cap ELSE weight * level END AS target FROM run, pick),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0::DOUBLE) ELSE 0.0 END AS rate,
-        CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
+        CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.print || ':' || d.number), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
