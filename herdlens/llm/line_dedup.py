@@ -268,6 +268,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
             .select(*inner.columns))
 
 
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
+    """``docs`` with the lines that stay as their text; the other columns, of any name, are as they were."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct(*docs.columns).alias("record"))
+    out = dedup_lines(rows, **params)
+    return out.select(*[(F.col("text") if c == text else F.col("record").getField(c)).alias(c) for c in docs.columns])
+
+
 def op8_query(docs: DataFrame) -> DataFrame:
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),

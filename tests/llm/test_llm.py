@@ -143,6 +143,29 @@ def test_top_k_ties_and_odd_rows(spark):
     assert topk.op2_query(df.where("vec_id = 0")).count() == 0
 
 
+def test_top_k_beside_a_hot_id_keeps_its_cutoff(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.standard_normal((2000, 16)))]
+    top = (2 * np.ones(16)).tolist()
+    hot = rows + [(7, top)] * 300 + [(11, [float(x) + k / 100 for x in top]) for k in range(300)]
+    df = spark.createDataFrame(hot, "vec_id long, embedding array<double>").repartition(4)
+    sent = []
+    real = topk.stored
+    monkeypatch.setattr(topk, "stored", lambda t, purpose: (sent.append(real(t, purpose)) if purpose == "topk-first" else None) or real(t, purpose))
+    got = defaultdict(list)
+    for r in topk.op2_query(df).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    first = Counter(r.query_id for r in sent[0].collect())
+    assert len(first) == 40 and min(first.values()) >= 5  # five ids and more, so every query has a cutoff
+    best = {}
+    for i, v in hot:
+        best.setdefault(i, set()).add(tuple(int(np.floor(256 * x)) for x in v))
+    for q in range(0, 2000, 50):
+        (own,) = best[q]
+        want = sorted((-max(sum(a * b for a, b in zip(own, v)) for v in vs), i) for i, vs in best.items() if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+
+
 def test_top_k_blocks_and_lists(spark):
     table = spark.read.parquet(f"{SF_ORACLE}/embeddings.parquet")
     rows = table.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))
@@ -274,6 +297,36 @@ def test_anchors_of_an_article_stay():
     assert html_extract.extract(page) == want and html_extract.extract(page, None, learned) == want
 
 
+def test_marked_elements_hold_the_scan():
+    comments = "".join(f"<p>Reader {k} says a lot of words, more than the article has.</p>" for k in range(5))
+    assert html_extract.extract(f"<article><h1>Head</h1><p>Short text.</p></article><div class=thread>{comments}</div>") == "Head\nShort text."
+    two = "<article><p>First part here</p></article><p>Text between the two</p><article><p>Second part there</p></article>"
+    assert html_extract.extract(two) == "First part here\nSecond part there"
+    assert html_extract.extract("<main></main><p>All else is here</p>") == "All else is here"
+
+
+def test_boilerplate_is_free_to_cross():
+    page = "<body><h1>A title of five words</h1><p>One two three four</p><div class=ad><b>Buy</b> now, many words to buy things with</div><p>Five six</p><ul><li>Seven and more</li></ul><p>Eight nine ten</p></body>"
+    assert html_extract.extract(page) == "A title of five words\nOne two three four\nFive six\nSeven and more\nEight nine ten"
+
+
+def test_names_inside_an_article_must_agree():
+    page = """<article><p>Start</p><div class="legal-text">Legal text</div><div class="search-algorithms">Search</div><div class="social-history">History</div>
+    <p>Sum <math><mi>x</mi></math></p><div class="reader-feedback">Fine piece</div><div class="ad-slot wide">Buy</div><div class="newsletter-signup">Mail</div>
+    <div class="related-posts">More</div></article>"""
+    assert html_extract.extract(page) == "Start\nLegal text\nSearch\nHistory\nSum x"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<p>" * 20_000 + "</b>" * 20_000, "<b>" * 20_000 + "<p>" + "</b>" * 20_000,
+                                  "<div>" * 9_000 + "<article></article>" * 9_000])
+def test_unclosed_tags_take_linear_time(page):
+    import time
+
+    t = time.process_time()
+    assert html_extract.extract(page + "<p>some words here</p>") == "some words here"
+    assert time.process_time() - t < 2
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -288,16 +341,16 @@ def test_quality_held_out(spark):
 
 def test_quality_features_match_plain_python():
     texts = ["Ab cd  cd", "", "x", "one two"]
-    for codes, starts, owners in quality.blocks(texts):
-        bucket, part = quality.features(codes, starts)
+    for codes, starts, owners, carried in quality.blocks(texts):
+        bucket, part = quality.features(codes, starts, carried)
         for n, k in enumerate(owners):
             words = texts[k].split()
             padded = " " + " ".join(words) + " "
             grams = sum(1 for g in quality.GRAMS for i in range(len(padded) - g + 1) if " " not in padded[i + 1:i + g - 1]
                         and padded[i:i + g].strip() and len(padded[i:i + g]) == g)
             assert (part == n).sum() == len(words) + max(0, len(words) - 1) + grams
-    one = [b for c, s, _ in quality.blocks(["the cat"]) for b in quality.features(c, s)[0]]
-    two = [b for c, s, _ in quality.blocks(["zzz", "the cat"]) for b in quality.features(c, s)[0][quality.features(c, s)[1] == 1]]
+    one = [b for c, s, _, d in quality.blocks(["the cat"]) for b in quality.features(c, s, d)[0]]
+    two = [b for c, s, _, d in quality.blocks(["zzz", "the cat"]) for b in quality.features(c, s, d)[0][quality.features(c, s, d)[1] == 1]]
     assert sorted(one) == sorted(two)
 
 
@@ -307,8 +360,9 @@ def test_long_texts_in_blocks_score_alike(monkeypatch):
     text = " ".join("w" * int(n) for n in rng.integers(1, 9, 3000))
     whole = quality.score_texts([text], weight, 0.1)
     monkeypatch.setattr(quality, "BLOCK", 1000)
-    # Only the word pairs across a cut are missing.
-    assert abs(quality.score_texts([text], weight, 0.1) - whole) < 0.01
+    assert abs(quality.score_texts([text], weight, 0.1) - whole) < 1e-12
+    monkeypatch.setattr(quality, "BLOCK", 7)  # cuts at nearly every word
+    assert abs(quality.score_texts(["ab", text, "", "c d"], weight, 0.1)[1] - whole) < 1e-12
 
 
 def test_quality_odd_rows(spark, odd):
@@ -319,6 +373,10 @@ def test_quality_odd_rows(spark, odd):
     assert {r["score"] for r in none} == {0.5}
     assert quality.op4_query(odd.limit(0), labels).count() == 0
     assert quality.keep_good(odd, labels).columns == odd.columns
+    # Of several texts of a labelled id the same one is learned from whatever the order.
+    many = spark.createDataFrame([(4, f"text {k} of many", "a") for k in range(9)] + [(6, "other words", "a")], "doc_id long, text string, source string")
+    a, b = (quality.fit(many.repartition(n), labels)[0] for n in (1, 7))
+    assert (a == b).all()
 
 
 # ---------------------------------------------------------------- mixing
@@ -349,7 +407,7 @@ def test_mix_targets_and_copies(spark, odd):
     got = {(r["source_size"], round(r["target"], 6)) for r in m}
     assert got == {(sizes[s], round(per[s], 6)) for s in order}
     assert rows_of(mixing.op6_query(odd.limit(0))) == []
-    assert mixing.emit_copies(mixing.mix(odd)).columns == odd.columns
+    assert mixing.mixed(odd).columns == odd.columns
 
 
 def test_mix_comes_near_targets_and_agrees(spark):
@@ -361,6 +419,36 @@ def test_mix_comes_near_targets_and_agrees(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, a.collect()))
 
 
+def test_mix_draws_for_every_row(spark):
+    rows = [(5, f"t{k} one two three", "hot") for k in range(600)] + [(None, "equal rows of three", "null") for _ in range(900)] + [(k, "a b c d", "z") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (mixing.op6_query(docs.repartition(n)) for n in (2, 7))
+    assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+    for r in a.groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken / r.target - 1) < 0.1
+    small = mixing.drawn(docs.select(*mixing.sized(docs, "doc_id", "text", "source")), broadcast_rows=0)
+    assert Counter((r.id, r["size"], r.copies * r["size"]) for r in small.collect()) == Counter((r.doc_id, r["size"], r.taken) for r in a.collect())
+
+
+HELPERS = ("_key _n_lines _n_dropped _source _size _copies _rate _score _id _label _text record _record print number copies rate target source_size "
+           "id size title buckets counts row rows _first _print").split()
+
+
+def test_helper_names_as_extra_columns_stay(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in HELPERS})
+    for n, f in P.STAGES[:-1]:
+        out = f(spark, wide, SF_SMALL)
+        rows = out.collect()
+        assert out.columns == wide.columns and rows
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in HELPERS), n
+        plain = f(spark, docs, SF_SMALL).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in plain), n
+    assert P.STAGES[-1][1](spark, wide, SF_SMALL).count()
+
+
 # ---------------------------------------------------------------- chat
 
 CHAT = "conv_id long, turn long, role string, text string"
