@@ -286,7 +286,8 @@ def svm_linear_check(spark, sf_dir):
     return _checked(ml.fit_classifier(train, _SVM_FEATURES, [], "target", ml.linear_svm(), scale=True), train, test, "target")
 
 
-_RING = (F.pow((F.col("bp_systolic") - 120) / 20, 2) + F.pow((F.col("bp_diastolic") - 72) / 15, 2)) > 1.2
+def _ring():
+    return (F.pow((F.col("bp_systolic") - 120) / 20, 2) + F.pow((F.col("bp_diastolic") - 72) / 15, 2)) > 1.2
 
 
 def _fit_svm(train: DataFrame, rbf: bool) -> ml.FittedClassifier:
@@ -299,7 +300,7 @@ def _fit_svm(train: DataFrame, rbf: bool) -> ml.FittedClassifier:
     "true AS beats_majority", "true AS beats_majority, true AS beats_linear, true AS right_in_80_percent"))
 def svm_rbf_check(spark, sf_dir):
     """The RBF SVM on a ring-shaped label, which no linear one can tell."""
-    f = stored(_comparison_split(spark, sf_dir).withColumn("target", F.when(_RING, "out").otherwise("in")), "svm-rbf-check")
+    f = stored(_comparison_split(spark, sf_dir).withColumn("target", F.when(_ring(), "out").otherwise("in")), "svm-rbf-check")
     train, test = f.where("split = 'train'"), f.where("split = 'test'")
     model = _fit_svm(train, True)
     a, b = (ml.accuracy(m.predict(test, ["target"]), "predicted_label", "target").select("accuracy_pct").first()[0] for m in (model, _fit_svm(train, False)))
