@@ -16,8 +16,12 @@ from herdlens import fixed_values as FV
 from herdlens.functions.bp import bp_int_pair_ok, bp_int_part, bp_value, systolic_for_training
 from herdlens.functions.numbers import to_double, to_long, trunc_to_long
 from herdlens.functions.text import null_or_nan_text_to_empty
+from herdlens.operators import sketches
 from herdlens.sources.tables import stored
 
+#: Distinct (column, value) pairs up to which one window per column sums up the counts.
+SMALL_PAIRS = 1_000_000
+
 
 def blank_normalise(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Null or text 'nan' (any case) -> '' ; every value becomes text."""
@@ -48,47 +52,55 @@ def medians_of(df: DataFrame, cols: Sequence[str], strategy: str = "exact",
                accuracy: int = 100_000) -> dict[str, float | None]:
     """Median of each numeric column, nulls and NaN left out; null where nothing is left.
 
-    ``exact``: one pass counts the distinct (column, value) pairs, which are
-    range-partitioned and stored in order. Partition sums (as many rows as
-    partitions) tell which partition holds the middle; only that one is summed
-    up value by value, so no task sees a column's whole set of values.
-    ``approx``: ``percentile_approx`` in one pass.
+    ``exact``: one pass counts the distinct (column, value) pairs and stores
+    them. Up to ``SMALL_PAIRS`` of them are summed up by one window per column.
+    More are range-partitioned and stored in order: partition sums (as many
+    rows as partitions) tell which partition holds the middle, and only that
+    one is summed up, so no task sees a column's whole set of values.
+    ``approx``: ``percentile_approx`` in one pass. ``sketch``: a mergeable
+    quantile sketch in one pass (see ``sketches``).
     """
     if strategy == "approx":
         row = df.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), 0.5, accuracy).alias(c) for c in cols]).first()
         return {c: None if row[c] is None else float(row[c]) for c in cols}
+    if strategy == "sketch":
+        return sketches.medians(sketches.sketched(df, cols), cols)
     if strategy != "exact":
         raise ValueError(strategy)
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
-    counted = (df.select(F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v"))
-               .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")))
+    counted = stored(df.select(F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+                     .groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")), "median-counts")
+    if counted.count() <= SMALL_PAIRS:
+        total = F.sum("n").over(Window.partitionBy("name"))
+        found = counted.withColumns({"upto": F.sum("n").over(Window.partitionBy("name").orderBy("v")),
+                                     "low": F.floor((total - 1) / 2), "high": F.floor(total / 2)})
+    else:
+        found = _middle_partitions(counted, cols)
+
+    def holds(rank: str) -> Column:
+        return (F.col(rank) < F.col("upto")) & (F.col(rank) >= F.col("upto") - F.col("n"))
+
+    rows = (found.where(holds("low") | holds("high")).groupBy("name")
+            .agg(((F.min("v") + F.max("v")) / 2).alias("median")).collect())
+    return dict.fromkeys(cols) | {r["name"]: r["median"] for r in rows}
+
+
+def _middle_partitions(counted: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of ``counted`` (name, v, n) near each column's middle, with the rows up to each and both middle ranks."""
     t = stored(counted.repartitionByRange("name", "v").sortWithinPartitions("name", "v")
                .withColumn("part", F.shiftright(F.monotonically_increasing_id(), 33)), "medians")
     parts = t.groupBy("name", "part").agg(F.sum("n").alias("n")).orderBy("name", "part").collect()
-    middle = {}  # column -> (first and second middle rank)
-    wanted = []  # (column, partition, rows before it)
+    wanted = []  # (column, partition, rows before it, first and second middle rank)
     for c in cols:
         total, before = sum(p["n"] for p in parts if p["name"] == c), 0
-        if not total:
-            continue
-        middle[c] = ((total - 1) // 2, total // 2)
+        middle = ((total - 1) // 2, total // 2)
         for p in (p for p in parts if p["name"] == c):
-            if any(before <= r < before + p["n"] for r in middle[c]):
-                wanted.append((c, p["part"], before))
+            if any(before <= r < before + p["n"] for r in middle):
+                wanted.append((c, p["part"], before, *middle))
             before += p["n"]
-    if not wanted:
-        return dict.fromkeys(cols)
-    spark = df.sparkSession
-    at = spark.createDataFrame([(c, p, b, *middle[c]) for c, p, b in wanted], "name string, part long, before long, low long, high long")
+    at = counted.sparkSession.createDataFrame(wanted, "name string, part long, before long, low long, high long")
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("name", "part").orderBy("v"))
-    found = t.join(F.broadcast(at), ["name", "part"]).withColumn("upto", upto)
-
-    def holds(rank: str) -> Column:
-        return (F.col(rank) < F.col("upto")) & (F.col(rank) >= F.col("upto") - F.col("n"))
-
-    rows = (found.where(holds("low") | holds("high")).groupBy("name")
-            .agg(((F.min("v") + F.max("v")) / 2).alias("median")).collect())
-    return dict.fromkeys(cols) | {r["name"]: r["median"] for r in rows}
+    return t.join(F.broadcast(at), ["name", "part"]).withColumn("upto", upto)
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], strategy: str = "exact",

@@ -31,6 +31,12 @@ def with_input_order(df: DataFrame, out: str = ORDER_COL) -> DataFrame:
                                        F.col("_metadata.row_index").alias("r")))
 
 
+def first_records(records: DataFrame, key: str, order: str = ORDER_COL) -> DataFrame:
+    """The first record of each key, without its order column."""
+    first = Window.partitionBy(F.col(key).cast("string")).orderBy(order)
+    return records.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n", order)
+
+
 def lookup(requests: DataFrame, request_key: str, records: DataFrame, record_key: str,
            order: str | None = ORDER_COL, how: str = "inner", spread: int = 16) -> DataFrame:
     """Requests joined to the first record whose key text equals the request text.

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
-from herdlens.sources.tables import ranked, shared_dir
+from herdlens.sources.tables import ranked, shared_dir, stored
 
 SEED = 42
 #: Training rows below which another task costs more than it brings.
@@ -90,22 +90,28 @@ def one_hot_long(df: DataFrame, id_cols: Sequence[str], cols: Sequence[str],
         "value", "category")
 
 
-def label_codes(df: DataFrame, c: str) -> DataFrame:
-    """Vocabulary (value, code) of a column: code = rank in sorted value order.
+def label_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Vocabularies (column_name, value, code) of text columns: code = rank in the column's sorted value order.
 
     Nulls are encoded as the text 'nan' (they are stringified first). The
-    distinct values are ranked by range partitions with offsets, so a large
-    vocabulary is never sorted by one task.
+    distinct pairs of all columns are ranked together by range partitions with
+    offsets, so a large vocabulary is never sorted by one task; a column's codes
+    count from its first place.
     """
-    vocab = df.select(F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("value")).distinct()
-    return ranked(vocab, [F.col("value")], f"codes-{c}", "code")
+    vocab = stack_columns(df, [], cols, null_as="nan").distinct()
+    placed = stored(ranked(vocab, [F.col("column_name"), F.col("value")], "codes", "place"), "codes")
+    # As many rows as there are columns.
+    first = placed.groupBy("column_name").agg(F.min("place").alias("first"))
+    return (placed.join(F.broadcast(first), "column_name")
+            .select("column_name", "value", (F.col("place") - F.col("first")).alias("code")))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each text column by its code (one vocabulary join per column)."""
+    """Replace each text column by its code (one vocabulary join per column, of one stored vocabulary)."""
+    codes = label_codes(df, cols)
     out = df
     for c in cols:
-        m = label_codes(df, c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        m = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
         out = (out.withColumn(f"_v_{c}", F.coalesce(F.col(c).cast("string"), F.lit("nan")))
                .join(m, f"_v_{c}", "left").drop(f"_v_{c}", c).withColumnRenamed(f"_c_{c}", c))
     return out

@@ -43,17 +43,31 @@ def csv_header_order(spark, sf_dir):
     return records.read_records_csv(spark, path, _COLS)
 
 
-@query("csv_quoted_text", """
+_QUOTED_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS animal_id, 'He said "' || lang || '", ok' AS name,
- md5(text || chr(10) || '"' || source || '"') AS suggestion_md5 FROM documents""")
-def csv_quoted_text(spark, sf_dir):
-    """Free text with quotes, commas and line breaks through the file and back."""
+ md5(text || chr(10) || '"' || source || '"') AS suggestion_md5 FROM documents"""
+
+
+def _quoted_file(spark, sf_dir) -> str:
     path = scratch_path(spark, "quoted-csv")
     d = views.documents(spark, sf_dir)
     rows = d.select(F.col("doc_id").alias("animal_id"), F.concat(F.lit('He said "'), "lang", F.lit('", ok')).alias("name"),
                     F.concat("text", F.lit('\n"'), "source", F.lit('"')).alias("doctor_suggestion"))
     records.write_records_csv(rows, path, headers=_HEADERS)
-    back = records.read_records_csv(spark, path)
+    return path
+
+
+@query("csv_quoted_text", _QUOTED_SQL)
+def csv_quoted_text(spark, sf_dir):
+    """Free text with quotes, commas and line breaks through the file and back."""
+    back = records.read_records_csv(spark, _quoted_file(spark, sf_dir))
+    return back.select("animal_id", "name", F.md5("doctor_suggestion").alias("suggestion_md5"))
+
+
+@query("csv_parallel_scan", _QUOTED_SQL)
+def csv_parallel_scan(spark, sf_dir):
+    """The same file, read by as many tasks as it has splits."""
+    back = records.read_records_csv(spark, _quoted_file(spark, sf_dir), parallel=True)
     return back.select("animal_id", "name", F.md5("doctor_suggestion").alias("suggestion_md5"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herdlens.plans.q_rules import _LABEL_RULES, _REQ, _RULES26
-from herdlens.operators import clean, ml, updates
+from herdlens.operators import clean, filters, ml, sketches, updates
 from herdlens.plans.q_updates import _MERGE_SQL, _OUT, PUSH_SQL
 from herdlens.plans import sql_parts as S
 from herdlens.plans.q_clean import _TRAIN
@@ -13,7 +13,7 @@ from herdlens.plans.q_ml import fit_feature_model
 from herdlens.plans.registry import query
 from herdlens.sources import views
 from herdlens.sources.tables import scratch_path
-from herdlens.streaming import intake, vaccination_state
+from herdlens.streaming import intake, scan_lookup, vaccination_state
 from herdlens import fixed_values as FV
 
 
@@ -90,3 +90,43 @@ def stream_record_state(spark, sf_dir):
     base = views.dirty_animal(spark, sf_dir, input_order=True).drop("vaccination_1")
     merged = updates.record_update_merge(base, vaccination_state.read_edit_state(spark, ckpt))
     return clean.null_to_empty(merged.select(*_OUT), [c for c in _OUT if c != "animal_id"])
+
+
+@query("stream_scan_lookup", S.with_(S.ANIMAL, S.DIRTY, S.SCANS) + f"""
+SELECT s.scan_id, s.id AS extracted_id, a.animal_id, a.name,
+ CASE WHEN s.id IS NULL THEN {S.q(FV.NO_ID_STATUS)} WHEN a.animal_id IS NULL THEN 'No record found for Animal ID ' || s.id END AS message
+FROM (SELECT scan_id, nullif(regexp_extract(scanned_text, '[0-9]+', 0), '') AS id FROM scans) s
+LEFT JOIN dirty a ON a.copy_no = 0 AND CAST(a.animal_id AS VARCHAR) = s.id""")
+def stream_scan_lookup(spark, sf_dir):
+    """Scans as a stream of files: those with a record and those without, from both sinks."""
+    scans = views.scans(spark, sf_dir)
+    src, found, missing, ckpt = (scratch_path(spark, p) for p in ("scan-src", "scan-found", "scan-missing", "scan-ckpt"))
+    files = _as_files(scans, src, F.col("scan_id"))
+    rec = views.dirty_animal(spark, sf_dir, input_order=True).select("animal_id", "name", filters.ORDER_COL)
+    scan_lookup.run_scan_stream(spark, src, scans.schema, rec, "animal_id", found, missing, ckpt, files_per_trigger=_third(files))
+    out = spark.read.parquet(found).unionByName(spark.read.parquet(missing), allowMissingColumns=True)
+    return out.select("scan_id", "extracted_id", "animal_id", "name", "message")
+
+
+def _numeric(records):
+    return clean.bp_split(clean.numeric_coerce(records, ["heart_rate"]))
+
+
+@query("stream_median_sketches", S.with_(S.ANIMAL) + " UNION ALL ".join(
+    f"SELECT {S.q(c)} AS column_name, count({e}) AS n, true AS near_median FROM animal"
+    for c, e in zip(FV.NUMERIC_FEATURES, [S.num("heart_rate"), *(S.num(f"split_part(bp, '/', {i})") for i in (1, 2))])))
+def stream_median_sketches(spark, sf_dir):
+    """Medians that follow a stream of record files: one sketch a file, merged; their exact ranks are near the middle."""
+    records = views.animal(spark, sf_dir).select("animal_id", "bp", "heart_rate")
+    src, out, ckpt = (scratch_path(spark, p) for p in ("median-src", "median-sketches", "median-ckpt"))
+    files = _as_files(records, src, F.col("animal_id"))
+    cols = FV.NUMERIC_FEATURES
+    sketches.run_sketch_stream(spark, src, records.schema, _numeric, cols, out, ckpt, _third(files))
+    medians = sketches.quantiles(sketches.read_sketches(spark, out), cols)
+    values = ml.stack_columns(_numeric(records), [], cols).where(F.col("value").isNotNull())
+    # Three rows of medians.
+    ranks = values.join(F.broadcast(medians), "column_name").groupBy("column_name", "n").agg(
+        F.avg((F.col("value").cast("double") < F.col("quantile")).cast("int")).alias("below"),
+        F.avg((F.col("value").cast("double") <= F.col("quantile")).cast("int")).alias("upto"))
+    near = (F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)
+    return ranks.select("column_name", "n", near.alias("near_median"))

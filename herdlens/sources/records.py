@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from herdlens.fixed_values import PANDAS_NA_TOKENS, RECORD_HEADERS
+from herdlens.sources.split_csv import read_split_csv
 
 
 # --- Hadoop file-system helpers (driver-side metadata calls only) ---
@@ -46,20 +47,22 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
 
 def read_records_csv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None,
                      na_tokens: Sequence[str] = PANDAS_NA_TOKENS, names: dict[str, str] | None = None,
-                     required: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
+                     required: Sequence[str] = (), multi_line: bool = True, parallel: bool = False) -> DataFrame:
     """Header CSV read by column name, every column as text; NA tokens and '' -> null.
 
     Quotes inside quoted text are doubled, and with ``multi_line`` quoted text
-    may hold line breaks; a file is then read by one task, so Parquet is the
-    working format for large tables. ``names`` maps header names to column
+    may hold line breaks; a file is then read by one task, unless ``parallel``
+    finds the records by their quotes (``split_csv``: quotes must pair up as in
+    RFC 4180, and a file's first line is its header). ``names`` maps header names to column
     names (default: the record file's own headers). Columns in ``required``
     must be in the header (S3); other ``columns`` it lacks come back null.
     All files of a folder share the first one's header.
     """
     path = paths if isinstance(paths, str) else first_existing(spark, list(paths))
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path))
+    options = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"'}
+    df = spark.read.options(**options).option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(path)
+    if parallel:
+        df = read_split_csv(spark, path, df.columns, options)
     known = RECORD_HEADERS if names is None else names
     df = df.select(*[F.col(f"`{c}`").alias(known.get(c, c)) for c in df.columns])
     require_columns(df, required)
