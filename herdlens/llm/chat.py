@@ -63,11 +63,14 @@ def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     rows = rows.select(place.alias("conv"), F.col(turn).cast("long").alias("turn"), "_kinds",
                        F.transform("_lines", lambda x: _plain(F.regexp_replace(x, _QUOTE, ""))).alias("_plain"))
     plain, kinds = F.col("_plain"), F.col("_kinds")
-    said = rows.select("conv", "turn", F.explode(_units(plain, kinds, F.lit(0))).alias("unit"))
-    first = stored(said.groupBy("conv", "unit").agg(F.min("turn").alias("origin")), "chat-said")
     at = F.explode(F.array_distinct(F.filter(kinds, lambda d: d > 0)))
-    quoted = rows.withColumn("depth", at).select("conv", "turn", "depth", F.explode(_units(plain, kinds, F.col("depth"))).alias("unit"))
-    linked = stored(quoted, "chat-quoted").join(first, ["conv", "unit"]).where("origin < turn")
+    quoted = stored(rows.withColumn("depth", at).select("conv", "turn", "depth", F.explode(_units(plain, kinds, F.col("depth"))).alias("unit")),
+                    "chat-quoted")
+    # What a conversation without any quote says is linked with nothing.
+    quoting = quoted.select("conv").distinct()
+    said = (rows.join(quoting, "conv", "left_semi").select("conv", "turn", F.explode(_units(plain, kinds, F.lit(0))).alias("unit")))
+    first = stored(said.groupBy("conv", "unit").agg(F.min("turn").alias("origin")), "chat-said")
+    linked = quoted.join(first, ["conv", "unit"]).where("origin < turn")
     votes = linked.groupBy("conv", "turn", "depth", "origin").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct((-F.col("depth")).alias("d"), "n", "origin"))
     return votes.groupBy("conv", "turn").agg(best.alias("b")).select("conv", "turn", F.col("b.origin").alias("parent"))
@@ -122,8 +125,12 @@ l AS (SELECT id, conv_id, turn, pos, ls[pos] AS line, length(regexp_replace(rege
       FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM m)),
 c AS (SELECT *, depth = 0 AND NOT (regexp_matches(line, '{_LEAD}') AND next_depth > 0) AS own FROM l),
 p AS (SELECT id, conv_id, turn, pos, CASE WHEN own THEN 0 ELSE depth END AS depth, {_SQL_PLAIN.format("regexp_replace(line, '^((?:[ \\t]*>)+)', '')")} AS unit FROM c WHERE own OR depth > 0),
-u AS (SELECT id, conv_id, turn, depth, unit FROM p WHERE unit <> ''
-      UNION SELECT id, conv_id, turn, depth, string_agg(unit, ' ' ORDER BY pos) FROM p WHERE unit <> '' GROUP BY id, conv_id, turn, depth),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY id, depth ORDER BY pos) AS passage,
+             CASE WHEN unit <> '' THEN pos - row_number() OVER (PARTITION BY id, depth, unit <> '' ORDER BY pos) END AS paragraph FROM p),
+u AS (SELECT id, conv_id, turn, depth, unit FROM g WHERE unit <> ''
+      UNION SELECT id, conv_id, turn, depth, string_agg(unit, ' ' ORDER BY pos) FROM g WHERE unit <> '' GROUP BY id, conv_id, turn, depth, paragraph
+      UNION SELECT id, conv_id, turn, depth, string_agg(unit, ' ' ORDER BY pos) FROM g WHERE unit <> '' GROUP BY id, conv_id, turn, depth, passage
+      UNION SELECT id, conv_id, turn, depth, string_agg(unit, ' ' ORDER BY pos) FROM g WHERE unit <> '' GROUP BY id, conv_id, turn, depth),
 f AS (SELECT conv_id, unit, min(turn) AS origin FROM u WHERE depth = 0 AND turn IS NOT NULL GROUP BY conv_id, unit),
 v AS (SELECT u.conv_id, u.turn, u.depth, f.origin, count(*) AS n FROM u JOIN f ON u.conv_id IS NOT DISTINCT FROM f.conv_id AND u.unit = f.unit
       WHERE u.depth > 0 AND f.origin < u.turn GROUP BY ALL),

@@ -454,6 +454,51 @@ def test_helper_names_as_extra_columns_stay(spark):
 CHAT = "conv_id long, turn long, role string, text string"
 
 
+def chat_equals_sql(spark, rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    rel = con.execute(chat.OP7_SQL)
+    cols = [d[0] for d in rel.description]
+    ok, msg = check.compare(*check.spark_rows(chat.op7_query(spark.createDataFrame(rows, CHAT))), cols, rel.fetchall())
+    assert ok, msg
+
+
+def test_nested_interleaved_quotes_wrapped_anew_equal_sql(spark):
+    rng = np.random.default_rng(11)
+    words = "one two three four five six seven eight nine ten".split()
+
+    def wrapped(text, width, marks):
+        ws = text.split()
+        return "\n".join(marks + " ".join(ws[i:i + width]) for i in range(0, len(ws), width))
+
+    rows = []
+    for conv in range(12):
+        said = []  # each message's paragraphs, with their depth
+        for turn in range(8):
+            parts = []
+            for _ in range(rng.integers(0, 4) if said else 0):
+                d, text = said[rng.integers(len(said))]
+                if rng.random() < 0.5 and parts:
+                    parts.append((0, " ".join(rng.choice(words, 3))))
+                parts.append((d + 1, text))
+                if rng.random() < 0.3:
+                    parts.append((d + 1, ""))
+            parts.append((0, " ".join(rng.choice(words, rng.integers(2, 14)))))
+            if rng.random() < 0.4:
+                parts += [(0, ""), (0, " ".join(rng.choice(words, 5)))]
+            text = "\n".join(wrapped(t, int(rng.integers(2, 6)), "> " * d) if t else ("> " * d).strip() for d, t in parts)
+            said += [(d, t) for d, t in parts if t and d < 4]
+            rows.append((conv, turn, "ab"[turn % 2], text))
+    # Conversations without a quote beside them.
+    rows += [(100 + i, t, "a", "plain words") for i in range(3) for t in range(3)]
+    chat_equals_sql(spark, rows)
+    linked = [r for r in chat.op7_query(spark.createDataFrame(rows, CHAT)).collect() if r.parent_turn is not None]
+    assert len(linked) > 40 and all(r.conv_id < 100 for r in linked)
+
+
 def test_quotes_are_linked_and_gone(spark):
     rows = [
         (1, 0, "a", "Hello there\nHow are you?"),
@@ -471,15 +516,7 @@ def test_quotes_are_linked_and_gone(spark):
     assert [t for t, _ in sorted(((k[1], r.message_no) for k, r in got.items() if k[0] == 1), key=lambda x: x[1])] == [0, 1, 3, 4, 2, 5]
     assert got[1, 1].text == "Fine thanks." and got[1, 4].text == "Bye" and got[1, 5].text == "ok"
     assert got[None, 1].parent_turn == 0 and got[3, None].parent_turn is None and got[3, 0].text == ""
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    rel = con.execute(chat.OP7_SQL)
-    cols = [d[0] for d in rel.description]
-    ok, msg = check.compare(*check.spark_rows(chat.op7_query(df)), cols, rel.fetchall())
-    assert ok, msg
+    chat_equals_sql(spark, rows)
 
 
 def test_chat_repeated_and_empty(spark):
@@ -501,6 +538,7 @@ def test_interleaved_quotes_wrapped_anew(spark):
         (1, 4, "d", "On Monday, c wrote:\n>> The first passage\n>> is long and goes\n>> over two lines.\n> I agree with it. Very\n> much so.\nGood.\n> I do\n> not.\nBad."),
         (2, 0, "a", "x y"), (2, 1, "b", "> x\n\n> y\nz"), (2, 2, "b", "> x\nbetween\n> other y\nz"),
     ]
+    chat_equals_sql(spark, rows)
     got = {(r.conv_id, r.turn): r for r in chat.op7_query(spark.createDataFrame(rows, CHAT)).collect()}
     assert {k[1]: r.parent_turn for k, r in got.items() if k[0] == 1} == {0: None, 1: None, 2: 0, 3: 0, 4: 2}
     assert {k[1]: r.root_turn for k, r in got.items() if k[0] == 1} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
