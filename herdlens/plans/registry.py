@@ -32,6 +32,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, Registered]:
     # Importing the modules registers their queries.
     from herdlens.plans import (  # noqa: F401
-        q_clean, q_ml, q_refresh, q_reports, q_rules, q_sources, q_streams, q_updates,
+        q_clean, q_encoders, q_ml, q_refresh, q_reports, q_rules, q_sources, q_streams, q_updates,
     )
     return REGISTRY
