@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from herdlens.operators import updates
-from herdlens.sources.tables import stored
+from herdlens.sources.tables import passing_scratch, stored
 
 COPIES, PART, BATCH = "_copies", "_part", "_batch"
 View = Callable[[DataFrame], DataFrame]
@@ -107,10 +107,11 @@ class RefreshedViews:
         if batch < 1:
             raise ValueError("batch 0 is the load")
         keys = edits.select(self.key).unionByName(entries.select(self.key))
-        before = stored(self.before(batch, keys), "refresh-before")
-        after = stored(updates.apply_changes(before, edits, entries, self.key, order_cols).select(*before.columns), "refresh-after")
-        for name, view in self.views.items():
-            self._write(name, batch, view_changes(before, after, view))
+        with passing_scratch():
+            before = stored(self.before(batch, keys), "refresh-before")
+            after = stored(updates.apply_changes(before, edits, entries, self.key, order_cols).select(*before.columns), "refresh-after")
+            for name, view in self.views.items():
+                self._write(name, batch, view_changes(before, after, view))
 
     def compact(self, path: str) -> RefreshedViews:
         """The same state under a new ``path`` as one load, without the batches that led to it."""

@@ -407,10 +407,9 @@ def _combined(spark, sf_dir) -> DataFrame:
         "age_num": F.coalesce(to_double(filters.alias_value(d, FV.AGE_NAMES, "0", zero_falls_through=True)), F.lit(0.0)),
     })
     model = fit_health_model(spark, sf_dir)
-    scored = model.predict(d, ["animal_id", "rule_prediction", "needs_model"])
-    return scored.select("animal_id", "needs_model",
-                         F.when(F.col("needs_model"), F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)))
-                         .otherwise(F.col("rule_prediction")).alias("prediction"))
+    said = F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)).alias("prediction")
+    scored = model.predict(d.where("needs_model"), ["animal_id", "needs_model"]).select("animal_id", "needs_model", said)
+    return scored.unionByName(d.where("NOT needs_model").select("animal_id", "needs_model", F.col("rule_prediction").alias("prediction")))
 
 
 @query("combined_diagnosis")

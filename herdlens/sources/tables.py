@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,20 +57,34 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return path
 
 
+def _delete(path: str, spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and spark.sparkContext._gateway is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Delete this program's scratch folders; what a stopped session left stays for the cluster's cleaner."""
     while _scratch:
-        path, spark = _scratch.popitem()
-        if spark.sparkContext._jsc is None or spark.sparkContext._gateway is None:
-            continue
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_scratch.popitem())
         except Exception:  # the JVM may be gone already
             return
 
 
+@contextmanager
+def passing_scratch() -> Iterator[None]:
+    """Delete, on leaving, the scratch folders made inside: around steps whose result is written to a path from outside.
+
+    On an error they stay until the program ends.
+    """
+    held = set(_scratch)
+    yield
+    for path in set(_scratch) - held:
+        _delete(path, _scratch.pop(path))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends here."""
     path = scratch_path(df.sparkSession, purpose)

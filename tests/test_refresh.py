@@ -1,5 +1,6 @@
 """Views kept up to date by differences equal views made anew."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from herdlens.operators import updates
 from herdlens.operators.refresh import BATCH, PART, RefreshedViews, view_changes
+from herdlens.sources.tables import passing_scratch, scratch_path, stored
 
 SCHEMA = ("animal_id long, name string, symptom_1 string, symptom_2 string, doctor_suggestion string, special_care string, "
           "vaccination_1 string, vaccination_2 string, _input_order long")
@@ -63,6 +65,18 @@ def test_refresh_equals_rebuild_after_every_batch(spark, kept, tmp_path):
         assert bag(small.rows(name)) == bag(view(full)), name
 
 
+def test_passing_scratch_is_gone_and_the_rest_stays(spark):
+    stays = stored(spark.range(3), "stays")
+    out = scratch_path(spark, "result")
+    with passing_scratch():
+        gone = stored(stays.where("id > 0"), "gone")
+        path = gone.inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path)
+        gone.write.parquet(out)
+    assert not os.path.exists(path)
+    assert stays.count() == 3 and spark.read.parquet(out).count() == 2
+
+
 def test_a_batch_run_again_changes_nothing(spark, kept):
     batches = [changes(spark, b, list(range(12))) for b in (1, 2)]
     for b, c in enumerate(batches, 1):
