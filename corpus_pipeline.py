@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from herdlens.llm import line_dedup, mixing, packing, quality, simhash
-from herdlens.llm.common import ship, stored
+from herdlens.llm.common import passing_scratch, scratch_path, ship
 from herdlens.sources.tables import read_table
 
 
@@ -48,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over all ``documents``, each written as Parquet and reread."""
+    """The stages over all ``documents``, each written as Parquet and reread; what a stage stored on its way is then deleted."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with passing_scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

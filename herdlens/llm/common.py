@@ -9,9 +9,9 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.sources.tables import ranked, stored
+from herdlens.sources.tables import passing_scratch, ranked, scratch_path, stored
 
-__all__ = ["ranked", "ship", "small", "stored", "text_of"]
+__all__ = ["passing_scratch", "ranked", "scratch_path", "ship", "small", "stored", "text_of"]
 
 
 def ship(spark: SparkSession) -> None:

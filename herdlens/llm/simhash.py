@@ -238,8 +238,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast
     if n == 0:
         return kept
     twice = small(twice, n, broadcast_rows)
-    single = kept.join(twice, same(twice), "left_semi").withColumn("_print", F.xxhash64(text_of(docs, text)))
-    return kept.join(twice, same(twice), "left_anti").unionByName(single.dropDuplicates([key, "_print"]).drop("_print"))
+    single = (kept.join(twice, same(twice), "left_semi")
+              .select(F.struct(*docs.columns).alias("record"), F.col(key).alias("id"), F.xxhash64(text_of(docs, text)).alias("print"))
+              .dropDuplicates(["id", "print"]).select("record.*"))
+    return kept.join(twice, same(twice), "left_anti").unionByName(single)
 
 
 def op10_query(docs: DataFrame) -> DataFrame:

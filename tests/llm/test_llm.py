@@ -1,5 +1,6 @@
 """Training-data operators: brute force, SQL, round trips and edge cases on small tables."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -382,15 +383,15 @@ def test_quality_odd_rows(spark, odd):
 # ---------------------------------------------------------------- mixing
 
 
-def test_mix_targets_and_copies(spark, odd):
-    m = rows_of(mixing.op6_query(odd))
-    assert len(m) == odd.count()
-    per = {}
-    for r, d in zip(m, m):
-        assert 0 <= r["taken"] <= 2 * r["size"]
+def n_words(text):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def targets_brute(rows):
+    """(size, target) of each source of (source, text)."""
     sizes = Counter()
-    for r in rows_of(odd):
-        sizes[r["source"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    for source, text in rows:
+        sizes[source] += n_words(text)
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
     left, capped = 1.5 * sum(sizes.values()), {}
@@ -403,9 +404,29 @@ def test_mix_targets_and_copies(spark, odd):
         for s in over:
             capped[s] = 2 * sizes[s]
             left -= capped[s]
-    per = {s: capped.get(s, level * weight[s]) for s in order}
-    got = {(r["source_size"], round(r["target"], 6)) for r in m}
-    assert got == {(sizes[s], round(per[s], 6)) for s in order}
+    return {s: (sizes[s], capped.get(s, level * weight[s])) for s in order}
+
+
+def copies_brute(rows):
+    """How often each of (doc_id, source, text) goes into the mix, in the rows' order."""
+    per, seen, out = targets_brute([r[1:] for r in rows]), Counter(), []
+    for doc_id, source, text in rows:
+        size, target = per[source]
+        rate = min(target / size, 2.0) if size else 0.0
+        text_hash = hashlib.md5((text or "").encode()).hexdigest()
+        name = "null" if doc_id is None else doc_id
+        unit = int(hashlib.md5(f"mix:{name}:{text_hash}:{seen[doc_id, text_hash]}".encode()).hexdigest()[:13], 16) / 2 ** 52
+        seen[doc_id, text_hash] += 1
+        out.append(int(rate) + (unit < rate - int(rate)))
+    return out
+
+
+def test_mix_targets_and_copies(spark, odd):
+    m = rows_of(mixing.op6_query(odd))
+    assert len(m) == odd.count()
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in m)
+    per = targets_brute([(r["source"], r["text"]) for r in rows_of(odd)])
+    assert {(r["source_size"], round(r["target"], 6)) for r in m} == {(s, round(t, 6)) for s, t in per.values()}
     assert rows_of(mixing.op6_query(odd.limit(0))) == []
     assert mixing.mixed(odd).columns == odd.columns
 
@@ -619,6 +640,33 @@ def test_sharding(spark, odd):
     assert sharding.op9_query(docs.limit(0)).count() == 0
 
 
+def placement_brute(docs):
+    """doc_id, size, text hash -> shard and slot: quantiles, curve, sort and cut in plain Python."""
+    rows = [(r.doc_id, 8 + len((r.text or "").encode()), zlib.crc32((r.text or "").encode()), r.source, r.lang) for r in docs]
+    cells = []
+    for n in (3, 4, 1):
+        values = [r[n] for r in rows]
+        if n > 1:
+            rank = {v: i for i, v in enumerate(sorted({v for v in values if v is not None}))}
+            values = [rank.get(v) for v in values]
+        known = sorted(v for v in values if v is not None)
+        edges = sorted({known[-(-k * len(known) // 256) - 1] for k in range(1, 256)}) if known else []
+        cells.append([0 if v is None else sum(e < v for e in edges) for v in values])
+    curve = sharding.hilbert_index(np.array(cells), 8)
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], rows[i][1], rows[i][2], rows[i][0] is not None, rows[i][0] or 0))
+    out = Counter()
+    for place, i in enumerate(order):
+        shard = place * 24 // len(rows)
+        out[(*rows[i][:3], shard, place - -(-shard * len(rows) // 24))] += 1
+    return out
+
+
+def test_sharding_brute_force(spark, odd):
+    for docs in (odd, spark.read.parquet(f"{SF_ORACLE}/documents.parquet")):
+        got = sharding.op9_query(docs).collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got) == placement_brute(docs.collect())
+
+
 def test_sources_with_a_common_prefix_are_apart(spark):
     rows = [(k, "word " * (k % 7), "en", f"common_crawl_{k * 7919 % 10}") for k in range(2400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -732,6 +780,14 @@ def test_keep_one_of_each_group(spark, odd):
     assert ids[:3] == [1, 4, 6] and len(ids) == len(set(ids))
 
 
+def test_one_of_equal_rows_stays_with_columns_of_any_name(spark):
+    rows = [(1, "the same words in every row", f"p{k}", k) for k in range(5)] + [(None, None, "x", 9)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _print string, id long").withColumns({"print": F.lit("y"), "record": F.lit("z")})
+    got = simhash.keep_one(docs).collect()
+    assert [r.doc_id for r in got if r.doc_id] == [1] and len(got) == 2
+    assert all((r._print, r.id) in {(f"p{k}", k) for k in range(5)} | {("x", 9)} and (r["print"], r.record) == ("y", "z") for r in got)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
@@ -755,12 +811,21 @@ def test_pipeline_stages(spark):
             group = groups_brute([fingerprint_brute(r.text) for r in rows])
             assert Counter(r.doc_id for r in out.collect()) == Counter(min(r.doc_id for r, h in zip(rows, group) if h == g) for g in set(group))
         if n == "mix_sources":
-            taken = {r.doc_id: (r["size"], r.taken) for r in mixing.op6_query(seen).collect()}
-            copies = Counter(r.doc_id for r in out.collect())
-            assert all(copies[i] * s == t for i, (s, t) in taken.items())
+            rows = [(r.doc_id, r.source, r.text) for r in seen.collect()]
+            want = Counter({i: n for (i, _, _), n in zip(rows, copies_brute(rows)) if n})
+            assert Counter(r.doc_id for r in out.collect()) == want
         seen = out
     last = rows_of(P.STAGES[-1][1](spark, seen, SF_SMALL))
     assert Counter(r["doc_id"] for r in last if r["piece"] == 0) == Counter(r.doc_id for r in seen.collect())
+    by = defaultdict(list)
+    for r in last:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        ends = [0]
+        for at, length in sorted(places):
+            assert at == ends[-1]
+            ends.append(at + length)
+        assert ends[-1] <= 1024
 
 
 def test_pipeline_stages_on_odd_rows(spark, odd):
