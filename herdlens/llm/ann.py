@@ -22,10 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
-from herdlens.llm.common import stored
+from herdlens.llm.common import scratch_path, stored
 from herdlens.llm.vectors import collected, finite, matrix, own_row, query_blocks
 
+FOUND = StructType().add("query_id", LongType()).add("rank", IntegerType()).add("vec_id", LongType()).add("score", DoubleType())
+
 
 def projections(dims: int, m: int, seed: int) -> np.ndarray:
     """(dims, m): orthonormal bases side by side, each column of length sqrt(dims)."""
@@ -165,18 +168,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: in
     dims = max(vectors.agg(F.max(F.size("v"))).first()[0] or 0, queries.agg(F.max(F.size("q"))).first()[0] or 0, 1)
     vectors = stored(vectors.select("vec_id", "v").distinct(), "ann-vectors")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
+    found_at = scratch_path(spark, "ann-best")
+    blocks = 0
     for block in query_blocks(queries, query_block):
         held = spark.sparkContext.broadcast(collected(block, dims))
         found = vectors.select("vec_id", "v").mapInArrow(_search(held, dims, k, block_rows, m, threshold, share, extra, first, growth, seed),
                                                          "query_id long, vec_id long, score double")
         # Tasks give k rows a query at most; ids repeated over tasks count once.
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        best = stored(one.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "ann-best")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return out.select("query_id", "rank", "vec_id", "score")
+        best = one.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        best.select(*FOUND.names).write.parquet(f"{found_at}/block={blocks}")
+        blocks += 1
+        held.unpersist()
+    # One scan of all blocks' results, however many there are.
+    return spark.read.schema(FOUND).parquet(found_at).select(*FOUND.names) if blocks else spark.createDataFrame([], FOUND)
 
 
 def op5_query(table: DataFrame, every: int = 20) -> DataFrame:

@@ -22,10 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from herdlens.llm.common import stored
+from herdlens.llm.common import scratch_path, stored
 from herdlens.llm.vectors import collected, finite, matrix, own_row, query_blocks
 
+FOUND = StructType().add("query_id", LongType()).add("rank", IntegerType()).add("vec_id", LongType()).add("score", LongType())
 _ROWS = 1024  # rows compared at a time
 
 
@@ -116,7 +118,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, qu
                 .groupBy("query_id", "vec_id").agg(F.max(product).alias("score")))
 
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = None
+    found_at = scratch_path(spark, "topk-best")
+    blocks = 0
     for block in query_blocks(queries, query_block):
         query_ids, q = collected(block, dims)
         held = spark.sparkContext.broadcast((query_ids, q))
@@ -136,11 +139,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, qu
                 .withColumn("total", F.when(F.col("n") > lists, F.col("high")).otherwise(F.col("sum")))
                 .join(F.broadcast(bounds), "query_id").where((F.col("tau") == float("-inf")) | (F.col("n") > lists) | (bound >= F.col("tau") - F.abs("tau") * 1e-12))
                 .select("query_id", "vec_id"))
-        best = stored(resolved(left, block).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "topk-best")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out.select("query_id", "rank", "vec_id", "score")
+        best = resolved(left, block).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        best.select(*FOUND.names).write.parquet(f"{found_at}/block={blocks}")
+        blocks += 1
+        held.unpersist()
+        held2.unpersist()
+    # One scan of all blocks' results, however many there are.
+    return spark.read.schema(FOUND).parquet(found_at).select(*FOUND.names) if blocks else spark.createDataFrame([], FOUND)
 
 
 def op2_query(table: DataFrame, every: int = 50) -> DataFrame:
