@@ -43,8 +43,8 @@ def lookup(requests: DataFrame, request_key: str, records: DataFrame, record_key
 
     Only keys that are asked for are looked up. A key that many requests ask
     for is spread: requests are dealt over ``spread`` parts and the one record
-    found per key is there in each part. A record column that shares its name
-    with a request column comes back as ``record_<name>``.
+    found per key is there in each part (``spread`` 1: neither is done). A record
+    column that shares its name with a request column comes back as ``record_<name>``.
     """
     part = F.pmod(F.xxhash64(*[F.col(c) for c in requests.columns]), F.lit(spread)).cast("int")
     req = requests.withColumns({"_key": F.col(request_key).cast("string"), "_part": part})
@@ -56,6 +56,8 @@ def lookup(requests: DataFrame, request_key: str, records: DataFrame, record_key
                .where(F.col("_n") == 1).drop("_n", order))
     rec = rec.select("_key", *[F.col(c).alias(f"record_{c}" if c in requests.columns else c)
                                for c in rec.columns if c != "_key"])
+    if spread == 1:
+        return req.drop("_part").join(rec, "_key", how).drop("_key")
     rec = rec.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     return req.join(rec, ["_key", "_part"], how).drop("_key", "_part")
 

@@ -22,9 +22,14 @@ def not_found_message(ident: str) -> Column:
 
 
 def match_scans(scans: DataFrame, first: DataFrame, key: str, mode: str = "digits") -> DataFrame:
-    """``scans`` with ``extracted_id`` and the columns of ``first`` (one record an id); null where there is none."""
+    """``scans`` with ``extracted_id`` and the columns of ``first`` (one record an id); null where there is none.
+
+    Records are every id's, not only those a batch asks for: they are neither
+    broadcast, which the driver would build, nor copied for spread requests. AQE
+    splits the scans of a hot id.
+    """
     ident = scans.withColumn("extracted_id", filters.extract_id("scanned_text", mode))
-    return filters.lookup(ident, "extracted_id", first, key, order=None, how="left")
+    return filters.lookup(ident, "extracted_id", first.hint("merge"), key, order=None, how="left", spread=1)
 
 
 def run_scan_stream(spark: SparkSession, source_dir: str, schema: StructType, records: DataFrame, key: str, found_dir: str,

@@ -143,6 +143,15 @@ def test_scan_stream_hot_ids_restart_and_both_sinks(spark):
     assert why == {101: FV.NO_ID_STATUS, 102: FV.NO_ID_STATUS, 103: "No record found for Animal ID 77", 201: "No record found for Animal ID 5"}
 
 
+def test_records_of_a_scan_stream_are_neither_broadcast_nor_copied(spark):
+    first = spark.createDataFrame([(1, "one"), (2, "two")], "animal_id long, name string")
+    scans = spark.createDataFrame([(i, "id 1") for i in range(20)] + [(50, "9"), (51, None)], "scan_id long, scanned_text string")
+    out = scan_lookup.match_scans(scans, first, "animal_id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert {r.scan_id: r.name for r in out.collect()} == {**{i: "one" for i in range(20)}, 50: None, 51: None}
+
+
 def test_label_codes_of_many_columns_share_one_ranking(spark):
     from herdlens.operators import ml
 
