@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from herdlens.operators import updates
-from herdlens.operators.refresh import BATCH, PART, RefreshedViews, view_changes
+from herdlens.operators.refresh import BATCH, PART, RefreshedViews, parts_for, view_changes
 from herdlens.sources.tables import passing_scratch, scratch_path, stored
 
 SCHEMA = ("animal_id long, name string, symptom_1 string, symptom_2 string, doctor_suggestion string, special_care string, "
@@ -106,6 +106,22 @@ def test_rows_that_stay_the_same_are_not_written(spark):
     assert got == {"Cough": -1, "Fever": 1}
 
 
+def test_rows_of_a_scan_are_dealt_out_before_they_are_summed_up(spark, kept):
+    for name in ("records", "lines"):
+        plan = kept.bag(name)._jdf.queryExecution().executedPlan().toString()
+        # From the scan upwards: the exchange comes before the first aggregate, and is the only one.
+        assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange"), plan
+    # The load writes a keyed row as it is: no sum, so two equal rows are two.
+    base = table(spark).where("animal_id = 3").drop("_input_order").withColumn("_input_order", F.lit(0).cast("long"))
+    kept.load(base.unionByName(base))
+    assert kept._signed("records").count() == 2 * base.count() and bag(kept.rows("records")) == bag(base.unionByName(base))
+
+
+def test_parts_grow_with_the_records(spark):
+    assert [parts_for(spark.range(n), rows_per_part=10, most=20) for n in (0, 80, 81, 1000)] == [8, 8, 9, 20]
+    assert parts_for(spark.range(900_000)) == 18
+
+
 def test_refresh_of_nothing(spark, tmp_path):
     base = table(spark).limit(0)
     kept = RefreshedViews(spark, str(tmp_path / "none"), base.schema, VIEWS, parts=2)
