@@ -69,6 +69,23 @@ def test_split_csv_exchanges_each_line_once(spark, tmp_path):
     assert lines[0].count("value#") and sum("Exchange hashpartitioning(file" in x and "ENSURE" in x for x in lines[0].splitlines()) <= 3
 
 
+def test_split_csv_deals_out_runs_of_lines_not_whole_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(split_csv, "CHUNK_LINES", 3)
+    out, want = io.StringIO(), []
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(["k", "te\n\n\n\n\nxt"])  # a header longer than a chunk
+    for i in range(40):
+        want.append((str(i), "\n".join(["a", 'b"', ""] * (9 if i % 7 == 3 else i % 3)) or None))
+        w.writerow(want[-1])
+    for name in ("one.csv", "two.csv"):  # small files share a task, so a file's first line may end a count
+        (tmp_path / name).write_text(out.getvalue())
+    got = split_csv.quoted_records(spark, str(tmp_path))
+    assert got.groupBy("file", "block", "chunk").count().agg(F.max("count")).first()[0] <= 3
+    assert got.where("heads").count() == 2
+    back = split_csv.read_split_csv(spark, str(tmp_path), ["k", "t"], {"escape": '"'})
+    assert _rows(back) == sorted(2 * want, key=lambda r: [(x is not None, str(x)) for x in r])
+
+
 def test_split_csv_edges(spark, tmp_path):
     def read(text, name):
         p = tmp_path / f"{name}.csv"
