@@ -63,7 +63,7 @@ def stream_intake_scoring(spark, sf_dir):
     medians = intake.training_medians(clean.model_features(forms))
     intake.run_intake_stream(spark, src, forms.schema, sink, ckpt, medians, saved, _third(files))
     batch = intake.score_intake(forms, medians, ml.FittedClassifier.load(spark, saved))
-    out = spark.read.parquet(sink).join(batch.select("animal_id", F.col("chance_of_living").alias("batch_chance")), "animal_id")
+    out = spark.read.parquet(sink).drop("batch").join(batch.select("animal_id", F.col("chance_of_living").alias("batch_chance")), "animal_id")
     same = F.col("chance_of_living").between(0, 100) & (F.abs(F.col("chance_of_living") - F.col("batch_chance")) < 1e-9)
     return out.withColumn("has_chance", F.coalesce(same, F.lit(False))).drop("chance_of_living", "batch_chance")
 

@@ -5,7 +5,9 @@ its reason and no scores. The others get the batch path's columns: rule label,
 best keyword disease, integer vitals with the training medians as fallback, and
 the chance of living of a fitted model if one is given. The medians are taken
 once before the stream starts. Everything is stateless and narrow, and the
-Parquet sink's commit log makes the output exactly-once across restarts.
+Parquet sink's commit log makes the output exactly-once across restarts. A model
+whose trees lie in files is met by shuffles: each batch is then scored as a table
+and written to its own folder (``batch=n``), which a batch run again overwrites.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql.types import StructType
 
 from herdlens import fixed_values as FV
 from herdlens.operators import clean, filters, ml, rules
+from herdlens.operators.dealt_forest import DealtForest
+from herdlens.sources.tables import passing_scratch
 
 REQUIRED = ["species", "breed", "sex", "bp", "heart_rate", "health_status"]
 VITALS = ["heart_rate_in", "bp_systolic_in", "bp_diastolic_in"]
@@ -30,7 +34,7 @@ def training_medians(training: DataFrame) -> DataFrame:
     return training.sparkSession.createDataFrame(row, ", ".join(f"{c} double" for c in FV.NUMERIC_FEATURES))
 
 
-def score_intake(df: DataFrame, medians: DataFrame, model: ml.FittedClassifier | None = None,
+def score_intake(df: DataFrame, medians: DataFrame, model: ml.FittedClassifier | DealtForest | None = None,
                  required: Sequence[str] = REQUIRED) -> DataFrame:
     """(animal_id, accepted, reason, label, disease, vitals, chance_of_living) of intake forms."""
     df = filters.validate_required(df, required)
@@ -55,6 +59,15 @@ def run_intake_stream(spark: SparkSession, source_dir: str, schema: StructType,
     stream = spark.readStream.schema(schema)
     if files_per_trigger is not None:
         stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    if isinstance(model, DealtForest):
+        def score(batch: DataFrame, number: int) -> None:
+            with passing_scratch():
+                scored = score_intake(batch, medians, ml.FittedClassifier.load(batch.sparkSession, model_path))
+                scored.write.mode("overwrite").parquet(f"{sink_dir}/batch={number}")
+
+        stream.parquet(source_dir).writeStream.foreachBatch(score).option("checkpointLocation", checkpoint_dir).trigger(
+            availableNow=True).start().awaitTermination()
+        return
     q = (score_intake(stream.parquet(source_dir), medians, model)
          .writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
          .outputMode("append").trigger(availableNow=True).start(sink_dir))
