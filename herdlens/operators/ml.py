@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from herdlens import fixed_values as FV
 from herdlens.operators.dealt_forest import DealtForest
+from herdlens.operators.joint_svm import JointSVM
 from herdlens.sources.tables import path_exists, ranked, shared_dir, stored
 
 SEED = 42
@@ -30,6 +31,8 @@ SEED = 42
 ROWS_PER_TASK = 10_000
 #: Training rows up to which MLlib grows a forest; more are dealt to (tree, node).
 MLLIB_FOREST_ROWS = 20_000
+#: Training rows up to which MLlib fits an SVM class by class; with more, all classes share each pass.
+MLLIB_SVM_ROWS = 20_000
 
 
 # --- M1 split ---
@@ -173,9 +176,11 @@ class FittedClassifier:
         spark.createDataFrame(labels, "idx int, label string").coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> FittedClassifier | DealtForest:
+    def load(spark: SparkSession, path: str) -> FittedClassifier | DealtForest | JointSVM:
         if path_exists(spark, f"{path}/dealt"):
             return DealtForest.load(spark, path)
+        if path_exists(spark, f"{path}/joint_svm"):
+            return JointSVM.load(spark, path)
         labels = spark.read.parquet(f"{path}/labels").orderBy("idx").collect()
         return FittedClassifier([r.label for r in labels], PipelineModel.load(f"{path}/model"))
 
@@ -230,10 +235,11 @@ def rbf_stages(train: DataFrame, numeric: Sequence[str], components: int = 100,
 
 def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                    target: str, classifier, scale: bool = True,
-                   stages: list | None = None) -> FittedClassifier | DealtForest:
+                   stages: list | None = None) -> FittedClassifier | DealtForest | JointSVM:
     """Index the target (alphabetical classes), then fit features (``stages``, if given) + classifier.
 
     A forest of more than ``MLLIB_FOREST_ROWS`` rows is a ``DealtForest``; scaling doesn't matter to its bins.
+    A one-vs-rest ``LinearSVC`` of more than ``MLLIB_SVM_ROWS`` rows is a ``JointSVM``.
     """
     # A missing class is the class 'nan', as it is in text form; no row is left out.
     train = train.withColumn(target, F.coalesce(F.col(target).cast("string"), F.lit("nan")))
@@ -250,8 +256,11 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
         if isinstance(classifier, RandomForestClassifier) and stages is None and rows > MLLIB_FOREST_ROWS:
             return DealtForest.fit(indexer.transform(train), "label_idx", list(indexer.labels), numeric, categorical,
                                    classifier.getNumTrees(), classifier.getMaxDepth(), classifier.getSeed())
+        stages = stages or feature_stages(numeric, categorical, scale)
+        if isinstance(classifier, OneVsRest) and rows > MLLIB_SVM_ROWS and JointSVM.fits(svm := classifier.getClassifier()):
+            return JointSVM.fit(indexer.transform(train), "label_idx", list(indexer.labels), Pipeline(stages=stages).fit(train), svm.getMaxIter(), svm.getTol())
         classifier.setLabelCol("label_idx").setFeaturesCol("features")
-        pipe = Pipeline(stages=[*(stages or feature_stages(numeric, categorical, scale)), classifier])
+        pipe = Pipeline(stages=[*stages, classifier])
         model = pipe.fit(indexer.transform(train))
     finally:
         train.unpersist()
