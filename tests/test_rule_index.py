@@ -83,3 +83,23 @@ def test_random_features_approximate_the_kernel():
     z = (2 / 2000) ** 0.5 * np.cos(x @ w.T + b)
     exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 6)
     assert np.abs(z @ z.T - exact).max() < 0.12 and np.abs(z @ z.T - exact).mean() < 0.025
+
+
+def test_only_wanted_windows_leave_their_text(spark):
+    rng = random.Random(5)
+    texts = [(k, "".join(rng.choices("abcdefghij ", k=3000)) + ("swollen ûdder" if k % 3 == 0 else "")) for k in range(12)]
+    ix = rule_index.RuleIndex(spark.createDataFrame(texts, "id int, s string"), ["s"], spark.createDataFrame([(1, "m", "swollen ûdder")], "ord int, disease string, kw string"))
+    left = ix._found(ix.index.select("gram")).count()
+    assert 4 <= left <= 40  # of some 36,000 windows
+    assert {(r.row, r.kw) for r in ix.hits().collect()} == {(r.row, "swollen ûdder") for r in ix.long.where("text like '%udder' or text like '%ûdder'").collect()}
+
+
+@pytest.mark.parametrize("size", rule_index.SIZES)
+def test_windows_of_pieces(size, monkeypatch):
+    text = "naïve 𝒳 tick\nfever, naïve tick".encode()
+    whole = np.concatenate(list(rule_index.windows(text, size)))
+    want = [int.from_bytes(text[i:i + size], "little") + ((size << 56) if size < 8 else 0) for i in range(len(text) - size + 1)]
+    assert whole.tolist() == want
+    monkeypatch.setattr(rule_index, "PIECE_BYTES", 7)
+    assert np.concatenate(list(rule_index.windows(text, size))).tolist() == want
+    assert list(rule_index.windows(b"", size)) == []
