@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from herdlens.llm.common import stored, text_of
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _NO_ID = -(1 << 63)  # a null id is below every id
+_RUN_BYTES = 2 << 20
+_MAX_SEEN = 50_000
 
 
 def keys_of(text: bytes, min_chars: int) -> tuple[int, list[int], list[bytes]]:
@@ -45,6 +48,20 @@ def keys_of(text: bytes, min_chars: int) -> tuple[int, list[int], list[bytes]]:
     return len(lines), at, digests
 
 
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Every batch's rows in runs of ``_RUN_BYTES`` of text (a longer text is a run of its own).
+
+    An Arrow batch holds up to 64 MB; its texts become Python objects a run at a time.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = done = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, done + _RUN_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(ends[stop - 1])
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -99,37 +116,38 @@ class PerfectHash:
         return out
 
 
+def _scan(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, n, last) of batches (key, text); a key hash comes again after a flush."""
+    seen: dict[bytes, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(seen), dtype=np.int64).reshape(-1, 2)
+        n, last = zip(*seen.values()) if seen else ((), ())
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int64()), pa.array(last, pa.int64())],
+                                          names=["h1", "h2", "n", "last"])
+
+    for batch in _runs(batches, "text"):
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, t in zip(ids, texts):
+            i = _NO_ID if i is None else i
+            for d in set(keys_of(t, min_chars)[2]):
+                e = seen.get(d)
+                if e is None:
+                    seen[d] = [1, i]
+                else:
+                    e[0] += 1
+                    if i > e[1]:
+                        e[1] = i
+            if len(seen) > _MAX_SEEN:
+                yield flush()
+    yield flush()
+
+
 def line_counts(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     """(h1, h2, n, last): documents holding each line key and the largest id among them."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(seen), dtype=np.int64).reshape(-1, 2)
-            n, last = zip(*seen.values()) if seen else ((), ())
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int64()), pa.array(last, pa.int64())],
-                                              names=["h1", "h2", "n", "last"])
-
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, t in zip(ids, texts):
-                i = _NO_ID if i is None else i
-                for d in set(keys_of(t, min_chars)[2]):
-                    e = seen.get(d)
-                    if e is None:
-                        seen[d] = [1, i]
-                    else:
-                        e[0] += 1
-                        if i > e[1]:
-                            e[1] = i
-                if len(seen) > 200_000:
-                    yield flush()
-        yield flush()
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.encode(text_of(docs, text), "utf-8").alias("text"))
-    return (rows.mapInArrow(scan, "h1 long, h2 long, n long, last long")
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(docs, text).cast("binary").alias("text"))
+    return (rows.mapInArrow(lambda batches: _scan(batches, min_chars), "h1 long, h2 long, n long, last long")
             .groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")))
 
 
@@ -195,6 +213,24 @@ def _probe(batch_ids: list, texts: list[bytes], index: LineIndex, min_chars: int
         yield n, [x for x, y in zip(at, g) if y] if g.any() else []
 
 
+def _clean(batches: Iterator[pa.RecordBatch], text: str, index: LineIndex, min_chars: int, min_docs: int) -> Iterator[pa.RecordBatch]:
+    """The batches with the lines that stay and both numbers, without ``_key``."""
+    for batch in _runs(batches, text):
+        names = batch.schema.names
+        texts = batch.column(names.index(text)).cast(pa.binary()).to_pylist()
+        kept, totals, drops = [], [], []
+        for t, (n, gone) in zip(texts, _probe(batch.column(names.index("_key")).to_pylist(), texts, index, min_chars, min_docs)):
+            totals.append(n)
+            drops.append(len(gone))
+            if gone:
+                away = set(gone)
+                t = b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in away])
+            kept.append(t)
+        new = {text: pa.array(kept, pa.binary()).cast(pa.string()), "_n_lines": pa.array(totals, pa.int64()), "_n_dropped": pa.array(drops, pa.int64())}
+        yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(names) if c != "_key"],
+                                         names=[c for c in names if c != "_key"])
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5,
                 keys_per_shard: int = 65_536, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``docs`` without the repeated lines, plus long ``_n_lines`` (before) and ``_n_dropped``.
@@ -223,28 +259,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         held = index_of(0)
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = LineIndex(held.value, shards)
-            for batch in batches:
-                names = batch.schema.names
-                texts = batch.column(names.index(text)).cast(pa.binary()).to_pylist()
-                kept, totals, drops = [], [], []
-                for t, (n, gone) in zip(texts, _probe(batch.column(names.index("_key")).to_pylist(), texts, index, min_chars, min_docs)):
-                    totals.append(n)
-                    drops.append(len(gone))
-                    if gone:
-                        away = set(gone)
-                        t = b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in away])
-                    kept.append(t)
-                new = {text: pa.array(kept, pa.binary()).cast(pa.string()), "_n_lines": pa.array(totals, pa.int64()), "_n_dropped": pa.array(drops, pa.int64())}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(names) if c != "_key"],
-                                                 names=[c for c in names if c != "_key"])
+            return _clean(batches, text, LineIndex(held.value, shards), min_chars, min_docs)
 
         return inner.withColumn("_key", F.col(key).cast("long")).mapInArrow(clean, inner.schema)
 
     def marking(held):
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = LineIndex(held.value, shards)
-            for batch in batches:
+            for batch in _runs(batches, "_text"):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
                 out = [(i, p, gone) for i, p, (_, gone) in zip(ids, batch.column(2).to_pylist(), _probe(ids, texts, index, min_chars, min_docs)) if gone]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in

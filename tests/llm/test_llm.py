@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -605,6 +608,40 @@ def test_line_dedup_brute_force(spark, odd, params):
     assert line_dedup.dedup_lines(docs.limit(0), **params).count() == 0
 
 
+def test_line_runs_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_RUN_BYTES", 10)
+    texts = ["", "abcd", "efghij", "k" * 25, "", "é" * 5, "x", "", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    runs = [r.column(0).to_pylist() for r in line_dedup._runs(iter([batch.slice(0, 0), batch, batch.slice(2, 4)]), "text")]
+    assert runs == [["", "abcd", "efghij"], ["k" * 25], ["", "é" * 5], ["x", "", ""], ["efghij"], ["k" * 25], ["", "é" * 5]]
+
+
+def test_line_dedup_holds_a_run_of_a_batch_as_objects():
+    line, n = "A line of some two thousand letters " + "abc " * 500, 8000
+    ids, texts = pa.array(range(n), pa.int64()), pa.array([f"{line} {k % 3}\nB{k}\n{line}".encode() for k in range(n)])
+    batch = pa.RecordBatch.from_arrays([ids, texts, ids, ids, ids], names=["doc_id", "text", "_n_lines", "_n_dropped", "_key"])
+    assert batch.nbytes > 32_000_000
+    counted = next(line_dedup._scan(iter([batch]), 40)).to_pylist()
+    frequent = pd.DataFrame(counted)
+    a, b = (frequent[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+    perfect = line_dedup.PerfectHash.build(a, b)
+    order = np.argsort(perfect.index(a, b))
+    row = {"shard": 0, "sizes": perfect.sizes, "words": perfect.words.tobytes(), "prints": b[order].tobytes(),
+           "counts": frequent["n"].to_numpy()[order].tobytes(), "lasts": frequent["last"].to_numpy()[order].tobytes()}
+    index = line_dedup.LineIndex([row], 1)
+    dropped = 0
+    tracemalloc.start()
+    for _ in line_dedup._scan(iter([batch]), 40):
+        pass
+    for out in line_dedup._clean(iter([batch]), "text", index, 40, 5):
+        dropped += sum(out.column("_n_dropped").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(x["n"] for x in counted) == [2666, 2667, 2667, 8000]
+    assert dropped == 8000 - 3 + 8000 - 1  # the last of each of three first lines, and of the line that all share, stay
+    assert peak < 16_000_000, peak
+
+
 # ---------------------------------------------------------------- sharding
 
 
