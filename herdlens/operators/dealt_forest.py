@@ -5,7 +5,8 @@ the driver, so labels that the features don't decide make its work and its model
 grow with the rows times the levels. Here a tree's nodes are split level by level by summed
 histograms, as there, only while they hold more than ``GROUP_ROWS`` rows; below, a
 node's rows meet in one group, which grows the rest of the tree from them. The
-grown parts stay in Parquet; rows are scored by meeting the parts they fall into.
+grown parts stay in Parquet. Rows of equal codes are scored once, by meeting the parts they
+fall into; a part says which of its leaves a row ends in, and sends the counts of each such leaf once a chunk of rows.
 
 Bins, bootstrap, features per node, impurity, depth and votes are MLlib's: at most
 32 bins a numeric column, one 0/1 feature a category, Poisson(1) copies of each row, ceil(sqrt(features))
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,14 @@ BINS = 32
 GROUP_ROWS = 50_000
 #: Rows that a task takes at a time.
 CHUNK_ROWS = 20_000
+#: Bytes of all votes on a chunk of scored rows, if every row has leaves of its own with all classes.
+VOTE_BYTES = 100_000_000
+#: (Tree, row) pairs that a task groups by (tree, node).
+TASK_ROWS = 2_000_000
+#: Bytes of scored codes up to which they are broadcast to the rows.
+BROADCAST_BYTES = 8_000_000
+#: Row groups of the dealt vectors, which are read a group at a time.
+GROUP_BYTES = 4_000_000
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _PART = "tree int, node int, feat binary, thr binary, child binary, counts binary"
 
@@ -149,17 +158,27 @@ def walk(space: Space, x, feat, thr, child) -> np.ndarray:
     return at
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """``size`` rows at a time, less than twice as many at most."""
     held, n = [], 0
     for b in batches:
-        held, n = [*held, b], n + len(b)
-        if n >= CHUNK_ROWS:
-            yield pd.concat(held)
-            held, n = [], 0
+        for lo in range(0, len(b), size):
+            held.append(b.iloc[lo:lo + size])
+            n += len(held[-1])
+            if n >= size:
+                yield pd.concat(held)
+                held, n = [], 0
     if n:
         yield pd.concat(held)
 
 
+def _cells(codes: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (codes, label) and which of them each row has: rows that no tree can tell apart are one weighted row."""
+    both = np.ascontiguousarray(np.column_stack([codes.astype(np.int32), label.astype(np.int32)]))
+    _, first, cell = np.unique(both.view(np.dtype((np.void, both.itemsize * both.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return codes[first], label[first], cell
+
+
 def _by_node(at: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(node, its rows) of the wanted nodes."""
     rows = np.flatnonzero(wanted[at])
@@ -204,18 +223,19 @@ class Tops:
 def _split_level(coded: DataFrame, space: Space, tops: Tops, classes: int, max_depth: int, seed: int) -> None:
     """Splits every open node by one pass over the rows: histograms by task, summed by (tree, node)."""
     arrays, is_open, cells = tops.arrays(), tops.are("open"), space.drawn * BINS * classes
-    names = coded.columns[2:]
+    names, size = coded.columns[2:], CHUNK_ROWS
 
     def drawn(tree: int, node: int) -> np.ndarray:
         return space.draw(np.random.default_rng([seed, tree, node, 0]), 1)[0]
 
     def sums(batches):
-        for b in _chunks(batches):
-            ids, label, codes = b["id"].to_numpy(), b["y"].to_numpy(), b[names].to_numpy(space.dtype)
+        for b in _chunks(batches, size):
+            ids = b["id"].to_numpy()
+            codes, label, same = _cells(b[names].to_numpy(space.dtype), b["y"].to_numpy())
             for t, wanted in enumerate(is_open):
                 if not wanted.any():
                     continue
-                w = copies(ids, t, seed)
+                w = np.bincount(same, copies(ids, t, seed), len(label))
                 r = w > 0
                 x, y, w = codes[r], label[r], w[r]
                 at = walk(space, x, *arrays[t])
@@ -245,35 +265,39 @@ def _split_level(coded: DataFrame, space: Space, tops: Tops, classes: int, max_d
         tops.split(r.tree, r.node, r.feat, r.thr, [r.l, r.r], max_depth)
 
 
-def _tasks(spark: SparkSession, groups: int) -> int:
-    return max(1, min(groups, max(3 * spark.sparkContext.defaultParallelism, groups // 4)))
+def _tasks(spark: SparkSession, pairs: int) -> int:
+    """For so many (tree, row) pairs; a task takes its groups one after another, and each may write a file."""
+    return max(3 * spark.sparkContext.defaultParallelism, pairs // TASK_ROWS)
 
 
-def _grown(coded: DataFrame, space: Space, tops: Tops, classes: int, max_depth: int, seed: int) -> DataFrame:
+def _grown(coded: DataFrame, space: Space, tops: Tops, classes: int, max_depth: int, seed: int, n: int) -> DataFrame:
     """The parts of the trees below ``tops``: rows are dealt to (tree, node), each group grows its part."""
     arrays, dealt, depths = tops.arrays(), tops.are("dealt"), [t["depth"] for t in tops.trees]
-    names, ytype = coded.columns[2:], np.uint8 if classes < 256 else np.int32
+    names, size, ytype = coded.columns[2:], CHUNK_ROWS, np.uint8 if classes < 256 else np.int32
 
     def deal(batches):
-        for b in _chunks(batches):
-            ids, label, codes = b["id"].to_numpy(), b["y"].to_numpy(), b[names].to_numpy(space.dtype)
+        for b in _chunks(batches, size):
+            ids = b["id"].to_numpy()
+            codes, label, same = _cells(b[names].to_numpy(space.dtype), b["y"].to_numpy())
             for t, wanted in enumerate(dealt):
-                w = copies(ids, t, seed)
+                w = np.bincount(same, copies(ids, t, seed), len(label))
                 r = np.flatnonzero(w)
                 at = walk(space, codes[r], *arrays[t])
-                yield pd.DataFrame([(t, node, codes[r[k]].tobytes(), label[r[k]].astype(ytype).tobytes(), w[r[k]].astype(np.int8).tobytes())
+                yield pd.DataFrame([(t, node, codes[r[k]].tobytes(), label[r[k]].astype(ytype).tobytes(), w[r[k]].astype(np.int8 if w[r[k]].max() < 128 else np.int32).tobytes())
                                     for node, k in _by_node(at, wanted)], columns=["tree", "node", "x", "y", "w"])
 
     def part(key, g):
         t, node = map(int, key)
         x = np.frombuffer(b"".join(g["x"]), space.dtype).reshape(-1, space.width)
-        y, w = np.frombuffer(b"".join(g["y"]), ytype).astype(np.int64), np.frombuffer(b"".join(g["w"]), np.int8).astype(float)
+        y = np.frombuffer(b"".join(g["y"]), ytype).astype(np.int64)
+        # Four bytes a weight where one is too large for a byte.
+        w = np.concatenate([np.frombuffer(b, np.int8 if len(b) * np.dtype(ytype).itemsize == len(c) else np.int32) for b, c in zip(g["w"], g["y"])]).astype(float)
         feat, thr, child, counts = grow(space, x, y, w, classes, max_depth - depths[t][node], np.random.default_rng([seed, t, node, 1]))
         return pd.DataFrame([(t, node, *(v.astype(np.int32).tobytes() for v in (feat, thr, child)), counts[child < 0].astype(np.float32).tobytes())],
                             columns=["tree", "node", "feat", "thr", "child", "counts"])
 
     return (coded.mapInPandas(deal, "tree int, node int, x binary, y binary, w binary")
-            .repartition(_tasks(coded.sparkSession, tops.number("dealt")), "tree", "node").groupBy("tree", "node").applyInPandas(part, _PART))
+            .repartition(_tasks(coded.sparkSession, n * len(tops.trees)), "tree", "node").groupBy("tree", "node").applyInPandas(part, _PART))
 
 
 def _thresholds(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
@@ -315,7 +339,8 @@ class DealtForest:
 
     @staticmethod
     def fit(train: DataFrame, label_idx: str, labels: list[str], numeric: Sequence[str], categorical: Sequence[str],
-            num_trees: int, max_depth: int, seed: int) -> DealtForest:
+            num_trees: int, max_depth: int, seed: int, read: Callable[[], None] = lambda: None) -> DealtForest:
+        """``read`` is called when ``train`` isn't needed any more."""
         spark = train.sparkSession
         ship(spark)
         indexer = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__idx" for c in categorical], handleInvalid="keep",
@@ -323,81 +348,97 @@ class DealtForest:
         thresholds = _thresholds(train, numeric)
         df, codes = DealtForest.codes(train, numeric, thresholds, indexer)
         coded = stored(df.select(F.monotonically_increasing_id().alias("id"), F.col(label_idx).cast("int").alias("y"), *codes), "forest-rows")
+        read()
         n = coded.count()
         coded = coded.repartition(max(spark.sparkContext.defaultParallelism, n // GROUP_ROWS), "id")
         model = DealtForest(labels, list(numeric), thresholds, indexer, Tops.roots(num_trees, "open" if n > GROUP_ROWS else "dealt"), None, n)
         while model.tops.number("open"):
             _split_level(coded, model.space, model.tops, len(labels), max_depth, seed)
-        model.parts = stored(_grown(coded, model.space, model.tops, len(labels), max_depth, seed), "forest-parts")
+        model.parts = stored(_grown(coded, model.space, model.tops, len(labels), max_depth, seed, n), "forest-parts")
         return model
 
     def predict(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """``keep``, ``predicted_label`` and ``probability_array``: rows meet the parts they fall into, votes are summed up by chunk of rows."""
-        spark, space, classes = df.sparkSession, self.space, len(self.labels)
+        """``keep``, ``predicted_label`` and ``probability_array``: equal codes get equal votes, so each distinct code vector is scored."""
         df, codes = self.codes(df, self.numeric, self.thresholds, self.indexer)
-        rows = stored(df.select(F.monotonically_increasing_id().alias("id"), F.struct(*keep).alias("record"), *codes), "forest-scored")
-        n = rows.count()
-        # Where more rows are scored than were learnt from, a part meets them in several groups.
-        salts = max(1, -(-n // max(1, self.rows)))
+        names = [f"x{i}" for i in range(self.space.width)]
+        rows = stored(df.select(F.struct(*keep).alias("record"), *codes), "forest-scored")
+        cells = stored(rows.select(*names).distinct().withColumn("id", F.monotonically_increasing_id()), "forest-cells")
+        n = cells.count()
+        scored = cells.join(self._scored(cells, n, names), "id").drop("id")
+        if n * (8 * len(self.labels) + 8 * len(names)) <= BROADCAST_BYTES:
+            scored = F.broadcast(scored)
+        labels = F.array(*[F.lit(v) for v in self.labels])
+        return rows.join(scored, names).select("record.*", F.element_at(labels, F.col("at") + 1).alias("predicted_label"), "probability_array")
+
+    def _scored(self, cells: DataFrame, n: int, names: list[str]) -> DataFrame:
+        """Best class and shares by id: code vectors meet the parts they fall into, votes are summed up by chunk of vectors."""
+        spark, space, classes, trees = cells.sparkSession, self.space, len(self.labels), len(self.tops.trees)
+        size = max(1, min(CHUNK_ROWS, VOTE_BYTES // (trees * (8 + 12 * classes))))
         arrays, dealt, leaves = self.tops.arrays(), self.tops.are("dealt"), self.tops.are("leaf")
         leaf_counts = [t["counts"] for t in self.tops.trees]
-        names = [f"x{i}" for i in range(space.width)]
 
-        def voted(rows, counts):
-            at, cls = np.nonzero(counts)
-            share = counts[at, cls] / counts.sum(axis=1)[at]
-            return rows[at].astype(np.int64).tobytes(), cls.astype(np.int32).tobytes(), share.tobytes()
+        def voted(leaf, counts):
+            """Which of the leaves sent is each row's; non-zero places and values of (leaf, class) counts."""
+            used, leaf = np.unique(leaf, return_inverse=True)
+            counts = counts[used].astype(float).ravel()
+            cell = np.flatnonzero(counts)
+            return leaf.astype(np.int32).tobytes(), cell.astype(np.int32).tobytes(), counts[cell].tobytes()
 
         def deal(batches):
-            for b in _chunks(batches):
+            for b in _chunks(batches, size):
                 ids, codes = b["id"].to_numpy(), b[names].to_numpy(space.dtype)
                 chunk = int(ids[0])
+                out = [(chunk, -1, -1, ids.tobytes(), None, None, None, None)]
                 for t, (wanted, ends) in enumerate(zip(dealt, leaves)):
                     at = walk(space, codes, *arrays[t])
-                    out = [(chunk, t, node, chunk % salts, ids[k].tobytes(), codes[k].tobytes(), None) for node, k in _by_node(at, wanted)]
+                    out += [(chunk, t, node, k.astype(np.int32).tobytes(), codes[k].tobytes(), None, None, None) for node, k in _by_node(at, wanted)]
                     for node, k in _by_node(at, ends):
-                        r, c, p = voted(ids[k], np.tile(np.array(leaf_counts[t][node], float), (len(k), 1)))
-                        out.append((chunk, t, node, None, r, c, p))
-                    yield pd.DataFrame(out, columns=["chunk", "tree", "node", "salt", "rows", "x", "share"]).astype({"salt": "Int32"})
+                        out.append((chunk, t, node, k.astype(np.int32).tobytes(), None, *voted(np.zeros(len(k), np.int64), np.array([leaf_counts[t][node]], float))))
+                    yield pd.DataFrame(out, columns=["chunk", "tree", "node", "rows", "x", "leaf", "cell", "n"])
+                    out = []
 
         def vote(key, g, part):
             out = []
             if len(g) and len(part):
                 feat, thr, child = (np.frombuffer(part[c].iloc[0], np.int32).astype(np.int64) for c in ("feat", "thr", "child"))
-                counts = np.frombuffer(part["counts"].iloc[0], np.float32).astype(float).reshape(-1, classes)
+                counts = np.frombuffer(part["counts"].iloc[0], np.float32).reshape(-1, classes)
                 leaf = np.cumsum(child < 0) - 1
                 x = np.frombuffer(b"".join(g["x"]), space.dtype).reshape(-1, space.width)
                 at = leaf[walk(space, x, feat, thr, child)]
                 lo = 0
                 for chunk, r in zip(g["chunk"], g["rows"]):
-                    r = np.frombuffer(r, np.int64)
-                    out.append((chunk, int(key[0]), *voted(r, counts[at[lo:lo + len(r)]])))
-                    lo += len(r)
-            return pd.DataFrame(out, columns=["chunk", "tree", "rows", "x", "share"])
+                    out.append((chunk, int(key[0]), r, *voted(at[lo:lo + len(r) // 4], counts)))
+                    lo += len(r) // 4
+            return pd.DataFrame(out, columns=["chunk", "tree", "rows", "leaf", "cell", "n"])
 
         def total(key, g):
-            g = g.sort_values("tree")  # so that sums don't depend on the order of arrival
-            ids, cls, share = (np.frombuffer(b"".join(g[c]), d) for c, d in (("rows", np.int64), ("x", np.int32), ("share", np.float64)))
-            one, place = np.unique(ids, return_inverse=True)
-            p = np.bincount(place * classes + cls, share, len(one) * classes).reshape(-1, classes)
+            g = g.sort_values("tree")  # the ids first; and so that sums don't depend on the order of arrival
+            ids = np.frombuffer(g["rows"].iloc[0], np.int64)
+            p = np.zeros((len(ids), classes))
+            for message in zip(*(g[c].iloc[1:] for c in ("rows", "leaf", "cell", "n"))):
+                rows, leaf, cell, counts = (np.frombuffer(m, d) for m, d in zip(message, (np.int32, np.int32, np.int32, np.float64)))
+                shares = np.bincount(cell, counts, (int(leaf.max()) + 1) * classes).reshape(-1, classes)
+                shares /= shares.sum(axis=1, keepdims=True)
+                p[rows] += shares[leaf]
             p /= p.sum(axis=1, keepdims=True)
-            return pd.DataFrame({"id": one, "at": p.argmax(axis=1).astype(np.int32), "probability_array": list(p)})
-
-        chunks = max(spark.sparkContext.defaultParallelism, -(-n // CHUNK_ROWS))
-        sent = rows.repartition(chunks, "id").select("id", *names).mapInPandas(
-            deal, "chunk long, tree int, node int, salt int, rows binary, x binary, share binary")
-        if self.tops.number("leaf"):
-            sent = stored(sent, "forest-dealt")  # read by both branches
-        tasks = _tasks(spark, self.tops.number("dealt") * salts)
-        parts = self.parts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-        keys = ["tree", "node", "salt"]
-        votes = (sent.where("share IS NULL").repartition(tasks, *keys).groupBy(*keys)
-                 .cogroup(parts.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(vote, "chunk long, tree int, rows binary, x binary, share binary"))
-        if self.tops.number("leaf"):
-            votes = votes.unionByName(sent.where("share IS NOT NULL").select(*votes.columns))
-        scored = votes.repartition(chunks, "chunk").groupBy("chunk").applyInPandas(total, "id long, at int, probability_array array<double>")
-        labels = F.array(*[F.lit(v) for v in self.labels])
-        return rows.join(scored, "id").select("record.*", F.element_at(labels, F.col("at") + 1).alias("predicted_label"), "probability_array")
+            return pd.DataFrame({"id": ids, "at": p.argmax(axis=1).astype(np.int32), "probability_array": list(p)})
+
+        parallel = spark.sparkContext.defaultParallelism
+        # Stored, as rows are numbered within their chunk: a second run of a task may meet them in another order.
+        sent = stored(cells.repartition(max(parallel, n // (4 * size)), "id").select("id", *names).mapInPandas(
+            deal, "chunk long, tree int, node int, rows binary, x binary, leaf binary, cell binary, n binary"), "forest-dealt", GROUP_BYTES)
+        # As many rows as there are parts; where many vectors fall into a part, it meets them in several groups.
+        salts = F.broadcast(sent.where("x IS NOT NULL").groupBy("tree", "node").agg(
+            F.ceil(F.sum(F.length("rows")) / (4 * GROUP_ROWS)).cast("int").alias("salts")))
+        keys, tasks = ["tree", "node", "salt"], _tasks(spark, n * trees)
+        asked = sent.where("x IS NOT NULL").join(salts, ["tree", "node"]).select(
+            "chunk", "tree", "node", "rows", "x", F.pmod(F.xxhash64("chunk"), F.col("salts")).cast("int").alias("salt"))
+        parts = self.parts.join(salts, ["tree", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        votes = (asked.repartition(tasks, *keys).groupBy(*keys).cogroup(parts.repartition(tasks, *keys).groupBy(*keys))
+                 .applyInPandas(vote, "chunk long, tree int, rows binary, leaf binary, cell binary, n binary"))
+        votes = votes.unionByName(sent.where("x IS NULL").select(*votes.columns))
+        chunks = max(3 * parallel, n // (4 * size))
+        return votes.repartition(chunks, "chunk").groupBy("chunk").applyInPandas(total, "id long, at int, probability_array array<double>")
 
     def class_probability_pct(self, cls: str, prob_col: str = "probability_array") -> Column:
         """P(cls) x 100, rounded half-even to 2; class absent -> index 0."""

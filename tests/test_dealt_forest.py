@@ -115,3 +115,49 @@ def test_check_holds_for_dealt_forests(spark, dealt, monkeypatch):
     qc, qr = check.duckdb_frame(SF_ORACLE, q.sql)
     ok, msg = check.compare(sc, sr, qc, qr)
     assert ok, msg
+
+
+def _kept(monkeypatch):
+    """What the forest stores, by purpose."""
+    kept, write = {}, dealt_forest.stored
+    monkeypatch.setattr(dealt_forest, "stored", lambda df, purpose, *a: kept.setdefault(purpose, write(df, purpose, *a)))
+    return kept
+
+
+def test_distinct_codes_are_scored_in_bounded_chunks(spark, dealt, monkeypatch):
+    """Leaves of several classes: votes by brute force, small chunks, and each code vector is dealt once."""
+    f = _rows(spark).withColumn("y", (F.abs(F.hash("id", F.lit(9))) % 9).cast("string"))
+    model = ml.fit_classifier(f, ["p", "q"], ["c"], "y", ml.forest("label_idx", num_trees=6, max_depth=5))
+    monkeypatch.setattr(dealt_forest, "VOTE_BYTES", 60 * 6 * (8 + 12 * 9))
+    kept = _kept(monkeypatch)
+    rows = model.predict(f.union(f), ["id"]).collect()
+    assert len(rows) == 2400
+    dealt_rows = kept["forest-dealt"].where("tree = -1").collect()
+    distinct = kept["forest-scored"].select("x0", "x1", "x2").distinct().count()
+    assert sum(len(r.rows) // 8 for r in dealt_rows) == distinct < 1200
+    assert len(dealt_rows) > 2 and max(len(r.rows) // 8 for r in dealt_rows) < 120
+
+    coded = kept["forest-scored"].select("record.id", "x0", "x1", "x2").toPandas().drop_duplicates()
+    x, votes = coded[["x0", "x1", "x2"]].to_numpy(model.space.dtype), 0
+    parts = {(r.tree, r.node): r for r in model.parts.collect()}
+    for t, (top, arrays) in enumerate(zip(model.tops.trees, model.tops.arrays())):
+        counts = np.zeros((len(x), 9))
+        for i, node in enumerate(dealt_forest.walk(model.space, x, *arrays)):
+            counts[i] = top["counts"][node] or 0
+            if (t, node) in parts:
+                feat, thr, child = (np.frombuffer(parts[t, node][c], np.int32).astype(np.int64) for c in ("feat", "thr", "child"))
+                at = (np.cumsum(child < 0) - 1)[dealt_forest.walk(model.space, x[i:i + 1], feat, thr, child)]
+                counts[i] = np.frombuffer(parts[t, node].counts, np.float32).reshape(-1, 9)[at[0]]
+        votes = votes + counts / counts.sum(axis=1, keepdims=True)
+    want = dict(zip(coded["id"], votes / votes.sum(axis=1, keepdims=True)))
+    assert all(np.allclose(r.probability_array, want[r.id], atol=1e-12) for r in rows)
+    assert {r.predicted_label for r in rows} <= set(model.labels)
+
+
+def test_a_part_that_many_vectors_fall_into_is_met_in_groups(spark, dealt, monkeypatch):
+    f = _rows(spark, 600).withColumn("y", F.when(F.col("p") > 0, F.col("d")).otherwise("z"))
+    model = ml.fit_classifier(f, ["p", "q"], ["c"], "y", ml.forest("label_idx", num_trees=3))
+    want = {r.id: (r.predicted_label, r.probability_array) for r in model.predict(f, ["id"]).collect()}
+    monkeypatch.setattr(dealt_forest, "GROUP_ROWS", 10)
+    monkeypatch.setattr(dealt_forest, "CHUNK_ROWS", 7)
+    assert {r.id: (r.predicted_label, r.probability_array) for r in model.predict(f, ["id"]).collect()} == want
