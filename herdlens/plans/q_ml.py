@@ -400,12 +400,15 @@ def _combined(spark, sf_dir) -> DataFrame:
     """Rule part first; rows that need it get the health model's label + model mark."""
     a = views.dirty_animal(spark, sf_dir).where("copy_no = 0").drop("copy_no")
     a = clean.blank_normalise(a, [c for c in a.columns if c != "animal_id"])
+    # The rules' expressions are long: each reads plain columns after the exchange, and they run once, on all cores.
+    a = a.repartition(3 * spark.sparkContext.defaultParallelism)
     d = rules.combined_diagnosis_rule_part(a).withColumnRenamed("prediction", "rule_prediction")
     d = d.withColumns({
         "bp_num": F.coalesce(to_double(bp_part("bp", 1)), F.lit(0.0)),
         "heart_rate_num": F.coalesce(to_double(filters.alias_value(d, FV.HEART_RATE_NAMES, "0", zero_falls_through=True)), F.lit(0.0)),
         "age_num": F.coalesce(to_double(filters.alias_value(d, FV.AGE_NAMES, "0", zero_falls_through=True)), F.lit(0.0)),
     })
+    d = stored(d.select("animal_id", "needs_model", "rule_prediction", *HEALTH_NUMERIC), "diagnosis-rules")
     model = fit_health_model(spark, sf_dir)
     said = F.concat(F.col("predicted_label"), F.lit(FV.MODEL_MARK)).alias("prediction")
     scored = model.predict(d.where("needs_model"), ["animal_id", "needs_model"]).select("animal_id", "needs_model", said)

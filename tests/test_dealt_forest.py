@@ -161,3 +161,16 @@ def test_a_part_that_many_vectors_fall_into_is_met_in_groups(spark, dealt, monke
     monkeypatch.setattr(dealt_forest, "GROUP_ROWS", 10)
     monkeypatch.setattr(dealt_forest, "CHUNK_ROWS", 7)
     assert {r.id: (r.predicted_label, r.probability_array) for r in model.predict(f, ["id"]).collect()} == want
+
+
+def test_diagnosis_rules_run_once(spark, dealt, monkeypatch):
+    """The model's rows and the rules' rows both come from one stored result of the rules."""
+    from herdlens.plans import q_ml
+
+    monkeypatch.setattr(dealt_forest, "GROUP_ROWS", 5000)
+    out = q_ml._combined(spark, SF_SMALL)
+    assert not [f for f in out.inputFiles() if "customer" in f]
+    sc, sr = check.spark_rows(load_all()["combined_diagnosis_check"].build(spark, SF_SMALL))
+    qc, qr = check.duckdb_frame(SF_SMALL, load_all()["combined_diagnosis_check"].sql)
+    ok, msg = check.compare(sc, sr, qc, qr)
+    assert ok, msg
