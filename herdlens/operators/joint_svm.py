@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -155,8 +155,9 @@ class JointSVM:
                 and classifier.getFitIntercept() and not classifier.isSet("weightCol") and classifier.getThreshold() == 0)
 
     @staticmethod
-    def fit(train: DataFrame, label_idx: str, labels: list[str], features: PipelineModel, max_iter: int, tol: float) -> JointSVM:
-        """``train`` is read three times; of its rows only the blocks are kept."""
+    def fit(train: DataFrame, label_idx: str, labels: list[str], features: PipelineModel, max_iter: int, tol: float,
+            read: Callable[[], None] = lambda: None) -> JointSVM:
+        """``train`` is read three times; of its rows only the blocks are kept, and ``read`` is called when they are there."""
         spark = train.sparkSession
         ship(spark)
         rows = features.transform(train).select(F.col(label_idx).cast("int").alias("y"), "features")
@@ -169,6 +170,8 @@ class JointSVM:
             rows = features.transform(train.repartition(tasks)).select(F.col(label_idx).cast("int").alias("y"), "features")
         blocks = _packed(rows.select("y", vector_to_array("features").alias("x")), mean, scale).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            blocks.count()
+            read()
             runs = {k: minimise(width + 1, max_iter, tol) for k in range(len(labels))}
             asked, done = {k: next(r) for k, r in runs.items()}, {}
             while asked:

@@ -233,6 +233,10 @@ def rbf_stages(train: DataFrame, numeric: Sequence[str], components: int = 100,
             VectorAssembler(inputCols=[f"rbf_{j}" for j in range(components)], outputCol="features", handleInvalid="keep")]
 
 
+def _label_indexer(target: str) -> StringIndexer:
+    return StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error", stringOrderType="alphabetAsc")
+
+
 def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                    target: str, classifier, scale: bool = True,
                    stages: list | None = None) -> FittedClassifier | DealtForest | JointSVM:
@@ -246,25 +250,35 @@ def fit_classifier(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     # Fitting makes many passes (indexers, scaler, iterations / tree levels): keep
     # the prepared rows in executor storage, spread over as many tasks as pay off.
     shared_dir(train.sparkSession)
+    if isinstance(classifier, RandomForestClassifier) and stages is None:
+        # Of a large table, a dealt forest needs the used columns, and only until it has its own codes.
+        lean = train.select(*dict.fromkeys([*numeric, *categorical, target])).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if lean.count() > MLLIB_FOREST_ROWS:
+                indexer = _label_indexer(target).fit(lean)
+                return DealtForest.fit(indexer.transform(lean), "label_idx", list(indexer.labels), numeric, categorical,
+                                       classifier.getNumTrees(), classifier.getMaxDepth(), classifier.getSeed(), lean.unpersist)
+        finally:
+            lean.unpersist()
     source = train.persist(StorageLevel.MEMORY_AND_DISK)
     rows = source.count()
     spread = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
     train = source.repartition(spread).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def read() -> None:
+        train.unpersist()
+        source.unpersist()
+
     try:
-        indexer = StringIndexer(inputCol=target, outputCol="label_idx", handleInvalid="error",
-                                stringOrderType="alphabetAsc").fit(train)
-        if isinstance(classifier, RandomForestClassifier) and stages is None and rows > MLLIB_FOREST_ROWS:
-            return DealtForest.fit(indexer.transform(train), "label_idx", list(indexer.labels), numeric, categorical,
-                                   classifier.getNumTrees(), classifier.getMaxDepth(), classifier.getSeed())
+        indexer = _label_indexer(target).fit(train)
         stages = stages or feature_stages(numeric, categorical, scale)
         if isinstance(classifier, OneVsRest) and rows > MLLIB_SVM_ROWS and JointSVM.fits(svm := classifier.getClassifier()):
-            return JointSVM.fit(indexer.transform(train), "label_idx", list(indexer.labels), Pipeline(stages=stages).fit(train), svm.getMaxIter(), svm.getTol())
+            return JointSVM.fit(indexer.transform(train), "label_idx", list(indexer.labels), Pipeline(stages=stages).fit(train), svm.getMaxIter(), svm.getTol(), read)
         classifier.setLabelCol("label_idx").setFeaturesCol("features")
         pipe = Pipeline(stages=[*stages, classifier])
         model = pipe.fit(indexer.transform(train))
     finally:
-        train.unpersist()
-        source.unpersist()
+        read()
     return FittedClassifier(list(indexer.labels), model)
 
 

@@ -174,3 +174,34 @@ def test_diagnosis_rules_run_once(spark, dealt, monkeypatch):
     qc, qr = check.duckdb_frame(SF_SMALL, load_all()["combined_diagnosis_check"].sql)
     ok, msg = check.compare(sc, sr, qc, qr)
     assert ok, msg
+
+
+def test_fit_keeps_used_columns_until_rows_are_coded(spark, dealt, monkeypatch):
+    seen, fit = {}, dealt_forest.DealtForest.fit
+
+    def spied(train, *a, **k):
+        seen["columns"] = set(train.columns)
+        model = fit(train, *a, **k)
+        seen["kept"] = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+        return model
+
+    monkeypatch.setattr(ml.DealtForest, "fit", staticmethod(spied))
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    f = _rows(spark, 600).withColumn("y", F.when(F.col("c") == "a", "x").otherwise("z")).withColumn("unused", F.lit("long text"))
+    ml.fit_classifier(f, ["p"], ["c"], "y", ml.forest("label_idx", num_trees=3))
+    assert seen == {"columns": {"p", "c", "y", "label_idx"}, "kept": before}
+
+
+def test_rows_of_equal_codes_weigh_as_many(spark, dealt, monkeypatch):
+    """Rows of the same codes and label become one, which weighs as many as all copies of them, also above a byte."""
+    x, y = np.random.default_rng(1).integers(0, 3, (500, 2)).astype(np.uint8), np.arange(500) % 2
+    codes, label, same = dealt_forest._cells(x, y)
+    assert len(codes) == len(label) == 18 and (codes[same] == x).all() and (label[same] == y).all()
+    monkeypatch.setattr(dealt_forest, "CHUNK_ROWS", 2000)
+    monkeypatch.setattr(dealt_forest, "GROUP_ROWS", 10_000)
+    f = spark.range(3000).select("id", F.lit(1.0).alias("p"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("y"))
+    model = ml.fit_classifier(f, ["p"], [], "y", ml.forest("label_idx", num_trees=4))
+    for r in model.parts.collect():
+        a, b = np.frombuffer(r.counts, np.float32)
+        assert 800 < a < 1200 and 1800 < b < 2200
+    assert {r.predicted_label for r in model.predict(f, ["id"]).collect()} == {"b"}
